@@ -31,7 +31,7 @@ def parse_mixed_dates(c: str | Column, formats: Sequence[str] = DEFAULT_DATE_FOR
     Date and timestamp inputs are cast straight to date.
     """
     c = _col(c)
-    return F.coalesce(*[F.try_to_date(c, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(c, f) for f in formats])
 
 
 def as_date(c: str | Column) -> Column:

@@ -1 +1,154 @@
-"""(filled below)"""
+"""Data-quality keys: each check family is one aggregation over the whole table."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import quality as Q
+from panelspark.plans.common import table
+from panelspark.plans.registry import register
+
+ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _long_sql(source: str, table_name: str, group_expr: str, rows) -> str:
+    """UNION ALL of one SELECT per check over an aggregated CTE named ``a``."""
+    parts = []
+    for check, observed, expected, passed in rows:
+        passed = passed or f"(CAST({observed} AS DOUBLE) = CAST({expected} AS DOUBLE))"
+        parts.append(
+            f"SELECT '{table_name}' AS \"table\", {group_expr} AS \"group\", '{check}' AS \"check\", "
+            f"CAST({observed} AS DOUBLE) AS observed, CAST({expected} AS DOUBLE) AS expected, "
+            f"CAST({passed} AS BOOLEAN) AS passed FROM a")
+    return f"WITH {source}\n" + "\nUNION ALL\n".join(parts)
+
+
+def _orders_with_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+
+
+_PROFILE_SQL = _long_sql(
+    "a AS (SELECT year(o_orderdate) AS year, COUNT(*) AS n, "
+    + ", ".join(f"COUNT({c}) AS nn_{c}" for c in ORDERS_COLS) + " FROM orders GROUP BY 1)",
+    "orders", "CAST(year AS VARCHAR)",
+    [(f"not_null({c})", f"nn_{c}", "n", None) for c in ORDERS_COLS])
+
+
+@register("dq_profile", sql=_PROFILE_SQL)
+def q_dq_profile(spark, sf_dir):
+    return Q.profile(_orders_with_year(spark, sf_dir), "orders", ORDERS_COLS, ["year"])
+
+
+_SIGN_COLS = ["c_acctbal", "c_custkey"]
+_SIGN_SQL = _long_sql(
+    "a AS (SELECT c_mktsegment, "
+    + ", ".join(f"COUNT(*) FILTER (WHERE {c} >= 0) AS ok_{c}, COUNT({c}) AS nn_{c}" for c in _SIGN_COLS)
+    + " FROM customer GROUP BY 1)",
+    "customer", "c_mktsegment",
+    [(f"non_negative({c})", f"ok_{c}", f"nn_{c}", None) for c in _SIGN_COLS])
+
+
+@register("dq_sign", sql=_SIGN_SQL)
+def q_dq_sign(spark, sf_dir):
+    return Q.sign_check(table(spark, sf_dir, "customer"), "customer", _SIGN_COLS, ["c_mktsegment"])
+
+
+@register("dq_share_valid", sql=_long_sql(
+    "a AS (SELECT year(l_shipdate) AS year, avg(CAST(l_discount <= l_tax AS INTEGER)) AS s "
+    "FROM lineitem GROUP BY 1)",
+    "lineitem", "CAST(year AS VARCHAR)", [("share_valid(discount_le_tax)", "s", "1.0", None)]))
+def q_dq_share_valid(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return Q.share_valid(li, "lineitem", {"discount_le_tax": F.col("l_discount") <= F.col("l_tax")}, ["year"])
+
+
+_DISTINCT_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@register("dq_distinct", sql=_long_sql(
+    "a AS (SELECT " + ", ".join(f"COUNT(DISTINCT {c}) AS d_{c}, COUNT({c}) AS nn_{c}" for c in _DISTINCT_COLS)
+    + " FROM orders)",
+    "orders", "'all'", [(f"distinct({c})", f"d_{c}", f"nn_{c}", None) for c in _DISTINCT_COLS]))
+def q_dq_distinct(spark, sf_dir):
+    return Q.distinct_counts(table(spark, sf_dir, "orders"), "orders", _DISTINCT_COLS)
+
+
+@register("dq_unique_groups", sql=_long_sql(
+    "g AS (SELECT o_custkey, COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS d, COUNT(o_orderdate) AS c "
+    "FROM orders GROUP BY 1), a AS (SELECT avg(CAST(d = c AS INTEGER)) AS s FROM g)",
+    "orders", "'all'", [("unique_within(date by o_custkey)", "s", "1.0", None)]))
+def q_dq_unique_groups(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
+    return Q.unique_groups(o, "orders", ["o_custkey"], "date")
+
+
+@register("dq_key_unique", sql="\nUNION ALL\n".join([
+    _long_sql("a AS (SELECT COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS d FROM orders)",
+              "orders", "'all'", [("unique(o_orderkey)", "d", "n", None)]),
+    "(" + _long_sql("a AS (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT o_custkey, "
+                    "CAST(o_orderdate AS DATE) FROM orders)) AS d FROM orders)",
+                    "orders", "'all'", [("unique(o_custkey,date)", "d", "n", None)]) + ")",
+    "(" + _long_sql("a AS (SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, "
+                    "l_linenumber FROM lineitem)) AS d FROM lineitem)",
+                    "lineitem", "'all'", [("unique(l_orderkey,l_linenumber)", "d", "n", None)]) + ")",
+]))
+def q_dq_key_unique(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
+    li = table(spark, sf_dir, "lineitem")
+    parts = [Q.key_unique(o, "orders", ["o_orderkey"]), Q.key_unique(o, "orders", ["o_custkey", "date"]),
+             Q.key_unique(li, "lineitem", ["l_orderkey", "l_linenumber"])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("dq_unmatched", sql="\nUNION ALL\n".join([
+    _long_sql("a AS (SELECT COUNT(*) AS m FROM documents d WHERE NOT EXISTS "
+              "(SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))",
+              "documents", "'all'", [("unmatched(doc_id)", "m", "0.0", None)]),
+    "(" + _long_sql("a AS (SELECT COUNT(*) AS m FROM labels l WHERE NOT EXISTS "
+                    "(SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id))",
+                    "labels", "'all'", [("unmatched(doc_id)", "m", "0.0", None)]) + ")",
+]))
+def q_dq_unmatched(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    return Q.unmatched(d, lab, ["doc_id"], table="documents").unionByName(
+        Q.unmatched(lab, d, ["doc_id"], table="labels"))
+
+
+_GAP_SQL = _long_sql(
+    """d AS (SELECT year(l_shipdate) AS year, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS date,
+                COUNT(*) AS n FROM lineitem GROUP BY ALL),
+g AS (SELECT *, datediff('day', lag(date) OVER (PARTITION BY year, l_returnflag, l_linestatus ORDER BY date),
+                         date) AS gap FROM d),
+a AS (SELECT year, SUM(n - 1) AS zeros, COUNT(gap) AS steps, SUM(gap) AS s,
+             COUNT(*) FILTER (WHERE gap = 1) AS ones, MIN(gap) AS mn, MAX(gap) AS mx FROM g GROUP BY year)""",
+    "lineitem", "CAST(year AS VARCHAR)",
+    [("gap_mean", "CAST(s AS DOUBLE) / (zeros + steps)", "1.0", None),
+     ("gap_share_1", "CAST(ones AS DOUBLE) / (zeros + steps)", "1.0", None),
+     ("gap_min", "CASE WHEN zeros > 0 THEN 0 ELSE mn END", "1.0", None),
+     ("gap_max", "COALESCE(mx, CASE WHEN zeros > 0 THEN 0 END)", "1.0", None),
+     ("gap_count", "zeros + steps", "NULL", "NULL")])
+
+
+@register("dq_gap_stats", sql=_GAP_SQL)
+def q_dq_gap_stats(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"), "l_returnflag", "l_linestatus",
+        F.col("l_shipdate").cast("date").alias("date"))
+    return Q.gap_stats(li, "lineitem", ["l_returnflag", "l_linestatus"], "date", ["year"])
+
+
+@register("coverage_check", sql="""
+WITH l AS (SELECT DISTINCT n_name AS name FROM nation),
+     r AS (SELECT DISTINCT 'NATION_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS name FROM customer)
+SELECT name, l.name IS NOT NULL AS in_left, r.name IS NOT NULL AS in_right
+FROM l FULL OUTER JOIN r USING (name)
+WHERE l.name IS NULL OR r.name IS NULL
+""")
+def q_coverage_check(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name")
+    c = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("NATION_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("n_name"))
+    return Q.coverage(n, c, "n_name")

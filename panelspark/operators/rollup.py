@@ -18,16 +18,21 @@ from panelspark.sources.schemas import HOUR_COLUMNS
 
 def hours_to_daily(df: DataFrame, keys: Sequence[str] = ("station_id", "date"),
                    hour_cols: Sequence[str] = HOUR_COLUMNS, null_as_zero: bool = False,
-                   out: str = "total_volume") -> DataFrame:
+                   out: str = "total_volume", out_zero_filled: str | None = None) -> DataFrame:
     """Sum every hour column over the rows of a key (lanes, directions), then add the hours.
 
     A null hour sum (no value for that hour on any lane) makes the day null, as in the
-    source; ``null_as_zero=True`` counts it as 0 instead.
+    source; ``null_as_zero=True`` counts it as 0 instead.  ``out_zero_filled`` adds the
+    zero-filled total as a second column from the same aggregation.
     """
     sums = [F.sum(F.col(h)).alias(h) for h in hour_cols]
     daily = df.groupBy(*keys).agg(*sums)
-    terms = [F.coalesce(F.col(h), F.lit(0)) if null_as_zero else F.col(h) for h in hour_cols]
-    return daily.select(*keys, reduce(add, terms).alias(out))
+    strict = reduce(add, [F.col(h) for h in hour_cols])
+    filled = reduce(add, [F.coalesce(F.col(h), F.lit(0)) for h in hour_cols])
+    cols = [(filled if null_as_zero else strict).alias(out)]
+    if out_zero_filled:
+        cols.append(filled.alias(out_zero_filled))
+    return daily.select(*keys, *cols)
 
 
 def wide_by_hour(df: DataFrame, keys: Sequence[str], ts_col: str, value: Column | None = None,

@@ -1 +1,118 @@
-"""(filled below)"""
+"""Sources, sinks and catalog: CSV scans, yearly file families, managed tables, views.
+
+Intermediate files go under the shared checkpoint folder of the session
+(``spark.checkpoint.dir``), never a machine-local temp folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from panelspark.functions.dates import parse_mixed_dates
+from panelspark.sources.io import (
+    empty_frame,
+    list_catalog,
+    read_csv,
+    read_table,
+    register_views,
+    scan_family,
+    union_all,
+    write_table,
+)
+from panelspark.plans.common import SQL_DAILY, daily_orders, table
+from panelspark.plans.registry import register
+from panelspark.session import scratch_path
+
+ORDERS_CSV_SCHEMA = StructType([
+    StructField("o_orderkey", LongType()), StructField("o_custkey", LongType()),
+    StructField("o_orderstatus", StringType()), StructField("o_totalprice", DoubleType()),
+    StructField("date", StringType()), StructField("o_orderpriority", StringType()),
+])
+FAMILY_SCHEMA = StructType([StructField("o_orderkey", LongType()), StructField("date", StringType()),
+                            StructField("o_totalprice", DoubleType())])
+PARTY_SCHEMA = StructType([StructField("id", LongType()), StructField("name", StringType()),
+                           StructField("nationkey", LongType()), StructField("kind", StringType())])
+VIEW_PREFIX = "ps_v_"
+DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@register("scan_csv", sql="""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS date, o_orderpriority
+FROM orders
+""")
+def q_scan_csv(spark, sf_dir):
+    path = scratch_path(spark, "orders_csv")
+    src = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("o_orderdate"),
+        "o_orderpriority")
+    # Header names deliberately differ from the schema: binding is by position.
+    src.write.mode("overwrite").option("header", "true").csv(path)
+    df = read_csv(spark, path, ORDERS_CSV_SCHEMA)
+    return df.withColumn("date", parse_mixed_dates("date"))
+
+
+@register("scan_family", sql="""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders
+""")
+def q_scan_family(spark, sf_dir):
+    """Write orders as one CSV folder per year (ISO dates before 1999, M/d/yyyy after,
+    like the source's two file layouts), then read the whole family in one scan."""
+    path = scratch_path(spark, "orders_family")
+    d = F.col("o_orderdate").cast("date")
+    raw = F.when(F.year(d) < 1999, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "M/d/yyyy"))
+    src = table(spark, sf_dir, "orders").select(
+        "o_orderkey", raw.alias("date"), "o_totalprice", F.year(d).alias("year"))
+    src.write.mode("overwrite").partitionBy("year").option("header", "true").csv(path)
+    fam = scan_family(spark, path, FAMILY_SCHEMA, year_pattern=r"year=(\d{4})")
+    return fam.withColumn("date", parse_mixed_dates("date")).select("o_orderkey", "date", "o_totalprice", "year")
+
+
+@register("table_roundtrip", sql=f"WITH {SQL_DAILY}\nSELECT date, total_volume, n_orders, "
+                                 "CAST(year(date) AS INTEGER) AS year FROM daily")
+def q_table_roundtrip(spark, sf_dir):
+    """Write the daily series as a year-partitioned Parquet table, read it back by name."""
+    name = "ps_daily_orders"
+    d = daily_orders(spark, sf_dir).withColumn("year", F.year("date"))
+    write_table(d, name, partition_by=["year"], path=scratch_path(spark, name))
+    return read_table(spark, name).select("date", "total_volume", "n_orders", "year")
+
+
+@register("view_query", sql="""
+SELECT n.n_name AS county, COUNT(*) AS n_customers, round(avg(c.c_acctbal), 6) AS avg_acctbal
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1
+""")
+def q_view_query(spark, sf_dir):
+    register_views({f"{VIEW_PREFIX}customer": table(spark, sf_dir, "customer"),
+                    f"{VIEW_PREFIX}nation": table(spark, sf_dir, "nation")})
+    return spark.sql(f"""
+        SELECT n.n_name AS county, COUNT(*) AS n_customers, round(avg(c.c_acctbal), 6) AS avg_acctbal
+        FROM {VIEW_PREFIX}customer c JOIN {VIEW_PREFIX}nation n ON c.c_nationkey = n.n_nationkey
+        GROUP BY n.n_name""")
+
+
+@register("catalog_list")
+def q_catalog_list(spark, sf_dir):
+    """Register every driver table as a view and list them from the catalog (no SQL oracle:
+    the listing is session state)."""
+    register_views({f"{VIEW_PREFIX}{t}": table(spark, sf_dir, t) for t in DRIVER_TABLES})
+    return list_catalog(spark, f"{VIEW_PREFIX}*").select("tableName", "isTemporary")
+
+
+@register("union_seeded", sql="""
+SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nationkey, 'customer' AS kind FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT), 'supplier' FROM supplier
+""")
+def q_union_seeded(spark, sf_dir):
+    seed = empty_frame(spark, PARTY_SCHEMA)
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("bigint").alias("nationkey"), F.lit("customer").alias("kind"))
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").cast("bigint").alias("nationkey"), F.lit("supplier").alias("kind"))
+    return union_all([c, s], seed=seed)

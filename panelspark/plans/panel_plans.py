@@ -32,7 +32,7 @@ def nation_panel(spark, sf_dir):
 @register("gap_global", sql="""
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)
 SELECT date, lag(date) OVER (ORDER BY date) AS prev_date,
-       datediff('day', lag(date) OVER (ORDER BY date), date) AS gap
+       CAST(datediff('day', lag(date) OVER (ORDER BY date), date) AS INTEGER) AS gap
 FROM d
 """)
 def q_gap_global(spark, sf_dir):
@@ -43,7 +43,7 @@ def q_gap_global(spark, sf_dir):
 
 @register("gap_by_entity", sql=f"""
 WITH {_NATION_PANEL_SQL}
-SELECT c_nationkey, date, lag(date) OVER w AS prev_date, datediff('day', lag(date) OVER w, date) AS gap
+SELECT c_nationkey, date, lag(date) OVER w AS prev_date, CAST(datediff('day', lag(date) OVER w, date) AS INTEGER) AS gap
 FROM panel WINDOW w AS (PARTITION BY c_nationkey ORDER BY date)
 """)
 def q_gap_by_entity(spark, sf_dir):
@@ -52,7 +52,7 @@ def q_gap_by_entity(spark, sf_dir):
 
 @register("gap_list", sql=f"""
 WITH {_NATION_PANEL_SQL},
-g AS (SELECT c_nationkey, date, lag(date) OVER w AS prev_date, datediff('day', lag(date) OVER w, date) AS gap
+g AS (SELECT c_nationkey, date, lag(date) OVER w AS prev_date, CAST(datediff('day', lag(date) OVER w, date) AS INTEGER) AS gap
       FROM panel WINDOW w AS (PARTITION BY c_nationkey ORDER BY date))
 SELECT * FROM g WHERE gap <> 1 AND c_nationkey <> 0
 """)

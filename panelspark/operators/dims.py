@@ -34,15 +34,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col: str,
                     name_col: str = "county", corrections: Mapping[str, str] | None = COUNTY_CORRECTIONS,
                     prefix_rules=COUNTY_PREFIX_RULES) -> DataFrame:
-    """Current rows plus retired rows whose key is not current (one per key, lowest status).
+    """Current rows plus retired rows whose key is not current: one row per key.
 
-    Both inputs carry ``key`` and ``name_col``; ``retired`` also carries ``status_col``.
-    Names are conformed after the union.  The result is unique by ``key``.
+    One aggregation over ``current`` union ``retired``: a current row wins (priority 0),
+    otherwise the retired row with the lowest status (then name).  Each input is scanned
+    once and the merge needs no anti-join.  Names are conformed afterwards.
     """
-    cur = current.select(key, name_col)
-    ret = first_per_key(retired.select(key, name_col, status_col), [key], [status_col])
-    ret_only = ret.join(cur.select(key), key, "left_anti").select(key, name_col)
-    merged = cur.unionByName(ret_only)
+    cur = current.select(key, name_col, F.lit(0).alias("__prio"), F.lit(None).cast("string").alias("__status"))
+    ret = retired.select(key, name_col, F.lit(1).alias("__prio"), F.col(status_col).cast("string").alias("__status"))
+    merged = first_per_key(cur.unionByName(ret), [key], ["__prio", "__status", name_col]).select(key, name_col)
     return merged.withColumn(name_col, apply_corrections(name_col, corrections, prefix_rules))
 
 

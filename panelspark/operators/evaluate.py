@@ -24,19 +24,21 @@ def rmse_summary(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     (as coded in the source) and the RMSE pooled over all points (as its prose says).
 
     Columns: kind ('event' | 'mean' | 'pooled'), *keys, event_date, train_rmse, test_rmse.
+    One pass: per-event figures, then grouping sets (event) and (all events) over them.
     """
     g = [*keys, "event_date"]
-    per_event = (scores.groupBy(*g).pivot("split", SPLITS).agg(F.first("rmse"))
-                 .select(F.lit("event").alias("kind"), *g,
-                         F.col("train").alias("train_rmse"), F.col("test").alias("test_rmse")))
-    ev_null = F.lit(None).cast(scores.schema["event_date"].dataType).alias("event_date")
-    mean = scores.groupBy(*keys).agg(
-        F.avg(F.when(F.col("split") == "train", F.col("rmse"))).alias("train_rmse"),
-        F.avg(F.when(F.col("split") == "test", F.col("rmse"))).alias("test_rmse"))
-    pooled = scores.groupBy(*keys).agg(*[
-        F.sqrt(F.try_divide(F.sum(F.when(F.col("split") == s, F.col("sse"))),
-                            F.sum(F.when(F.col("split") == s, F.col("n"))).cast("double")))
-        .alias(f"{s}_rmse") for s in SPLITS])
-    mean = mean.select(F.lit("mean").alias("kind"), *keys, ev_null, "train_rmse", "test_rmse")
-    pooled = pooled.select(F.lit("pooled").alias("kind"), *keys, ev_null, "train_rmse", "test_rmse")
-    return per_event.unionByName(mean).unionByName(pooled)
+
+    def by_split(c, s):
+        return F.max(F.when(F.col("split") == s, F.col(c)))
+
+    per_event = scores.groupBy(*g).agg(*[by_split(c, s).alias(f"{s}_{c}") for s in SPLITS for c in ("rmse", "sse", "n")])
+    agg = per_event.groupingSets([list(g), list(keys)], *g).agg(
+        F.grouping("event_date").alias("__total"),
+        *[F.avg(f"{s}_rmse").alias(f"{s}_mean") for s in SPLITS],
+        *[F.sqrt(F.try_divide(F.sum(f"{s}_sse"), F.sum(f"{s}_n").cast("double"))).alias(f"{s}_pooled")
+          for s in SPLITS])
+    rows = F.when(F.col("__total") == 0, F.array(F.struct(
+        F.lit("event").alias("kind"), *[F.col(f"{s}_mean").alias(f"{s}_rmse") for s in SPLITS]))).otherwise(
+        F.array(F.struct(F.lit("mean").alias("kind"), *[F.col(f"{s}_mean").alias(f"{s}_rmse") for s in SPLITS]),
+                F.struct(F.lit("pooled").alias("kind"), *[F.col(f"{s}_pooled").alias(f"{s}_rmse") for s in SPLITS])))
+    return agg.select(*g, F.inline(rows)).select("kind", *g, *[f"{s}_rmse" for s in SPLITS])

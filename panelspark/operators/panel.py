@@ -44,10 +44,23 @@ def date_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date"
 
 
 def _on_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str) -> DataFrame:
-    spine = date_spine(df, entity_cols, date_col)
-    obs = df.withColumn("__observed", F.lit(True))
-    return spine.join(obs, [*entity_cols, date_col], "left") \
-                .withColumn("filled", F.col("__observed").isNull()).drop("__observed")
+    """Observed rows plus the missing days after each of them, in one pass.
+
+    Each observed row expands to itself and the days up to (not including) the entity's
+    next observed day (``lead`` over the entity's window), so the spine needs no separate
+    min/max pass and no join back.  Added days hold nulls and ``filled = true``.  The
+    expansion keeps the entity partitioning, so a following window over the same entity
+    only re-sorts.
+    """
+    w = _w(entity_cols, date_col)
+    last_day = F.coalesce(F.date_sub(F.lead(date_col).over(w), 1), F.col(date_col))
+    value_cols = [c for c in df.columns if c not in entity_cols and c != date_col]
+    expanded = (df.withColumn("__last", last_day)
+                .withColumn("__day", F.explode(F.sequence(F.col(date_col), F.col("__last"),
+                                                          F.expr("INTERVAL 1 DAY")))))
+    filled = F.col("__day") != F.col(date_col)
+    return expanded.select(*entity_cols, F.col("__day").alias(date_col),
+                           *[F.when(~filled, F.col(v)).alias(v) for v in value_cols], filled.alias("filled"))
 
 
 def fill_last(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],

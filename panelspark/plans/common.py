@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.relational import broadcast_if_bounded
+from panelspark.session import ensure_checkpoint_dir
 
 BASELINE_YEARS = (1995, 1997)
 COMPARE_YEARS = (1998, None)
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise a small derived table in the session's checkpoint folder (lineage cut)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,8 +10,8 @@ from panelspark.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    ckpt = tempfile.mkdtemp(prefix="panelspark-test-ckpt-")
-    s = get_session("local[4]", 8, app="panelspark-tests",
-                    extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+    # The checkpoint folder comes from the session (spark.checkpoint.dir); get_session only
+    # creates a private one when none is configured.
+    s = get_session("local[4]", 8, app="panelspark-tests", extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()

@@ -96,3 +96,34 @@ def test_prepare_write_read_model(spark):
     kinds = {r.kind for r in out["covid_rmse_summary"].collect()}
     assert kinds == {"event", "mean", "pooled"}
     assert out["chart_district"].select("measure").distinct().count() == 3
+
+
+def _schema(df):
+    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def test_intermediate_schemas(spark):
+    """Output schemas of the prepared tables and model outputs (FIXTURES intermediate schemas)."""
+    base = scratch_path(spark, "traffic-schema")
+    _write_sources(base)
+    paths = T.SourcePaths(
+        hourly_volume=f"{base}/wim", current_stations=f"{base}/current.csv",
+        retired_stations=f"{base}/retired.csv", county_districts=f"{base}/districts.csv",
+        county_cases=f"{base}/counties", state_cases=f"{base}/us-states.csv",
+        national_cases=f"{base}/us.csv", timeline=f"{base}/timeline.csv")
+    tables = T.prepare(T.load_sources(spark, paths))
+    assert _schema(tables["county_volume"]) == [
+        ("county", "string"), ("district", "string"), ("station_id", "int"), ("date", "date"), ("total_volume", "bigint")]
+    assert _schema(tables["state_volume"]) == [("date", "date"), ("total_volume", "bigint")]
+    assert _schema(tables["county_cases"]) == [
+        ("date", "date"), ("county", "string"), ("state", "string"), ("cases", "int"), ("deaths", "int"),
+        ("district", "string")]
+    assert _schema(tables["average_county_cases"]) == [("date", "date"), ("cases", "double"), ("deaths", "double")]
+    out = T.model(spark, tables, ["2020-02-15"], n_base_dates=1)
+    assert _schema(out["state_share"]) == [("date", "date"), ("total_volume", "bigint"), ("baseline", "double"),
+                                           ("share", "double"), ("pct_diff", "double")]
+    assert _schema(out["covid_windows"]) == [("event_date", "date"), ("split", "string"), ("ds", "date"), ("y", "double")]
+    assert _schema(out["covid_forecast"]) == [("event_date", "date"), ("ds", "date"), ("yhat", "double"),
+                                              ("yhat_lower", "double"), ("yhat_upper", "double")]
+    # every null audit of the source's outputs: no null keys after the inner join
+    assert tables["county_volume"].where("county is null or district is null or station_id is null").count() == 0

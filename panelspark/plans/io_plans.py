@@ -94,12 +94,19 @@ def q_view_query(spark, sf_dir):
         GROUP BY n.n_name""")
 
 
-@register("catalog_list")
+@register("catalog_list", sql="\nUNION ALL\n".join(
+    f"SELECT '{VIEW_PREFIX}{t}' AS tableName, true AS isTemporary, COUNT(*) AS n_rows FROM {t}"
+    for t in DRIVER_TABLES))
 def q_catalog_list(spark, sf_dir):
-    """Register every driver table as a view and list them from the catalog (no SQL oracle:
-    the listing is session state)."""
+    """Register every driver table as a view, list the views from the catalog and attach
+    each one's row count (read through the view by name)."""
     register_views({f"{VIEW_PREFIX}{t}": table(spark, sf_dir, t) for t in DRIVER_TABLES})
-    return list_catalog(spark, f"{VIEW_PREFIX}*").select("tableName", "isTemporary")
+    listed = list_catalog(spark, f"{VIEW_PREFIX}*").select("tableName", "isTemporary")
+    counts = union_all(
+        spark.table(f"{VIEW_PREFIX}{t}").agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(F.lit(f"{VIEW_PREFIX}{t}").alias("tableName"), "n_rows")
+        for t in DRIVER_TABLES)
+    return listed.join(counts, "tableName", "inner")
 
 
 @register("union_seeded", sql="""

@@ -128,16 +128,17 @@ def q_join_left(spark, sf_dir):
 @register("join_full_expr", sql="""
 SELECT DISTINCT a.cust_nation, b.supp_nation
 FROM (SELECT DISTINCT n.n_name AS cust_nation FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-      WHERE c.c_acctbal > 9900) a
+      WHERE c.c_acctbal < 0) a
 FULL OUTER JOIN
      (SELECT DISTINCT n.n_name AS supp_nation FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
-      WHERE s.s_acctbal > 9000) b
+      WHERE s.s_acctbal < 0) b
 ON a.cust_nation = b.supp_nation
 """)
 def q_join_full_expr(spark, sf_dir):
     n = broadcast_if_bounded(table(spark, sf_dir, "nation"), SMALL_DIM_ROWS)
-    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 9900)
-    s = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 9000)
+    # Nations with customers in debt against nations with suppliers in debt.
+    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
+    s = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") < 0)
     a = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("cust_nation")).distinct()
     b = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_name").alias("supp_nation")).distinct()
     return full_outer_distinct(a, b, a.cust_nation == b.supp_nation, ["cust_nation", "supp_nation"])

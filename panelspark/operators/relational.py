@@ -3,7 +3,9 @@
 Broadcast policy: a side is broadcast only after a cheap, early-stopping check
 (``limit(max_rows + 1).count()``) proves it holds at most ``max_rows`` rows.  Past
 the bound nothing is hinted, so the planner falls back to a shuffle join and AQE
-can still switch to a broadcast at run time from the real shuffle size.
+can still switch to a broadcast at run time from the real shuffle size.  The check
+is meant for source tables (a scan stops after ``max_rows + 1`` rows); derived sides
+behind an aggregation are left to AQE, since counting them would compute them twice.
 """
 
 from __future__ import annotations

@@ -76,7 +76,7 @@ def conform_with_table(df: DataFrame, column: str, table: DataFrame, src: str =
     key = "__conform_key"
     t = (table.select(F.col(src).alias(key), F.col(dst).alias("__conform_dst"))
          .dropDuplicates([key]))
-    t = broadcast_if_bounded(t, max_broadcast_rows)
+    t = broadcast_if_bounded(t, max_broadcast_rows, probe=table)
     base = df.withColumn(key, clean_text(column) if clean else F.col(column))
     return (base.join(t, key, "left")
             .withColumn(out, F.coalesce(F.col("__conform_dst"), F.col(key)))

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 DIMENSION_MAX_ROWS = 1_000_000
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
+                         probe: DataFrame | None = None) -> DataFrame:
+    """Hint ``df`` for broadcast when ``probe`` (default ``df``; pass the source table
+    when ``df`` is a reduction of it) holds at most ``max_rows`` rows."""
+    n = (probe if probe is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -82,14 +82,16 @@ def q_table_roundtrip(spark, sf_dir):
 
 
 @register("view_query", sql="""
-SELECT n.n_name AS county, COUNT(*) AS n_customers, round(avg(c.c_acctbal), 6) AS avg_acctbal
+SELECT n.n_name AS county, COUNT(*) AS n_customers,
+       CAST(SUM(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total_acctbal
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1
 """)
 def q_view_query(spark, sf_dir):
     register_views({f"{VIEW_PREFIX}customer": table(spark, sf_dir, "customer"),
                     f"{VIEW_PREFIX}nation": table(spark, sf_dir, "nation")})
     return spark.sql(f"""
-        SELECT n.n_name AS county, COUNT(*) AS n_customers, round(avg(c.c_acctbal), 6) AS avg_acctbal
+        SELECT n.n_name AS county, COUNT(*) AS n_customers,
+               CAST(SUM(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total_acctbal
         FROM {VIEW_PREFIX}customer c JOIN {VIEW_PREFIX}nation n ON c.c_nationkey = n.n_nationkey
         GROUP BY n.n_name""")
 

@@ -41,13 +41,13 @@ def q_rename_drop(spark, sf_dir):
 
 @register("computed_column", sql="""
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, CAST(year(o_orderdate) AS INTEGER) AS year,
-       round(o_totalprice / 1000, 3) AS price_k, o_orderstatus = 'O' AS is_open
+       o_totalprice / 1000 AS price_k, o_orderstatus = 'O' AS is_open
 FROM orders
 """)
 def q_computed_column(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return (o.withColumn("date", F.col("o_orderdate").cast("date"))
-            .withColumns({"year": F.year("date"), "price_k": F.round(F.col("o_totalprice") / 1000, 3),
+            .withColumns({"year": F.year("date"), "price_k": F.col("o_totalprice") / 1000,
                           "is_open": F.col("o_orderstatus") == "O"})
             .select("o_orderkey", "date", "year", "price_k", "is_open"))
 

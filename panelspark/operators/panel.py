@@ -72,7 +72,8 @@ def fill_last(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[st
     """
     j = _on_spine(df, entity_cols, date_col)
     w = _w(entity_cols, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in value_cols})
+    return j.withColumns({v: F.when(F.col("filled"), F.last(v, ignorenulls=True).over(w)).otherwise(F.col(v))
+                          for v in value_cols})
 
 
 def fill_mean(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],
@@ -81,7 +82,7 @@ def fill_mean(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[st
     ``k`` days before and after it."""
     j = _on_spine(df, entity_cols, date_col)
     w = _w(entity_cols, date_col).rowsBetween(-k, k)
-    return j.withColumns({v: F.coalesce(F.col(v), F.avg(v).over(w)) for v in value_cols})
+    return j.withColumns({v: F.when(F.col("filled"), F.avg(v).over(w)).otherwise(F.col(v)) for v in value_cols})
 
 
 def running_total(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],

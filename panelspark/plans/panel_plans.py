@@ -64,8 +64,8 @@ def q_gap_list(spark, sf_dir):
 @register("gap_fill_last", sql=f"""
 WITH {_NATION_PANEL_SQL}, {_SPINE_SQL}
 SELECT c_nationkey, date,
-       last_value(total IGNORE NULLS) OVER w AS total,
-       last_value(n_orders IGNORE NULLS) OVER w AS n_orders, filled
+       CASE WHEN filled THEN last_value(total IGNORE NULLS) OVER w ELSE total END AS total,
+       CASE WHEN filled THEN last_value(n_orders IGNORE NULLS) OVER w ELSE n_orders END AS n_orders, filled
 FROM j WINDOW w AS (PARTITION BY c_nationkey ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def q_gap_fill_last(spark, sf_dir):
@@ -76,7 +76,7 @@ def q_gap_fill_last(spark, sf_dir):
 
 @register("gap_fill_mean", sql=f"""
 WITH {_NATION_PANEL_SQL}, {_SPINE_SQL}
-SELECT c_nationkey, date, round(COALESCE(total, avg(total) OVER w), 6) AS total, filled
+SELECT c_nationkey, date, round(CASE WHEN filled THEN avg(total) OVER w ELSE total END, 6) AS total, filled
 FROM j WINDOW w AS (PARTITION BY c_nationkey ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
 """)
 def q_gap_fill_mean(spark, sf_dir):

@@ -76,3 +76,12 @@ def test_partition_count_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert a == b and len(a) > 0
+
+
+def test_fill_never_touches_observed_nulls(spark):
+    df = spark.createDataFrame([("A", D(2020, 1, 1), 1.0), ("A", D(2020, 1, 2), None), ("A", D(2020, 1, 4), 4.0)],
+                               "e string, date date, v double")
+    last = {r.date.day: r.v for r in fill_last(df, ["e"], ["v"]).collect()}
+    assert last == {1: 1.0, 2: None, 3: 1.0, 4: 4.0}
+    mean = {r.date.day: r.v for r in fill_mean(df, ["e"], ["v"], k=1).collect()}
+    assert mean == {1: 1.0, 2: None, 3: 4.0, 4: 4.0}

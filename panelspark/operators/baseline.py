@@ -1,8 +1,7 @@
 """Calendar baseline and share of expected volume.
 
 Each day is compared with the mean of the days sharing its (ISO week, weekday[, by])
-in the baseline years.  Year ranges become date bounds so Parquet scans prune; the
-daily input is computed once and the planner reuses its exchange on both join sides.
+in the baseline years.  Year ranges become date bounds so Parquet scans prune.
 Division is ``try_divide`` (ANSI mode raises on /0); the share is null where the
 baseline has no matching calendar slot (ISO week 53, see ``functions.dates``).
 """
@@ -11,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import between_dates, calendar_keys, year_bounds
@@ -32,11 +31,21 @@ def share_of_baseline(df: DataFrame, date_col: str = "date", value_col: str = "t
                       by: Sequence[str] = (), baseline_years: tuple[int, int] = (2017, 2019),
                       compare_years: tuple[int, int | None] = (2020, None),
                       week53_to_52: bool = False) -> DataFrame:
-    """(date, *by, value, baseline, share, pct_diff) for the compared years."""
-    base = calendar_baseline(df, date_col, value_col, by, baseline_years, week53_to_52).drop("baseline_days")
-    lo, hi = year_bounds(*compare_years)
-    cur = calendar_keys(df.where(between_dates(date_col, lo, hi)), date_col, week53_to_52)
-    joined = cur.join(base, [*CAL_KEYS, *by], "left")
+    """(date, *by, value, baseline, share, pct_diff) for the compared years.
+
+    One pass over the input: rows of both year ranges are read together (one scan with
+    an OR of two date ranges), and the baseline is a windowed mean over each calendar slot
+    (week, weekday, *by) restricted to baseline rows.  A slot holds one row per year and
+    ``by`` value, so the window stays small however large the input, and no join is needed.
+    """
+    b_lo, b_hi = year_bounds(*baseline_years)
+    c_lo, c_hi = year_bounds(*compare_years)
+    in_base = between_dates(date_col, b_lo, b_hi)
+    in_cmp = between_dates(date_col, c_lo, c_hi)
+    rows = calendar_keys(df.where(in_base | in_cmp), date_col, week53_to_52)
+    slot = Window.partitionBy(*CAL_KEYS, *by)
+    base = F.avg(F.when(in_base, F.col(value_col))).over(slot)
+    out = rows.withColumn("baseline", base).where(in_cmp)
     share = F.try_divide(F.col(value_col).cast("double"), F.col("baseline"))
-    return joined.select(date_col, *by, value_col, "baseline",
-                         share.alias("share"), (share - F.lit(1.0)).alias("pct_diff"))
+    return out.select(date_col, *by, value_col, "baseline",
+                      share.alias("share"), (share - F.lit(1.0)).alias("pct_diff"))

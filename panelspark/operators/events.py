@@ -21,9 +21,10 @@ from panelspark.functions.dates import day_number
 from panelspark.operators.relational import sample_n
 
 
-def select_events(timeline: DataFrame, order_type: str | None = None, event_type: str | None = "Effective",
-                  exclude_category: str | None = None, order_type_col: str = "order_type",
-                  event_type_col: str = "event_type", category_col: str = "category") -> DataFrame:
+def event_condition(order_type: str | None = None, event_type: str | None = "Effective",
+                    exclude_category: str | None = None, order_type_col: str = "order_type",
+                    event_type_col: str = "event_type", category_col: str = "category") -> Column:
+    """Predicate for one event selection; OR several of them to select in a single scan."""
     cond = F.lit(True)
     if order_type is not None:
         cond = cond & (F.col(order_type_col) == order_type)
@@ -31,7 +32,12 @@ def select_events(timeline: DataFrame, order_type: str | None = None, event_type
         cond = cond & (F.col(event_type_col) == event_type)
     if exclude_category is not None:
         cond = cond & (F.col(category_col) != exclude_category)
-    return timeline.where(cond)
+    return cond
+
+
+def select_events(timeline: DataFrame, order_type: str | None = None, event_type: str | None = "Effective",
+                  exclude_category: str | None = None, **cols: str) -> DataFrame:
+    return timeline.where(event_condition(order_type, event_type, exclude_category, **cols))
 
 
 def event_axis(events: DataFrame, date_col: str = "date", origin: str = "2020-01-01",

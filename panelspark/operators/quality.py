@@ -43,55 +43,65 @@ def _report(agg: DataFrame, table: str, group_by: Sequence[str],
             .select(F.lit(table).alias("table"), "group", "check", "observed", "expected", "passed"))
 
 
+def _family_aggs(not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
+                 rules: Mapping[str, Column] | None = None, distinct: Sequence[str] = (),
+                 approx: bool = False, rsd: float = 0.01):
+    """Aggregate expressions and report rows for the check families, numbered apart so
+    that any mix of them fits in one aggregation."""
+    aggs, rows = [F.count(F.lit(1)).alias("__n")], []
+    for i, c in enumerate(not_null):
+        aggs.append(F.count_if(F.col(c).isNotNull()).alias(f"__nn{i}"))
+        rows.append((f"not_null({c})", F.col(f"__nn{i}"), F.col("__n"), None))
+    for i, c in enumerate(non_negative):
+        aggs += [F.count_if(F.col(c) >= 0).alias(f"__ok{i}"), F.count(F.col(c)).alias(f"__okn{i}")]
+        rows.append((f"non_negative({c})", F.col(f"__ok{i}"), F.col(f"__okn{i}"), None))
+    for i, (name, pred) in enumerate((rules or {}).items()):
+        aggs.append(F.avg(pred.cast("int")).alias(f"__s{i}"))
+        rows.append((f"share_valid({name})", F.col(f"__s{i}"), F.lit(1.0), None))
+    for i, c in enumerate(distinct):
+        d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
+        aggs += [d.alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
+        rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), None))
+    return aggs, rows
+
+
+def suite(df: DataFrame, table: str, group_by: Sequence[str] = (), not_null: Sequence[str] = (),
+          non_negative: Sequence[str] = (), rules: Mapping[str, Column] | None = None,
+          distinct: Sequence[str] = (), approx: bool = False) -> DataFrame:
+    """Completeness, validity, rule shares and distinct counts of one table in ONE
+    aggregation (one scan, one shuffle of partial rows), reported in the long shape."""
+    aggs, rows = _family_aggs(not_null, non_negative, rules, distinct, approx)
+    return _report(df.groupBy(*group_by).agg(*aggs), table, group_by, rows)
+
+
 def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None,
             group_by: Sequence[str] = ()) -> DataFrame:
     """Completeness: not-null count of each column against the row count."""
     columns = list(columns or [c for c in df.columns if c not in group_by])
-    aggs = [F.count(F.lit(1)).alias("__n")] + [
-        F.count_if(F.col(c).isNotNull()).alias(f"__nn{i}") for i, c in enumerate(columns)]
-    agg = df.groupBy(*group_by).agg(*aggs)
-    rows = [(f"not_null({c})", F.col(f"__nn{i}"), F.col("__n"), None) for i, c in enumerate(columns)]
-    return _report(agg, table, group_by, rows)
+    return suite(df, table, group_by, not_null=columns)
 
 
 def sign_check(df: DataFrame, table: str, columns: Sequence[str],
                group_by: Sequence[str] = ()) -> DataFrame:
     """Validity: rows with ``c >= 0`` against rows where ``c`` is not null."""
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.count_if(F.col(c) >= 0).alias(f"__ok{i}"), F.count(F.col(c)).alias(f"__nn{i}")]
-    agg = df.groupBy(*group_by).agg(*aggs)
-    rows = [(f"non_negative({c})", F.col(f"__ok{i}"), F.col(f"__nn{i}"), None)
-            for i, c in enumerate(columns)]
-    return _report(agg, table, group_by, rows)
+    return suite(df, table, group_by, non_negative=columns)
 
 
 def share_valid(df: DataFrame, table: str, rules: Mapping[str, Column],
                 group_by: Sequence[str] = ()) -> DataFrame:
     """Share of rows passing each rule; rows where the rule is null are left out."""
-    names = list(rules)
-    aggs = [F.avg(rules[n].cast("int")).alias(f"__s{i}") for i, n in enumerate(names)]
-    agg = df.groupBy(*group_by).agg(*aggs)
-    rows = [(f"share_valid({n})", F.col(f"__s{i}"), F.lit(1.0), None) for i, n in enumerate(names)]
-    return _report(agg, table, group_by, rows)
+    return suite(df, table, group_by, rules=rules)
 
 
 def distinct_counts(df: DataFrame, table: str, columns: Sequence[str],
-                    group_by: Sequence[str] = (), approx: bool = False,
-                    rsd: float = 0.01) -> DataFrame:
+                    group_by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Distinct values per column against its non-null count (passed = all values unique).
 
     Exact by default.  Several exact distinct counts in one query are planned as an
     ``Expand`` (one copy of each row per column); at very large scale ``approx=True``
     switches to HyperLogLog++ sketches, which merge map-side and never expand.
     """
-    aggs = []
-    for i, c in enumerate(columns):
-        d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
-        aggs += [d.alias(f"__d{i}"), F.count(F.col(c)).alias(f"__nn{i}")]
-    agg = df.groupBy(*group_by).agg(*aggs)
-    rows = [(f"distinct({c})", F.col(f"__d{i}"), F.col(f"__nn{i}"), None) for i, c in enumerate(columns)]
-    return _report(agg, table, group_by, rows)
+    return suite(df, table, group_by, distinct=columns, approx=approx)
 
 
 def unique_groups(df: DataFrame, table: str, group_cols: Sequence[str], value_col: str,
@@ -124,6 +134,23 @@ def unmatched(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     return _report(agg, table, (), [(check, F.col("__m"), F.lit(0.0), None)])
 
 
+def unmatched_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_table: str,
+                   right_table: str) -> DataFrame:
+    """Unmatched rows in both directions from ONE full outer join of per-key row counts.
+
+    Each side is reduced to (key, rows) first (a partial aggregation), so the join sees
+    one row per key per side; the two counts come from one aggregation.
+    """
+    lc = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__l"))
+    rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__r"))
+    j = lc.join(rc, list(keys), "full_outer")
+    agg = j.agg(F.sum(F.when(F.col("__r").isNull(), F.col("__l")).otherwise(0)).alias("__ml"),
+                F.sum(F.when(F.col("__l").isNull(), F.col("__r")).otherwise(0)).alias("__mr"))
+    check = f"unmatched({','.join(keys)})"
+    return (_report(agg, left_table, (), [(check, F.col("__ml"), F.lit(0.0), None)])
+            .unionByName(_report(agg, right_table, (), [(check, F.col("__mr"), F.lit(0.0), None)])))
+
+
 def day_gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
     """(entity, date, n_rows, prev_date, gap) over *distinct* days of each entity."""
     days = (df.where(F.col(date_col).isNotNull())

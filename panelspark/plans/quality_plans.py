@@ -113,8 +113,7 @@ def q_dq_key_unique(spark, sf_dir):
 def q_dq_unmatched(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id")
-    return Q.unmatched(d, lab, ["doc_id"], table="documents").unionByName(
-        Q.unmatched(lab, d, ["doc_id"], table="labels"))
+    return Q.unmatched_both(d, lab, ["doc_id"], "documents", "labels")
 
 
 _GAP_SQL = _long_sql(
@@ -152,3 +151,26 @@ def q_coverage_check(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("NATION_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("n_name"))
     return Q.coverage(n, c, "n_name")
+
+
+_SUITE_SQL = _long_sql(
+    "a AS (SELECT year(o_orderdate) AS year, COUNT(*) AS n, "
+    + ", ".join(f"COUNT({c}) AS nn_{c}" for c in ORDERS_COLS)
+    + ", COUNT(*) FILTER (WHERE o_totalprice >= 0) AS ok_price, COUNT(o_totalprice) AS okn_price"
+    + ", avg(CAST(o_orderstatus IN ('F', 'O', 'P') AS INTEGER)) AS s_status"
+    + ", COUNT(DISTINCT o_orderpriority) AS d_prio, COUNT(o_orderpriority) AS dn_prio"
+    + " FROM orders GROUP BY 1)",
+    "orders", "CAST(year AS VARCHAR)",
+    [(f"not_null({c})", f"nn_{c}", "n", None) for c in ORDERS_COLS]
+    + [("non_negative(o_totalprice)", "ok_price", "okn_price", None),
+       ("share_valid(known_status)", "s_status", "1.0", None),
+       ("distinct(o_orderpriority)", "d_prio", "dn_prio", None)])
+
+
+@register("dq_suite", sql=_SUITE_SQL)
+def q_dq_suite(spark, sf_dir):
+    """All check families of the orders table, per year, in one aggregation."""
+    return Q.suite(_orders_with_year(spark, sf_dir), "orders", ["year"], not_null=ORDERS_COLS,
+                   non_negative=["o_totalprice"],
+                   rules={"known_status": F.col("o_orderstatus").isin("F", "O", "P")},
+                   distinct=["o_orderpriority"])

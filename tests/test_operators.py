@@ -148,3 +148,18 @@ def test_correction_table_and_checked_broadcast(spark):
     assert got == ["", "Aitkin", "Anoka"]
     big = spark.range(50)
     assert "Broadcast" not in broadcast_if_bounded(big, 10).join(spark.range(5), "id")._jdf.queryExecution().logical().toString()
+
+
+def test_unmatched_both_counts_rows_and_suite_one_pass(spark):
+    left = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
+    right = spark.createDataFrame([(1,), (4,), (4,), (4,)], "k int")
+    r = {r.table: r.observed for r in Q.unmatched_both(left, right, ["k"], "L", "R").collect()}
+    assert r == {"L": 3.0, "R": 3.0}
+    df = spark.createDataFrame([(1, -1.0, "a"), (2, None, "a"), (None, 3.0, "b")], "id int, v double, s string")
+    rep = _report(Q.suite(df, "t", not_null=["id"], non_negative=["v"], rules={"pos": F.col("v") > 0}, distinct=["s"]))
+    assert rep[("all", "not_null(id)")] == (2.0, 3.0, False)
+    assert rep[("all", "non_negative(v)")] == (1.0, 2.0, False)
+    assert rep[("all", "share_valid(pos)")] == (0.5, 1.0, False)
+    assert rep[("all", "distinct(s)")] == (2.0, 3.0, False)
+    plan = Q.suite(df, "t", not_null=["id"], non_negative=["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2          # one partial + one final aggregation

@@ -45,7 +45,7 @@ def _report(agg: DataFrame, table: str, group_by: Sequence[str],
 
 def _family_aggs(not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
                  rules: Mapping[str, Column] | None = None, distinct: Sequence[str] = (),
-                 approx: bool = False, rsd: float = 0.01):
+                 approx: bool = False, rsd: float = 0.01, unique: Sequence[Sequence[str]] = ()):
     """Aggregate expressions and report rows for the check families, numbered apart so
     that any mix of them fits in one aggregation."""
     aggs, rows = [F.count(F.lit(1)).alias("__n")], []
@@ -62,15 +62,20 @@ def _family_aggs(not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
         d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
         aggs += [d.alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
         rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), None))
+    for i, keys in enumerate(unique):
+        # struct(...) is never null, so null keys count as a value (duplicates of each other).
+        aggs.append(F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias(f"__u{i}"))
+        rows.append((f"unique({','.join(keys)})", F.col(f"__u{i}"), F.col("__n"), None))
     return aggs, rows
 
 
 def suite(df: DataFrame, table: str, group_by: Sequence[str] = (), not_null: Sequence[str] = (),
           non_negative: Sequence[str] = (), rules: Mapping[str, Column] | None = None,
-          distinct: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """Completeness, validity, rule shares and distinct counts of one table in ONE
-    aggregation (one scan, one shuffle of partial rows), reported in the long shape."""
-    aggs, rows = _family_aggs(not_null, non_negative, rules, distinct, approx)
+          distinct: Sequence[str] = (), approx: bool = False,
+          unique: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """Completeness, validity, rule shares, distinct counts and key uniqueness of one table
+    in ONE aggregation (one scan), reported in the long shape."""
+    aggs, rows = _family_aggs(not_null, non_negative, rules, distinct, approx, unique=unique)
     return _report(df.groupBy(*group_by).agg(*aggs), table, group_by, rows)
 
 
@@ -115,12 +120,12 @@ def unique_groups(df: DataFrame, table: str, group_cols: Sequence[str], value_co
     return _report(agg, table, group_by, [(check, F.col("__s"), F.lit(1.0), None)])
 
 
-def key_unique(df: DataFrame, table: str, keys: Sequence[str], group_by: Sequence[str] = ()) -> DataFrame:
-    """Distinct key tuples (nulls compare equal) against the row count, in one pass."""
-    agg = df.groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("__d"))
-    return _report(agg, table, group_by, [(f"unique({','.join(keys)})", F.col("__d"), F.col("__n"), None)])
+def key_unique(df: DataFrame, table: str, keys: Sequence[str] | Sequence[Sequence[str]],
+               group_by: Sequence[str] = ()) -> DataFrame:
+    """Distinct key tuples (nulls compare equal) against the row count; several key sets
+    (a list of lists) are checked in the same single pass."""
+    key_sets = [list(keys)] if keys and isinstance(keys[0], str) else [list(k) for k in keys]
+    return suite(df, table, group_by, unique=key_sets)
 
 
 def unmatched(left: DataFrame, right: DataFrame, left_keys: Sequence[str],

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality as Q
@@ -97,9 +95,8 @@ def q_dq_unique_groups(spark, sf_dir):
 def q_dq_key_unique(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
     li = table(spark, sf_dir, "lineitem")
-    parts = [Q.key_unique(o, "orders", ["o_orderkey"]), Q.key_unique(o, "orders", ["o_custkey", "date"]),
-             Q.key_unique(li, "lineitem", ["l_orderkey", "l_linenumber"])]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return Q.key_unique(o, "orders", [["o_orderkey"], ["o_custkey", "date"]]).unionByName(
+        Q.key_unique(li, "lineitem", ["l_orderkey", "l_linenumber"]))
 
 
 @register("dq_unmatched", sql="\nUNION ALL\n".join([

@@ -66,8 +66,8 @@ def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date",
                   before: int = 30, after: int = 10, keys: Sequence[str] = (),
                   event_col: str = "event_date", include_event_day: bool = True) -> DataFrame:
     """(*keys, event_date, split, ds, y): ``train`` = the ``before`` rows up to the event,
-    ``test`` = the ``after`` rows following it.  ``events`` carries ``event_col`` (and the
-    series ``keys`` when there are several series)."""
+    ``test`` = the ``after`` rows following it.  ``series`` has one row per (keys, date);
+    ``events`` carries ``event_col`` (and the series ``keys`` when there are several)."""
     keys = list(keys)
     s = series.select(*keys, F.col(date_col).alias("ds"), F.col(value_col).alias("y"))
     ev = events.select(*keys, F.col(event_col).alias("event_date")).where(
@@ -95,8 +95,3 @@ def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date",
     split = F.when(F.col("rn") <= F.col("anchor"), F.lit("train")).otherwise(F.lit("test"))
     return out.select(*keys, "event_date", split.alias("split"), "ds", "y")
 
-
-def event_offset(ds: str | Column = "ds", event: str | Column = "event_date") -> Column:
-    ds = F.col(ds) if isinstance(ds, str) else ds
-    event = F.col(event) if isinstance(event, str) else event
-    return F.datediff(ds, event)

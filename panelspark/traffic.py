@@ -202,3 +202,41 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
         out[f"{name}_rmse"] = scores
         out[f"{name}_rmse_summary"] = rmse_summary(scores)
     return out
+
+
+def write_model(out: Mapping[str, DataFrame], prefix: str = "model_") -> None:
+    """Write every model output as a table named ``prefix + key`` (overwrite)."""
+    for key, df in out.items():
+        write_table(df, f"{prefix}{key}")
+
+
+def main(argv: Sequence[str] | None = None) -> None:
+    import argparse
+
+    from panelspark.session import get_session
+
+    p = argparse.ArgumentParser(prog="python -m panelspark.traffic",
+                                description="Prepare the seven tables from raw files, then model them.")
+    sub = p.add_subparsers(dest="cmd", required=True)
+    prep = sub.add_parser("prepare", help="raw files -> the seven output tables")
+    for f in SourcePaths.__dataclass_fields__:
+        prep.add_argument(f"--{f.replace('_', '-')}", required=True)
+    prep.add_argument("--null-as-zero", action="store_true")
+    mod = sub.add_parser("model", help="output tables -> share, events, windows, forecasts, scores")
+    mod.add_argument("--policy-dates", required=True, help="comma-separated yyyy-MM-dd")
+    mod.add_argument("--base-dates", type=int, default=4)
+    mod.add_argument("--seed", default="0")
+    mod.add_argument("--prefix", default="model_")
+    args = p.parse_args(argv)
+
+    spark = get_session()
+    if args.cmd == "prepare":
+        paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
+        write_outputs(prepare(load_sources(spark, paths), null_as_zero=args.null_as_zero))
+    else:
+        out = model(spark, read_outputs(spark), args.policy_dates.split(","), args.base_dates, args.seed)
+        write_model(out, args.prefix)
+
+
+if __name__ == "__main__":
+    main()

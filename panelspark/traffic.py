@@ -222,6 +222,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     for f in SourcePaths.__dataclass_fields__:
         prep.add_argument(f"--{f.replace('_', '-')}", required=True)
     prep.add_argument("--null-as-zero", action="store_true")
+    prep.add_argument("--table-root", help="folder for the tables' files (default: the warehouse)")
     mod = sub.add_parser("model", help="output tables -> share, events, windows, forecasts, scores")
     mod.add_argument("--policy-dates", required=True, help="comma-separated yyyy-MM-dd")
     mod.add_argument("--base-dates", type=int, default=4)
@@ -232,7 +233,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = get_session()
     if args.cmd == "prepare":
         paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
-        write_outputs(prepare(load_sources(spark, paths), null_as_zero=args.null_as_zero))
+        root = args.table_root.rstrip("/") if args.table_root else None
+        table_paths = {k: f"{root}/{v}" for k, v in TABLE_NAMES.items()} if root else None
+        write_outputs(prepare(load_sources(spark, paths), null_as_zero=args.null_as_zero), paths=table_paths)
     else:
         out = model(spark, read_outputs(spark), args.policy_dates.split(","), args.base_dates, args.seed)
         write_model(out, args.prefix)

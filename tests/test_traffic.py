@@ -127,3 +127,16 @@ def test_intermediate_schemas(spark):
                                               ("yhat_lower", "double"), ("yhat_upper", "double")]
     # every null audit of the source's outputs: no null keys after the inner join
     assert tables["county_volume"].where("county is null or district is null or station_id is null").count() == 0
+
+
+def test_cli_prepare_then_model(spark):
+    base = scratch_path(spark, "traffic-cli")
+    _write_sources(base)
+    T.main(["prepare", "--hourly-volume", f"{base}/wim", "--current-stations", f"{base}/current.csv",
+            "--retired-stations", f"{base}/retired.csv", "--county-districts", f"{base}/districts.csv",
+            "--county-cases", f"{base}/counties", "--state-cases", f"{base}/us-states.csv",
+            "--national-cases", f"{base}/us.csv", "--timeline", f"{base}/timeline.csv",
+            "--table-root", f"{base}/tables"])
+    assert spark.table(T.TABLE_NAMES["county_volume"]).count() == 95      # station 1: 93 days, station 4: 2
+    out = T.model(spark, T.read_outputs(spark), ["2020-02-15"], n_base_dates=1)
+    assert out["covid_windows"].count() == 40

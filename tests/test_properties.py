@@ -64,18 +64,24 @@ def test_first_per_key_nulls_first_and_ties(spark):
     assert got == {1: (None, "b"), 2: ("2012", "y")}
 
 
+INVARIANT_KEYS = ["share_of_baseline", "share_by_district", "event_windows", "forecast_rmse",
+                  "gap_fill_mean", "station_dim", "dq_gap_stats", "first_per_key", "hourly_daily_total"]
+
+
 def test_partition_count_invariance(spark):
     import __spark_entry__ as E
-    q = E.queries()["share_of_baseline"]
+    qs = E.queries()
     prev = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "3")
-        a = sorted(q(spark, "/root/testdata/sf0.001").collect())
-        spark.conf.set("spark.sql.shuffle.partitions", "17")
-        b = sorted(q(spark, "/root/testdata/sf0.001").collect())
+        results = {}
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results[n] = {k: sorted(map(tuple, qs[k](spark, "/root/testdata/sf0.001").collect()),
+                                    key=repr) for k in INVARIANT_KEYS}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
-    assert a == b and len(a) > 0
+    for k in INVARIANT_KEYS:
+        assert results["3"][k] == results["17"][k] and len(results["3"][k]) > 0, k
 
 
 def test_fill_never_touches_observed_nulls(spark):

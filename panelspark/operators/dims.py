@@ -40,8 +40,9 @@ def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col
     otherwise the retired row with the lowest status (then name).  Each input is scanned
     once and the merge needs no anti-join.  Names are conformed afterwards.
     """
-    cur = current.select(key, name_col, F.lit(0).alias("__prio"), F.lit(None).cast("string").alias("__status"))
-    ret = retired.select(key, name_col, F.lit(1).alias("__prio"), F.col(status_col).cast("string").alias("__status"))
+    status_type = retired.schema[status_col].dataType      # keep its own ordering (numbers, dates)
+    cur = current.select(key, name_col, F.lit(0).alias("__prio"), F.lit(None).cast(status_type).alias("__status"))
+    ret = retired.select(key, name_col, F.lit(1).alias("__prio"), F.col(status_col).alias("__status"))
     merged = first_per_key(cur.unionByName(ret), [key], ["__prio", "__status", name_col]).select(key, name_col)
     return merged.withColumn(name_col, apply_corrections(name_col, corrections, prefix_rules))
 

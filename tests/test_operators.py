@@ -163,3 +163,11 @@ def test_unmatched_both_counts_rows_and_suite_one_pass(spark):
     assert rep[("all", "distinct(s)")] == (2.0, 3.0, False)
     plan = Q.suite(df, "t", not_null=["id"], non_negative=["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2          # one partial + one final aggregation
+
+
+def test_merge_dimension_numeric_status_order(spark):
+    from panelspark.operators.dims import merge_dimension
+    cur = spark.createDataFrame([(1, "A")], "id int, county string")
+    ret = spark.createDataFrame([(2, "B", 10), (2, "C", 9), (1, "Z", 1)], "id int, county string, status int")
+    got = sorted(tuple(r) for r in merge_dimension(cur, ret, "id", "status", "county", None, ()).collect())
+    assert got == [(1, "A"), (2, "C")]

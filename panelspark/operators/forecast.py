@@ -7,49 +7,71 @@ For every (series, event) at once, over its training rows, with x = days from th
 * ``yhat = trend * s``; 95 % band ``yhat +- 1.96 * stddev_samp(y - yhat)`` of the training fit;
 * predictions for the training days (history) and the ``horizon`` days after the event.
 
-Everything is grouped by the event key, so any number of events fit in parallel, and a
-group never exceeds one window (``before`` rows).
+Plan: training rows, test rows and the future days go into one frame that is
+hash-partitioned once by the event key; the trend, the weekday index and the residual
+spread are window aggregates over (event) and (event, weekday), which that partitioning
+already satisfies, so the whole fit is one shuffle plus sorts -- no aggregate-and-join
+round trips.  A partition never exceeds one event's window (``before + after + horizon``
+rows), however many events there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.96
 
 
+def _fitted(windows: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """Every window row plus the future days, each with yhat and the residual spread sd."""
+    g = [*keys, "event_date"]
+    obs = windows.select(*g, "split", "ds", F.col("y").cast("double").alias("y"))
+    future = (windows.select(*g).distinct()
+              .select(*g, F.lit("future").alias("split"),
+                      F.explode(F.sequence(F.date_add("event_date", 1), F.date_add("event_date", horizon))).alias("ds"),
+                      F.lit(None).cast("double").alias("y")))
+    rows = (obs.unionByName(future).repartition(*g)
+            .withColumn("x", F.datediff("ds", "event_date").cast("double"))
+            .withColumn("wd", F.dayofweek("ds")))
+    ty = F.when(F.col("split") == "train", F.col("y"))
+    ev = Window.partitionBy(*g)
+    rows = rows.withColumns({
+        "m": F.coalesce(F.regr_slope(ty, F.col("x")).over(ev), F.lit(0.0)),
+        "b": F.coalesce(F.regr_intercept(ty, F.col("x")).over(ev), F.avg(ty).over(ev)),
+    })
+    line = F.col("m") * F.col("x") + F.col("b")
+    s = F.avg(F.try_divide(ty, line)).over(Window.partitionBy(*g, "wd"))
+    rows = rows.withColumn("yhat", line * F.coalesce(s, F.lit(1.0)))
+    resid = F.when(F.col("split") == "train", F.col("y") - F.col("yhat"))
+    return rows.withColumns({
+        "sd": F.stddev_samp(resid).over(ev),
+        "has_train": F.max((F.col("split") == "train").cast("int")).over(ev) == 1,
+    })
+
+
 def fit_forecast(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10,
                  z: float = Z95) -> DataFrame:
+    """(*keys, event_date, ds, yhat, yhat_lower, yhat_upper) for the training days and the
+    ``horizon`` days after each event that has training rows (predictions are null when
+    none of those rows has a value)."""
     g = [*keys, "event_date"]
-    train = (windows.where(F.col("split") == "train")
-             .withColumn("x", F.datediff("ds", "event_date").cast("double")))
-    trend = train.groupBy(*g).agg(
-        F.regr_slope("y", "x").alias("m_raw"),
-        F.regr_intercept("y", "x").alias("b_raw"),
-        F.avg("y").alias("y_mean"))
-    trend = trend.select(*g, F.coalesce("m_raw", F.lit(0.0)).alias("m"),
-                         F.coalesce("b_raw", "y_mean").alias("b"))
-
-    t = train.join(trend, g, "inner")
-    line = F.col("m") * F.col("x") + F.col("b")
-    weekly = (t.withColumn("wd", F.dayofweek("ds"))
-              .groupBy(*g, "wd").agg(F.avg(F.try_divide(F.col("y"), line)).alias("s")))
+    f = _fitted(windows, keys, horizon).where(F.col("split").isin("train", "future") & F.col("has_train"))
+    return f.select(*g, "ds", "yhat",
+                    (F.col("yhat") - F.lit(z) * F.col("sd")).alias("yhat_lower"),
+                    (F.col("yhat") + F.lit(z) * F.col("sd")).alias("yhat_upper"))
 
-    history = train.select(*g, "ds")
-    future = trend.select(*g, F.explode(F.sequence(
-        F.date_add("event_date", 1), F.date_add("event_date", horizon))).alias("ds"))
-    grid = (history.unionByName(future)
-            .withColumn("x", F.datediff("ds", "event_date").cast("double"))
-            .withColumn("wd", F.dayofweek("ds")))
-    pred = (grid.join(trend, g, "inner").join(weekly, [*g, "wd"], "left")
-            .withColumn("yhat", (F.col("m") * F.col("x") + F.col("b")) * F.coalesce("s", F.lit(1.0))))
-
-    resid = (pred.join(train.select(*g, "ds", "y"), [*g, "ds"], "inner")
-             .groupBy(*g).agg(F.stddev_samp(F.col("y") - F.col("yhat")).alias("sd")))
-    out = pred.join(resid, g, "left")
-    return out.select(*g, "ds", "yhat",
-                      (F.col("yhat") - F.lit(z) * F.col("sd")).alias("yhat_lower"),
-                      (F.col("yhat") + F.lit(z) * F.col("sd")).alias("yhat_upper"))
+
+def forecast_scores(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10) -> DataFrame:
+    """(*keys, event_date, split, rmse, n, sse) straight from the fitted frame: the same
+    figures as ``evaluate.rmse(windows, fit_forecast(windows))`` without the join.  Test
+    days past the forecast horizon have no prediction and are left out, as in the join."""
+    g = [*keys, "event_date"]
+    f = _fitted(windows, keys, horizon).where(F.col("split").isin("train", "test"))
+    has_pred = (F.col("split") == "train") | (F.datediff("ds", "event_date") <= horizon)
+    yhat = F.when(has_pred & F.col("has_train"), F.col("yhat"))
+    sq = F.pow(yhat - F.col("y"), 2)
+    return f.groupBy(*g, "split").agg(
+        F.sqrt(F.avg(sq)).alias("rmse"), F.count(sq).alias("n"), F.sum(sq).alias("sse"))

@@ -29,9 +29,9 @@ from panelspark.functions.text import (
 from panelspark.operators.baseline import share_of_baseline
 from panelspark.operators.charts import markers, panels
 from panelspark.operators.dims import attach, merge_dimension
-from panelspark.operators.evaluate import rmse, rmse_summary
+from panelspark.operators.evaluate import rmse_summary
 from panelspark.operators.events import align, event_axis, event_windows, sample_events, select_events
-from panelspark.operators.forecast import fit_forecast
+from panelspark.operators.forecast import fit_forecast, forecast_scores
 from panelspark.operators.rollup import hours_to_daily
 from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import schemas as S
@@ -196,7 +196,7 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
         ensure_checkpoint_dir(spark)
         w = event_windows(series, events, "date", "y", TRAIN_LENGTH, TEST_LENGTH).checkpoint(eager=True)
         fc = fit_forecast(w, horizon=TEST_LENGTH)
-        scores = rmse(w, fc)
+        scores = forecast_scores(w, horizon=TEST_LENGTH)
         out[f"{name}_windows"] = w
         out[f"{name}_forecast"] = fc
         out[f"{name}_rmse"] = scores

@@ -84,3 +84,20 @@ def test_share_of_baseline_matches_pandas(spark, rows):
     assert [g[0] for g in got] == [w[0] for w in want]
     for (_, a), (_, b) in zip(got, want):
         assert (a is None and b is None) or abs(a - b) < 1e-12
+
+
+@SETTINGS
+@given(st.sets(st.integers(0, 60), min_size=3, max_size=45), st.lists(st.integers(0, 70), min_size=1, max_size=4))
+def test_forecast_scores_equal_join_based_rmse(spark, day_offsets, event_offsets):
+    from panelspark.operators.evaluate import rmse
+    from panelspark.operators.forecast import forecast_scores
+    days = [D0 + dt.timedelta(d) for d in sorted(day_offsets)]
+    series = spark.createDataFrame([(d, float((i * 7) % 5) + 1.0) for i, d in enumerate(days)], "date date, y double")
+    ev = spark.createDataFrame([(D0 + dt.timedelta(e),) for e in event_offsets], "event_date date")
+    w = event_windows(series, ev, "date", "y", 12, 6)
+    a = {(r.event_date, r.split): (r.rmse, r.n) for r in forecast_scores(w, horizon=6).collect()}
+    b = {(r.event_date, r.split): (r.rmse, r.n) for r in rmse(w, fit_forecast(w, horizon=6)).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        (ra, na), (rb, nb) = a[k], b[k]
+        assert na == nb and ((ra is None and rb is None) or abs(ra - rb) < 1e-9), (k, a[k], b[k])

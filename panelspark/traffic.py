@@ -106,6 +106,10 @@ def station_dimension(current: DataFrame, retired: DataFrame, county_district: D
     return attach(dim, county_district, "county", "left")
 
 
+def state_volume_from(county_volume: DataFrame) -> DataFrame:
+    return county_volume.groupBy("date").agg(F.sum("total_volume").alias("total_volume"))
+
+
 def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[str, DataFrame]:
     """The seven output tables of the preparation stage."""
     county_district = county_district_table(src["county_districts"])
@@ -113,7 +117,7 @@ def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[st
     dim = station_dimension(src["current_stations"], src["retired_stations"], county_district)
     county_volume = daily.join(dim, "station_id", "inner").select(
         "county", "district", "station_id", "date", "total_volume")
-    state_volume = county_volume.groupBy("date").agg(F.sum("total_volume").alias("total_volume"))
+    state_volume = state_volume_from(county_volume)
 
     cases = src["county_cases"].where(
         (F.col("state") != EXCLUDED_STATE) & (F.col("county") != UNKNOWN_COUNTY))
@@ -136,8 +140,17 @@ def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[st
 
 def write_outputs(tables: Mapping[str, DataFrame], names: Mapping[str, str] = TABLE_NAMES,
                   paths: Mapping[str, str] | None = None) -> None:
-    """Overwrite each output table; dated facts are partitioned by year for pruning."""
-    for key, df in tables.items():
+    """Overwrite each output table; dated facts are partitioned by year for pruning.
+
+    The county volume table is written first and the state table is then aggregated from
+    the *written* table, so the hourly roll-up (the largest input) is computed once.
+    """
+    order = sorted(tables, key=lambda k: (k != "county_volume", k))
+    for key in order:
+        df = tables[key]
+        if key == "state_volume" and "county_volume" in tables:
+            df = state_volume_from(read_table(tables[key].sparkSession, names["county_volume"])
+                                   .drop("year"))
         part = None
         if "date" in df.columns and key in ("county_volume", "county_cases"):
             df = df.withColumn("year", F.year("date"))

@@ -48,7 +48,7 @@ def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col
 
 
 def attach(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-           max_broadcast_rows: int | None = 1_000_000) -> DataFrame:
+           max_broadcast_rows: int | None = 100_000) -> DataFrame:
     """Join a dimension onto a fact.  The dimension is broadcast only when a size check
     proves it small; otherwise a shuffle join (AQE may still broadcast at run time)."""
     if max_broadcast_rows:

@@ -1,11 +1,13 @@
 """Small relational building blocks shared by the operators.
 
-Broadcast policy: a side is broadcast only after a cheap, early-stopping check
-(``limit(max_rows + 1).count()``) proves it holds at most ``max_rows`` rows.  Past
-the bound nothing is hinted, so the planner falls back to a shuffle join and AQE
-can still switch to a broadcast at run time from the real shuffle size.  The check
-is meant for source tables (a scan stops after ``max_rows + 1`` rows); derived sides
-behind an aggregation are left to AQE, since counting them would compute them twice.
+Broadcast policy: a side is hinted for broadcast only after a check proves it holds at
+most ``max_rows`` rows.  The check is ``take(max_rows + 1)`` of a one-column projection,
+which Spark runs incrementally (one partition, then four times as many, ...) and stops as
+soon as ``max_rows + 1`` rows are seen, so it reads little of a large table and brings at
+most ``max_rows + 1`` one-column rows to the driver.  Past the bound nothing is hinted:
+the planner uses its own size estimate, and AQE can still switch to a broadcast at run
+time from the measured shuffle size.  Derived sides behind an aggregation are left to AQE
+(or checked through ``probe``, a source table that bounds them).
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSION_MAX_ROWS = 1_000_000
+DIMENSION_MAX_ROWS = 100_000
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
                          probe: DataFrame | None = None) -> DataFrame:
     """Hint ``df`` for broadcast when ``probe`` (default ``df``; pass the source table
     when ``df`` is a reduction of it) holds at most ``max_rows`` rows."""
-    n = (probe if probe is not None else df).limit(max_rows + 1).count()
+    src = probe if probe is not None else df
+    n = len(src.select(F.lit(1).alias("one")).take(max_rows + 1))
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -71,3 +71,21 @@ def test_union_seeded(spark):
     u = union_all([spark.createDataFrame([(1, "x")], "a int, b string"),
                    spark.createDataFrame([("y", 2)], "b string, a int")], seed=seed)
     assert sorted(tuple(r) for r in u.collect()) == [(1, "x"), (2, "y")]
+
+
+def test_headerless_csv_strips_bom(spark):
+    base = scratch_path(spark, "nohdr")
+    _write(f"{base}/c.csv", "\ufeffAnoka,Metro\r\nCass,3\r\n")
+    rows = sorted(tuple(r) for r in read_csv(spark, f"{base}/c.csv", COUNTY_DISTRICTS, header=False).collect())
+    assert rows == [("Anoka", "Metro"), ("Cass", "3")]
+
+
+def test_scan_family_parquet(spark):
+    base = scratch_path(spark, "pqfam")
+    for year in (2020, 2021):
+        spark.createDataFrame([(year, f"{year}-01-01")], "v int, date string") \
+            .write.mode("overwrite").parquet(f"{base}/cases_{year}.parquet")
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    schema = StructType([StructField("v", IntegerType()), StructField("date", StringType())])
+    fam = scan_family(spark, base, schema, fmt="parquet", year_pattern=r"cases_(\d{4})")
+    assert sorted((r.year, r.v) for r in fam.collect()) == [(2020, 2020), (2021, 2021)]

@@ -1,8 +1,6 @@
 """Streaming.
 
-The analysed application has no streaming operator: every read is a batch scan and
-every date-ordered step (gaps, running totals, event windows) needs the whole series.
-Nothing is built here beyond this note; the per-key roll-ups in
-:mod:`panelspark.operators.rollup` are plain aggregations and run unchanged on a
-streaming DataFrame with a watermark if a caller needs that.
+The analysed application has no streaming operator: every read is a batch scan, and
+its date-ordered steps (gaps, running totals, event windows) need whole series.  So
+nothing is built here; the package exists to say so.
 """

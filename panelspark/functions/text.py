@@ -74,8 +74,10 @@ def conform_with_table(df: DataFrame, column: str, table: DataFrame, src: str =
 
     out = out or column
     key = "__conform_key"
-    t = (table.select(F.col(src).alias(key), F.col(dst).alias("__conform_dst"))
-         .dropDuplicates([key]))
+    # One target per source name; if the table repeats a name, the smallest target wins
+    # (deterministic, unlike dropDuplicates).
+    t = (table.groupBy(F.col(src).alias(key))
+         .agg(F.min(F.col(dst)).alias("__conform_dst")))
     t = broadcast_if_bounded(t, max_broadcast_rows, probe=table)
     base = df.withColumn(key, clean_text(column) if clean else F.col(column))
     return (base.join(t, key, "left")

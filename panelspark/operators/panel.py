@@ -29,11 +29,12 @@ def gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
 
 
 def gap_list(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
-             exclude: Column | None = None, out: str = "gap") -> DataFrame:
-    """Rows whose gap is not exactly one day (first rows, with a null gap, drop out)."""
+             keep: Column | None = None, out: str = "gap") -> DataFrame:
+    """Rows whose gap is not exactly one day (first rows, with a null gap, drop out),
+    optionally only those matching ``keep`` (e.g. ``county != 'Unknown'``)."""
     g = gaps(df, entity_cols, date_col, out)
     g = g.where(F.col(out) != 1)
-    return g.where(exclude) if exclude is not None else g
+    return g.where(keep) if keep is not None else g
 
 
 def date_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:

@@ -58,7 +58,7 @@ SELECT * FROM g WHERE gap <> 1 AND c_nationkey <> 0
 """)
 def q_gap_list(spark, sf_dir):
     p = nation_panel(spark, sf_dir).select("c_nationkey", "date")
-    return gap_list(p, ["c_nationkey"], "date", exclude=F.col("c_nationkey") != 0)
+    return gap_list(p, ["c_nationkey"], "date", keep=F.col("c_nationkey") != 0)
 
 
 @register("gap_fill_last", sql=f"""

@@ -171,3 +171,10 @@ def test_merge_dimension_numeric_status_order(spark):
     ret = spark.createDataFrame([(2, "B", 10), (2, "C", 9), (1, "Z", 1)], "id int, county string, status int")
     got = sorted(tuple(r) for r in merge_dimension(cur, ret, "id", "status", "county", None, ()).collect())
     assert got == [(1, "A"), (2, "C")]
+
+
+def test_correction_table_duplicates_are_deterministic(spark):
+    df = spark.createDataFrame([("Aikin",)], "county string")
+    table = spark.createDataFrame([("Aikin", "Aitkin"), ("Aikin", "Aitkin2")], "src string, dst string")
+    for _ in range(2):
+        assert conform_with_table(df, "county", table.repartition(2)).first().county == "Aitkin"

@@ -64,7 +64,7 @@ def sample_n(df: DataFrame, n: int, key: str | Column, seed: str = "0") -> DataF
     Ties on the hash are broken by the key itself.
     """
     k = F.col(key) if isinstance(key, str) else key
-    h = F.md5(F.concat(k.cast("string"), F.lit(str(seed))))
+    h = F.md5(F.concat_ws("", k.cast("string"), F.lit(str(seed))))      # null key -> md5(seed), not null
     return df.withColumn("__h", h).orderBy("__h", k).limit(n).drop("__h")
 
 

@@ -1,7 +1,8 @@
 """Single-pass data-quality profiler.
 
-Every check family is *one* aggregation over the table (optionally grouped, e.g. by
-year) instead of one job per column, and every result has the same long shape::
+Any mix of check families (completeness, validity, rule shares, distinct counts, key
+uniqueness) runs as *one* aggregation over the table (``suite``; optionally grouped, e.g.
+by year) instead of one job per column, and every result has the same long shape::
 
     table string, group string, check string, observed double, expected double, passed boolean
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +27,14 @@ from panelspark.functions.text import (
     override,
     regex_conform,
 )
+from panelspark.operators import quality as Q
 from panelspark.operators.baseline import share_of_baseline
 from panelspark.operators.charts import markers, panels
 from panelspark.operators.dims import attach, merge_dimension
 from panelspark.operators.evaluate import rmse_summary
 from panelspark.operators.events import align, event_axis, event_windows, sample_events, select_events
 from panelspark.operators.forecast import fit_forecast, forecast_scores
+from panelspark.operators.relational import pivot_count
 from panelspark.operators.rollup import hours_to_daily
 from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import schemas as S
@@ -59,6 +62,7 @@ BASE_TEST_YEAR = 2019
 ALIGN_UNTIL = "2022-01-01"
 DAY_ORIGIN = "2020-01-01"
 TRAIN_LENGTH, TEST_LENGTH = 30, 10
+URBAN_RURAL = ["Rural", "Urban"]
 
 
 @dataclass
@@ -90,6 +94,68 @@ def load_sources(spark: SparkSession, paths: SourcePaths) -> dict[str, DataFrame
     }
 
 
+def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
+    """The source checks of the preparation stage as one long report (table, group, check,
+    observed, expected, passed): completeness, sign, deaths <= cases, key uniqueness,
+    unique dates per entity and time-step continuity for every source -- per year for the
+    yearly families -- plus volume stations missing from both station lists.  Each part
+    is one aggregation (gaps: one aggregation and one window over distinct days)."""
+    cases_rule = {"deaths_le_cases": F.col("deaths") <= F.col("cases")}
+    counts = ["cases", "deaths"]
+    nat, st, cc = src["national_cases"], src["state_cases"], src["county_cases"]
+    hv = src["hourly_volume"]
+    hv_cols = [c for c in hv.columns if c != "year"]
+    hv_keys = ["station_id", "dir_of_travel", "lane_of_travel"]
+    cur, ret, cd = src["current_stations"], src["retired_stations"], src["county_districts"]
+    known = cur.select(F.col("continuous_number").alias("station_id")).unionByName(
+        ret.select(F.col("continuous_number").alias("station_id")))
+    parts = [
+        Q.suite(nat, "national_cases", not_null=nat.columns, non_negative=counts, rules=cases_rule,
+                unique=[["date"]]),
+        Q.gap_stats(nat, "national_cases", [], "date"),
+        Q.suite(st, "state_cases", not_null=st.columns, non_negative=counts, rules=cases_rule,
+                distinct=["state"], unique=[["state", "date"]]),
+        Q.unique_groups(st, "state_cases", ["state"], "date"),
+        Q.gap_stats(st, "state_cases", ["state"], "date"),
+        Q.suite(cc, "county_cases", ["year"], not_null=[c for c in cc.columns if c != "year"],
+                non_negative=counts, rules=cases_rule, unique=[["county", "state", "date"]]),
+        Q.unique_groups(cc, "county_cases", ["state", "county"], "date", ["year"]),
+        Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"]),
+        Q.suite(hv, "hourly_volume", ["year"], not_null=hv_cols, non_negative=[*hv_keys, *S.HOUR_COLUMNS],
+                distinct=["station_id"], unique=[[*hv_keys, "date"]]),
+        Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"]),
+        Q.unmatched(hv.select("station_id").distinct(), known, ["station_id"], table="hourly_volume"),
+        Q.suite(cur, "current_stations", not_null=cur.columns, distinct=cur.columns,
+                unique=[["continuous_number"]]),
+        Q.suite(ret, "retired_stations", not_null=ret.columns, distinct=ret.columns),
+        Q.suite(cd, "county_districts", not_null=cd.columns, distinct=cd.columns),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def coverage_report(src: Mapping[str, DataFrame]) -> DataFrame:
+    """(comparison, name, in_left, in_right) for county names present on one side only:
+    station lists vs the state's case counties, and case counties vs the district list
+    (names conformed first, as the preparation stage does)."""
+    def conform(c):
+        return apply_corrections(regex_conform(c, SAINT_LOUIS_PATTERN, "Saint Louis"),
+                                 COUNTY_CORRECTIONS, COUNTY_PREFIX_RULES)
+
+    stations = src["current_stations"].select(conform("county_name").alias("county")).unionByName(
+        src["retired_stations"].select(conform("county").alias("county")))
+    cases = (src["county_cases"].where((F.col("state") == STATE) & (F.col("county") != UNKNOWN_COUNTY))
+             .select(conform("county").alias("county")))
+    districts = county_district_table(src["county_districts"]).select("county")
+    return (Q.coverage(stations, cases, "county").select(F.lit("stations~cases").alias("comparison"), "*")
+            .unionByName(Q.coverage(cases, districts, "county")
+                         .select(F.lit("cases~districts").alias("comparison"), "*")))
+
+
+def urban_rural_split(src: Mapping[str, DataFrame]) -> DataFrame:
+    """One row: current stations per Urban/Rural class (values given, so no discovery pass)."""
+    return pivot_count(src["current_stations"], "urban_rural", URBAN_RURAL)
+
+
 def county_district_table(county_districts: DataFrame) -> DataFrame:
     """(county, district): names conformed, multi-district counties overridden."""
     c = county_districts.select(
@@ -236,6 +302,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         prep.add_argument(f"--{f.replace('_', '-')}", required=True)
     prep.add_argument("--null-as-zero", action="store_true")
     prep.add_argument("--table-root", help="folder for the tables' files (default: the warehouse)")
+    qual = sub.add_parser("quality", help="raw files -> data-quality and name-coverage report tables")
+    for f in SourcePaths.__dataclass_fields__:
+        qual.add_argument(f"--{f.replace('_', '-')}", required=True)
+    qual.add_argument("--prefix", default="dq_")
     mod = sub.add_parser("model", help="output tables -> share, events, windows, forecasts, scores")
     mod.add_argument("--policy-dates", required=True, help="comma-separated yyyy-MM-dd")
     mod.add_argument("--base-dates", type=int, default=4)
@@ -244,7 +314,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = p.parse_args(argv)
 
     spark = get_session()
-    if args.cmd == "prepare":
+    if args.cmd == "quality":
+        paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
+        src = load_sources(spark, paths)
+        write_table(quality_report(src), f"{args.prefix}report")
+        write_table(coverage_report(src), f"{args.prefix}coverage")
+    elif args.cmd == "prepare":
         paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
         root = args.table_root.rstrip("/") if args.table_root else None
         table_paths = {k: f"{root}/{v}" for k, v in TABLE_NAMES.items()} if root else None

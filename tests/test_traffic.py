@@ -140,3 +140,29 @@ def test_cli_prepare_then_model(spark):
     assert spark.table(T.TABLE_NAMES["county_volume"]).count() == 95      # station 1: 93 days, station 4: 2
     out = T.model(spark, T.read_outputs(spark), ["2020-02-15"], n_base_dates=1)
     assert out["covid_windows"].count() == 40
+
+
+def _sources(spark, name):
+    base = scratch_path(spark, name)
+    _write_sources(base)
+    return T.load_sources(spark, T.SourcePaths(
+        hourly_volume=f"{base}/wim", current_stations=f"{base}/current.csv",
+        retired_stations=f"{base}/retired.csv", county_districts=f"{base}/districts.csv",
+        county_cases=f"{base}/counties", state_cases=f"{base}/us-states.csv",
+        national_cases=f"{base}/us.csv", timeline=f"{base}/timeline.csv"))
+
+
+def test_quality_and_coverage_reports(spark):
+    src = _sources(spark, "traffic-dq")
+    rep = {(r.table, r.group, r.check): (r.observed, r.expected, r.passed) for r in T.quality_report(src).collect()}
+    assert rep[("county_cases", "2020", "not_null(deaths)")] == (4.0, 5.0, False)       # Puerto Rico
+    assert rep[("county_cases", "2020", "share_valid(deaths_le_cases)")] == (1.0, 1.0, True)
+    assert rep[("hourly_volume", "2020", "unique(station_id,dir_of_travel,lane_of_travel,date)")][2] is True
+    assert rep[("hourly_volume", "2020", "gap_share_1")] == (1.0, 1.0, True)
+    assert rep[("hourly_volume", "all", "unmatched(station_id)")] == (1.0, 0.0, False)     # station 9
+    assert rep[("state_cases", "all", "gap_mean")] == (1.0, 1.0, True)
+    assert rep[("current_stations", "all", "unique(continuous_number)")][2] is True
+    cov = {(r.comparison, r.name, r.in_left, r.in_right) for r in T.coverage_report(src).collect()}
+    assert ("stations~cases", "Hennepin", True, False) in cov and ("cases~districts", "Saint Louis", True, True) not in cov
+    split = T.urban_rural_split(src).first()
+    assert (split.Rural, split.Urban) == (0, 1)

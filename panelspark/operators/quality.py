@@ -62,7 +62,9 @@ def _family_aggs(not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
     for i, c in enumerate(distinct):
         d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
         aggs += [d.alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
-        rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), None))
+        # Descriptive: distinct values next to non-null values, no pass/fail (uniqueness of
+        # a key is the ``unique`` family).
+        rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), F.lit(None)))
     for i, keys in enumerate(unique):
         # struct(...) is never null, so null keys count as a value (duplicates of each other).
         aggs.append(F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias(f"__u{i}"))
@@ -101,7 +103,7 @@ def share_valid(df: DataFrame, table: str, rules: Mapping[str, Column],
 
 def distinct_counts(df: DataFrame, table: str, columns: Sequence[str],
                     group_by: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """Distinct values per column against its non-null count (passed = all values unique).
+    """Distinct values per column next to its non-null count (informational: passed is null).
 
     Exact by default.  Several exact distinct counts in one query are planned as an
     ``Expand`` (one copy of each row per column); at very large scale ``approx=True``

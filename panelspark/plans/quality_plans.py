@@ -68,7 +68,7 @@ _DISTINCT_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 @register("dq_distinct", sql=_long_sql(
     "a AS (SELECT " + ", ".join(f"COUNT(DISTINCT {c}) AS d_{c}, COUNT({c}) AS nn_{c}" for c in _DISTINCT_COLS)
     + " FROM orders)",
-    "orders", "'all'", [(f"distinct({c})", f"d_{c}", f"nn_{c}", None) for c in _DISTINCT_COLS]))
+    "orders", "'all'", [(f"distinct({c})", f"d_{c}", f"nn_{c}", "NULL") for c in _DISTINCT_COLS]))
 def q_dq_distinct(spark, sf_dir):
     return Q.distinct_counts(table(spark, sf_dir, "orders"), "orders", _DISTINCT_COLS)
 
@@ -161,7 +161,7 @@ _SUITE_SQL = _long_sql(
     [(f"not_null({c})", f"nn_{c}", "n", None) for c in ORDERS_COLS]
     + [("non_negative(o_totalprice)", "ok_price", "okn_price", None),
        ("share_valid(known_status)", "s_status", "1.0", None),
-       ("distinct(o_orderpriority)", "d_prio", "dn_prio", None)])
+       ("distinct(o_orderpriority)", "d_prio", "dn_prio", "NULL")])
 
 
 @register("dq_suite", sql=_SUITE_SQL)

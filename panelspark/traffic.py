@@ -128,7 +128,7 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
         Q.suite(cur, "current_stations", not_null=cur.columns, distinct=cur.columns,
                 unique=[["continuous_number"]]),
         Q.suite(ret, "retired_stations", not_null=ret.columns, distinct=ret.columns),
-        Q.suite(cd, "county_districts", not_null=cd.columns, distinct=cd.columns),
+        Q.suite(cd, "county_districts", not_null=cd.columns, distinct=cd.columns, unique=[["county"]]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

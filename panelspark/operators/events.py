@@ -68,6 +68,8 @@ def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date",
     """(*keys, event_date, split, ds, y): ``train`` = the ``before`` rows up to the event,
     ``test`` = the ``after`` rows following it.  ``series`` has one row per (keys, date);
     ``events`` carries ``event_col`` (and the series ``keys`` when there are several)."""
+    if before < 0 or after < 0:
+        raise ValueError("before and after must be >= 0")
     keys = list(keys)
     s = series.select(*keys, F.col(date_col).alias("ds"), F.col(value_col).alias("y"))
     ev = events.select(*keys, F.col(event_col).alias("event_date")).where(
@@ -90,7 +92,7 @@ def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date",
 
     fan = anchored.select(*keys, "event_date", "anchor", F.explode(
         F.sequence(F.col("anchor") - F.lit(before - 1), F.col("anchor") + F.lit(after))).alias("rn")
-    ).where(F.col("rn") >= 1)
+    ).where((F.col("rn") >= 1) & F.lit(before + after > 0))
     out = fan.join(numbered, [*keys, "rn"], "inner")
     split = F.when(F.col("rn") <= F.col("anchor"), F.lit("train")).otherwise(F.lit("test"))
     return out.select(*keys, "event_date", split.alias("split"), "ds", "y")

@@ -29,7 +29,9 @@ def _fitted(windows: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
     """Every window row plus the future days, each with yhat and the residual spread sd."""
     g = [*keys, "event_date"]
     obs = windows.select(*g, "split", "ds", F.col("y").cast("double").alias("y"))
-    future = (windows.select(*g).distinct()
+    if horizon < 0:
+        raise ValueError("horizon must be >= 0")
+    future = (windows.select(*g).distinct().where(F.lit(horizon > 0))
               .select(*g, F.lit("future").alias("split"),
                       F.explode(F.sequence(F.date_add("event_date", 1), F.date_add("event_date", horizon))).alias("ds"),
                       F.lit(None).cast("double").alias("y")))

@@ -56,10 +56,11 @@ def _on_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str) -> DataF
     w = _w(entity_cols, date_col)
     last_day = F.coalesce(F.date_sub(F.lead(date_col).over(w), 1), F.col(date_col))
     value_cols = [c for c in df.columns if c not in entity_cols and c != date_col]
+    # explode_outer: a row with a null date passes through unchanged instead of vanishing.
     expanded = (df.withColumn("__last", last_day)
-                .withColumn("__day", F.explode(F.sequence(F.col(date_col), F.col("__last"),
-                                                          F.expr("INTERVAL 1 DAY")))))
-    filled = F.col("__day") != F.col(date_col)
+                .withColumn("__day", F.explode_outer(F.sequence(F.col(date_col), F.col("__last"),
+                                                                F.expr("INTERVAL 1 DAY")))))
+    filled = F.coalesce(F.col("__day") != F.col(date_col), F.lit(False))
     return expanded.select(*entity_cols, F.col("__day").alias(date_col),
                            *[F.when(~filled, F.col(v)).alias(v) for v in value_cols], filled.alias("filled"))
 

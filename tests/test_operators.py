@@ -178,3 +178,18 @@ def test_correction_table_duplicates_are_deterministic(spark):
     table = spark.createDataFrame([("Aikin", "Aitkin"), ("Aikin", "Aitkin2")], "src string, dst string")
     for _ in range(2):
         assert conform_with_table(df, "county", table.repartition(2)).first().county == "Aitkin"
+
+
+def test_edge_cases_zero_lengths_and_null_dates(spark):
+    from panelspark.operators.forecast import fit_forecast
+    from panelspark.operators.panel import fill_last
+    s = spark.createDataFrame([(D(2020, 1, 1) + dt.timedelta(i), float(i)) for i in range(20)], "date date, y double")
+    ev = spark.createDataFrame([(D(2020, 1, 10),)], "event_date date")
+    assert event_windows(s, ev, "date", "y", 0, 0).count() == 0
+    assert sorted(r.ds.day for r in event_windows(s, ev, "date", "y", 0, 2).collect()) == [11, 12]
+    w = event_windows(s, ev, "date", "y", 5, 2)
+    assert fit_forecast(w, horizon=0).count() == 5
+    df = spark.createDataFrame([("A", D(2020, 1, 1), 1.0), ("A", None, 9.0), ("A", D(2020, 1, 3), 3.0)],
+                               "e string, date date, v double")
+    got = sorted(((r.date.day if r.date else 0), r.v, r.filled) for r in fill_last(df, ["e"], ["v"]).collect())
+    assert got == [(0, 9.0, False), (1, 1.0, False), (2, 1.0, True), (3, 3.0, False)]

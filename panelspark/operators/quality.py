@@ -164,28 +164,52 @@ def unmatched_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return agg.select(F.inline(F.array(row(left_table, F.col("__ml")), row(right_table, F.col("__mr")))))
 
 
+def day_counts(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
+    """(*entity, date, n_rows) for non-null dates: the per-day grain of the continuity checks."""
+    return (df.where(F.col(date_col).isNotNull())
+            .groupBy(*entity_cols, date_col).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def day_gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
     """(entity, date, n_rows, prev_date, gap) over *distinct* days of each entity."""
-    days = (df.where(F.col(date_col).isNotNull())
-            .groupBy(*entity_cols, date_col).agg(F.count(F.lit(1)).alias("n_rows")))
     w = Window.partitionBy(*entity_cols).orderBy(date_col)
     prev = F.lag(date_col).over(w)
-    return days.withColumn("prev_date", prev).withColumn("gap", F.datediff(F.col(date_col), F.col("prev_date")))
+    return (day_counts(df, entity_cols, date_col).withColumn("prev_date", prev)
+            .withColumn("gap", F.datediff(F.col(date_col), F.col("prev_date"))))
 
 
 def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: str = "date",
-              group_by: Sequence[str] = ()) -> DataFrame:
-    """Time-step continuity: min, max, mean gap and share of 1-day gaps (expected 1 each)."""
+              group_by: Sequence[str] = (), unique_days: bool = False,
+              listed_in: tuple[str, DataFrame] | None = None,
+              max_broadcast_rows: int = 100_000) -> DataFrame:
+    """Time-step continuity: min, max, mean gap and share of 1-day gaps (expected 1 each).
+
+    One pipeline: rows -> per-(entity, day) counts -> gap window -> per-entity aggregate
+    -> per-group aggregate.  Two more checks ride on the per-entity level at no extra
+    scan: ``unique_days`` adds the share of entities whose dates never repeat, and
+    ``listed_in=(col, known)`` adds the number of distinct ``col`` values (e.g. station
+    ids) absent from ``known`` -- a small list, joined at the per-entity level.
+    """
     part = list(group_by) + [e for e in entity_cols if e not in group_by]
     g = day_gaps(df, part, date_col)
-    agg = g.groupBy(*group_by).agg(
-        F.sum(F.col("n_rows") - 1).alias("__zeros"),
-        F.count("gap").alias("__steps"),
-        F.sum("gap").alias("__sum"),
-        F.count_if(F.col("gap") == 1).alias("__ones"),
-        F.min("gap").alias("__min"),
-        F.max("gap").alias("__max"),
-    )
+    ent = g.groupBy(*part).agg(
+        F.sum(F.col("n_rows") - 1).alias("__z"), F.count("gap").alias("__st"), F.sum("gap").alias("__su"),
+        F.count_if(F.col("gap") == 1).alias("__on"), F.min("gap").alias("__mi"), F.max("gap").alias("__ma"),
+        F.max("n_rows").alias("__mn"))
+    extra_aggs, extra_rows = [], []
+    if unique_days:
+        extra_aggs.append(F.avg((F.col("__mn") == 1).cast("int")).alias("__ud"))
+        extra_rows.append((f"unique_within({date_col} by {','.join(entity_cols)})", F.col("__ud"), F.lit(1.0), None))
+    if listed_in is not None:
+        from panelspark.operators.relational import broadcast_if_bounded
+        col, known = listed_in
+        k = known.select(F.col(col)).where(F.col(col).isNotNull()).distinct().withColumn("__listed", F.lit(True))
+        ent = ent.join(broadcast_if_bounded(k, max_broadcast_rows, probe=known), col, "left")
+        extra_aggs.append(F.count_distinct(F.when(F.col("__listed").isNull(), F.col(col))).alias("__um"))
+        extra_rows.append((f"unmatched({col})", F.col("__um"), F.lit(0.0), None))
+    agg = ent.groupBy(*group_by).agg(
+        F.sum("__z").alias("__zeros"), F.sum("__st").alias("__steps"), F.sum("__su").alias("__sum"),
+        F.sum("__on").alias("__ones"), F.min("__mi").alias("__min"), F.max("__ma").alias("__max"), *extra_aggs)
     total = F.col("__zeros") + F.col("__steps")
     min_gap = F.when(F.col("__zeros") > 0, F.lit(0)).otherwise(F.col("__min"))
     max_gap = F.coalesce(F.col("__max"), F.when(F.col("__zeros") > 0, F.lit(0)))
@@ -195,6 +219,7 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
         ("gap_min", min_gap, F.lit(1.0), None),
         ("gap_max", max_gap, F.lit(1.0), None),
         ("gap_count", total, F.lit(None), F.lit(None)),
+        *extra_rows,
     ]
     return _report(agg, table, group_by, rows)
 

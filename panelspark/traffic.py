@@ -98,8 +98,12 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
     """The source checks of the preparation stage as one long report (table, group, check,
     observed, expected, passed): completeness, sign, deaths <= cases, key uniqueness,
     unique dates per entity and time-step continuity for every source -- per year for the
-    yearly families -- plus volume stations missing from both station lists.  Each part
-    is one aggregation (gaps: one aggregation and one window over distinct days)."""
+    yearly families -- plus volume stations missing from both station lists.
+
+    Each source is read twice: once by its ``suite`` (one aggregation over every column
+    check) and once by its continuity pipeline (``gap_stats``), which also yields the
+    unique-days share and, for the volume data, the stations missing from both lists.
+    """
     cases_rule = {"deaths_le_cases": F.col("deaths") <= F.col("cases")}
     counts = ["cases", "deaths"]
     nat, st, cc = src["national_cases"], src["state_cases"], src["county_cases"]
@@ -115,16 +119,15 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
         Q.gap_stats(nat, "national_cases", [], "date"),
         Q.suite(st, "state_cases", not_null=st.columns, non_negative=counts, rules=cases_rule,
                 distinct=["state"], unique=[["state", "date"]]),
-        Q.unique_groups(st, "state_cases", ["state"], "date"),
-        Q.gap_stats(st, "state_cases", ["state"], "date"),
+        Q.gap_stats(st, "state_cases", ["state"], "date", unique_days=True),
         Q.suite(cc, "county_cases", ["year"], not_null=[c for c in cc.columns if c != "year"],
                 non_negative=counts, rules=cases_rule, unique=[["county", "state", "date"]]),
-        Q.unique_groups(cc, "county_cases", ["state", "county"], "date", ["year"]),
-        Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"]),
+        Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"], unique_days=True),
+        # approx: an informational station count; exact distinct plus the exact key check
+        # would copy every row of the largest table once per distinct aggregate.
         Q.suite(hv, "hourly_volume", ["year"], not_null=hv_cols, non_negative=[*hv_keys, *S.HOUR_COLUMNS],
-                distinct=["station_id"], unique=[[*hv_keys, "date"]]),
-        Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"]),
-        Q.unmatched(hv.select("station_id").distinct(), known, ["station_id"], table="hourly_volume"),
+                distinct=["station_id"], approx=True, unique=[[*hv_keys, "date"]]),
+        Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"], listed_in=("station_id", known)),
         Q.suite(cur, "current_stations", not_null=cur.columns, distinct=cur.columns,
                 unique=[["continuous_number"]]),
         Q.suite(ret, "retired_stations", not_null=ret.columns, distinct=ret.columns),

@@ -159,7 +159,9 @@ def test_quality_and_coverage_reports(spark):
     assert rep[("county_cases", "2020", "share_valid(deaths_le_cases)")] == (1.0, 1.0, True)
     assert rep[("hourly_volume", "2020", "unique(station_id,dir_of_travel,lane_of_travel,date)")][2] is True
     assert rep[("hourly_volume", "2020", "gap_share_1")] == (1.0, 1.0, True)
-    assert rep[("hourly_volume", "all", "unmatched(station_id)")] == (1.0, 0.0, False)     # station 9
+    assert rep[("hourly_volume", "2020", "unmatched(station_id)")] == (1.0, 0.0, False)    # station 9
+    assert rep[("hourly_volume", "2019", "unmatched(station_id)")] == (0.0, 0.0, True)
+    assert rep[("county_cases", "2020", "unique_within(date by county,state)")] == (1.0, 1.0, True)
     assert rep[("state_cases", "all", "gap_mean")] == (1.0, 1.0, True)
     assert rep[("current_stations", "all", "unique(continuous_number)")][2] is True
     cov = {(r.comparison, r.name, r.in_left, r.in_right) for r in T.coverage_report(src).collect()}

@@ -31,6 +31,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
               .select(*df.columns)
 
 
+def merge_candidates(candidates: DataFrame, key: str, name_col: str = "county", prio_col: str = "prio",
+                     status_col: str = "status", corrections: Mapping[str, str] | None = COUNTY_CORRECTIONS,
+                     prefix_rules=COUNTY_PREFIX_RULES) -> DataFrame:
+    """One row per key from candidate rows (key, name, prio, status): the lowest priority
+    wins (current = 0 before retired = 1), then the lowest status, then the name.  One
+    aggregation; names are conformed afterwards."""
+    merged = first_per_key(candidates.select(key, name_col, prio_col, status_col), [key],
+                           [prio_col, status_col, name_col]).select(key, name_col)
+    return merged.withColumn(name_col, apply_corrections(name_col, corrections, prefix_rules))
+
+
 def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col: str,
                     name_col: str = "county", corrections: Mapping[str, str] | None = COUNTY_CORRECTIONS,
                     prefix_rules=COUNTY_PREFIX_RULES) -> DataFrame:
@@ -38,13 +49,13 @@ def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col
 
     One aggregation over ``current`` union ``retired``: a current row wins (priority 0),
     otherwise the retired row with the lowest status (then name).  Each input is scanned
-    once and the merge needs no anti-join.  Names are conformed afterwards.
+    once and the merge needs no anti-join.  When both lists come from one table, build
+    the candidates in one pass and call :func:`merge_candidates` directly.
     """
     status_type = retired.schema[status_col].dataType      # keep its own ordering (numbers, dates)
     cur = current.select(key, name_col, F.lit(0).alias("__prio"), F.lit(None).cast(status_type).alias("__status"))
     ret = retired.select(key, name_col, F.lit(1).alias("__prio"), F.col(status_col).alias("__status"))
-    merged = first_per_key(cur.unionByName(ret), [key], ["__prio", "__status", name_col]).select(key, name_col)
-    return merged.withColumn(name_col, apply_corrections(name_col, corrections, prefix_rules))
+    return merge_candidates(cur.unionByName(ret), key, name_col, "__prio", "__status", corrections, prefix_rules)
 
 
 def attach(fact: DataFrame, dim: DataFrame, on, how: str = "left",

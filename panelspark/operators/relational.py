@@ -16,17 +16,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSION_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Assumed width of a variable-length value (strings, binary, arrays, maps) when bounding
+# the bytes of a broadcast from its schema.
+VARIABLE_WIDTH = 64
+
+
+def estimated_row_bytes(schema: T.StructType) -> int:
+    """A generous per-row size from the schema alone (no data read)."""
+    def width(dt: T.DataType) -> int:
+        if isinstance(dt, T.StructType):
+            return sum(width(f.dataType) for f in dt.fields)
+        if isinstance(dt, (T.ByteType, T.BooleanType)):
+            return 1
+        if isinstance(dt, (T.ShortType,)):
+            return 2
+        if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+            return 4
+        if isinstance(dt, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
+            return 8
+        if isinstance(dt, T.DecimalType):
+            return 16
+        return VARIABLE_WIDTH
+    return 16 + width(schema)
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
-                         probe: DataFrame | None = None) -> DataFrame:
+                         probe: DataFrame | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Hint ``df`` for broadcast when ``probe`` (default ``df``; pass the source table
-    when ``df`` is a reduction of it) holds at most ``max_rows`` rows."""
+    when ``df`` is a reduction of it) holds at most ``max_rows`` rows, and those rows at
+    ``df``'s estimated width fit in ``max_bytes``."""
+    cap = min(max_rows, max_bytes // estimated_row_bytes(df.schema))
+    if cap < 1:
+        return df
     src = probe if probe is not None else df
-    n = len(src.select(F.lit(1).alias("one")).take(max_rows + 1))
-    return F.broadcast(df) if n <= max_rows else df
+    n = len(src.select(F.lit(1).alias("one")).take(cap + 1))
+    return F.broadcast(df) if n <= cap else df
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left",

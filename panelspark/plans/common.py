@@ -61,16 +61,24 @@ def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(nation_region(spark, sf_dir), "c_nationkey", "inner")
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders read as an event timeline: (date, category, order_type, event_type, description)."""
-    o = table(spark, sf_dir, "orders")
+def timeline_columns(orders: DataFrame) -> DataFrame:
+    """Orders read as events: adds date, category, order_type, event_type, description."""
     order_type = (F.when(F.col("o_orderstatus") == "F", "Restriction")
                   .when(F.col("o_orderstatus") == "O", "Relaxation").otherwise("Other"))
     event_type = F.when(F.col("o_totalprice") > 300000, "Effective").otherwise("Announced")
-    return o.select(F.col("o_orderdate").cast("date").alias("date"),
-                    F.col("o_orderpriority").alias("category"),
-                    order_type.alias("order_type"), event_type.alias("event_type"),
-                    F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"))
+    return orders.withColumns({
+        "date": F.col("o_orderdate").cast("date"),
+        "category": F.col("o_orderpriority"),
+        "order_type": order_type,
+        "event_type": event_type,
+        "description": F.concat(F.lit("order "), F.col("o_orderkey").cast("string")),
+    })
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as an event timeline: (date, category, order_type, event_type, description)."""
+    return timeline_columns(table(spark, sf_dir, "orders")).select(
+        "date", "category", "order_type", "event_type", "description")
 
 
 # SQL fragments shared by the oracle texts.

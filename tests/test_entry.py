@@ -21,3 +21,34 @@ def test_every_key_runs_on_smallest_sf(spark):
     for name, fn in E.queries().items():
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.limit(5).count() >= 0, name
+
+
+class _FakeContext:
+    def __init__(self, master, conf_dir=None):
+        self.master, self._conf_dir, self._dir = master, conf_dir, None
+
+    def getCheckpointDir(self):
+        return self._dir
+
+    def getConf(self):
+        return {"spark.checkpoint.dir": self._conf_dir} if self._conf_dir else {}
+
+    def setCheckpointDir(self, d):
+        self._dir = d
+
+
+class _FakeSession:
+    def __init__(self, sc):
+        self.sparkContext = sc
+
+
+def test_checkpoint_dir_comes_from_the_session_and_is_never_local_on_a_cluster():
+    import pytest
+
+    from panelspark.session import ensure_checkpoint_dir
+    shared = _FakeContext("yarn", "hdfs://nn/shared/ckpt")
+    assert ensure_checkpoint_dir(_FakeSession(shared)) == "hdfs://nn/shared/ckpt"
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(_FakeSession(_FakeContext("spark://host:7077")))
+    local = _FakeContext("local[2]")
+    assert ensure_checkpoint_dir(_FakeSession(local)).startswith("/")

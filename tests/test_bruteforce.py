@@ -101,3 +101,42 @@ def test_forecast_scores_equal_join_based_rmse(spark, day_offsets, event_offsets
     for k in a:
         (ra, na), (rb, nb) = a[k], b[k]
         assert na == nb and ((ra is None and rb is None) or abs(ra - rb) < 1e-9), (k, a[k], b[k])
+
+
+def _brute_fills(rows, k):
+    """pandas: reindex each entity to every day between its first and last row; an added
+    day takes the last observed non-null value, or the mean of the observed values within
+    k days either side."""
+    last, mean = [], []
+    df = pd.DataFrame(rows, columns=["e", "date", "v"])
+    for e, g in df.groupby("e"):
+        s = g.set_index(pd.to_datetime(g["date"]))["v"].astype("float64")
+        full = s.reindex(pd.date_range(s.index.min(), s.index.max(), freq="D"))
+        added = ~full.index.isin(s.index)
+        ffill = full.ffill()
+        centred = full.rolling(2 * k + 1, center=True, min_periods=1).mean()
+        for d, a, v, f, m in zip(full.index, added, full, ffill, centred):
+            day = d.date()
+            last.append((e, day, f if a else v, bool(a)))
+            mean.append((e, day, m if a else v, bool(a)))
+    return last, mean
+
+
+def _norm(rows):
+    return sorted((e, d, None if v is None or (isinstance(v, float) and np.isnan(v)) else round(v, 9), f)
+                  for e, d, v, f in rows)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.one_of(st.none(), st.integers(-50, 50))),
+                min_size=1, max_size=40, unique_by=lambda t: (t[0], t[1])),
+       st.integers(1, 3))
+def test_fills_match_pandas(spark, raw, k):
+    from panelspark.operators.panel import fill_last, fill_mean
+    rows = [(f"e{e}", D0 + dt.timedelta(d), None if v is None else float(v)) for e, d, v in raw]
+    df = spark.createDataFrame(rows, "e string, date date, v double")
+    want_last, want_mean = _brute_fills(rows, k)
+    got_last = [tuple(r) for r in fill_last(df, ["e"], ["v"]).select("e", "date", "v", "filled").collect()]
+    got_mean = [tuple(r) for r in fill_mean(df, ["e"], ["v"], k=k).select("e", "date", "v", "filled").collect()]
+    assert _norm(got_last) == _norm(want_last)
+    assert _norm(got_mean) == _norm(want_mean)

@@ -42,7 +42,12 @@ def share_of_baseline(df: DataFrame, date_col: str = "date", value_col: str = "t
     c_lo, c_hi = year_bounds(*compare_years)
     in_base = between_dates(date_col, b_lo, b_hi)
     in_cmp = between_dates(date_col, c_lo, c_hi)
-    rows = calendar_keys(df.where(in_base | in_cmp), date_col, week53_to_52)
+    # Touching or overlapping ranges reach the scan as one range, otherwise as their OR.
+    if c_lo <= (b_hi or c_lo) and b_lo <= (c_hi or b_lo):
+        scan = between_dates(date_col, min(b_lo, c_lo), None if None in (b_hi, c_hi) else max(b_hi, c_hi))
+    else:
+        scan = in_base | in_cmp
+    rows = calendar_keys(df.where(scan), date_col, week53_to_52)
     slot = Window.partitionBy(*CAL_KEYS, *by)
     base = F.avg(F.when(in_base, F.col(value_col))).over(slot)
     out = rows.withColumn("baseline", base).where(in_cmp)

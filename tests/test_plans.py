@@ -45,11 +45,26 @@ def test_checkpointed_keys_read_no_source_in_final_plan(spark, key):
 
 def test_flagship_pushes_date_ranges_and_prunes_columns(spark):
     plan = _plan(spark, "share_of_baseline")
-    assert re.search(r"PushedFilters: \[Or\(And\(GreaterThanOrEqual\(o_orderdate", plan)
+    # Baseline 1995-97 and compared 1998- touch: one range reaches the scan.
+    assert re.search(r"PushedFilters: \[IsNotNull\(o_orderdate\), GreaterThanOrEqual\(o_orderdate,1995-01-01", plan)
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
     assert "partial_sum" in plan and "SortMergeJoin" not in plan
 
 
+def test_disjoint_year_ranges_reach_scan_as_or(spark):
+    from pyspark.sql import functions as F
+
+    from panelspark.operators.baseline import share_of_baseline
+    daily = (spark.read.parquet(f"{SF}/orders.parquet")
+             .groupBy(F.col("o_orderdate").cast("date").alias("date"))
+             .agg(F.sum("o_totalprice").alias("total_volume")))
+    out = share_of_baseline(daily, baseline_years=(1993, 1994), compare_years=(1996, 1997))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[.*Or\(And\(GreaterThanOrEqual\(o_orderdate,1993", plan)
+    got = out.agg(F.min("date"), F.max("date")).first()
+    assert str(got[0]) >= "1996-01-01" and str(got[1]) < "1998-01-01"
+
+
 def test_range_filter_reaches_scan(spark):
     plan = _plan(spark, "filter_range")
     assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in plan and "LessThan(o_orderdate," in plan

@@ -33,8 +33,8 @@ def share_of_baseline(df: DataFrame, date_col: str = "date", value_col: str = "t
                       week53_to_52: bool = False) -> DataFrame:
     """(date, *by, value, baseline, share, pct_diff) for the compared years.
 
-    One pass over the input: rows of both year ranges are read together (one scan with
-    an OR of two date ranges), and the baseline is a windowed mean over each calendar slot
+    One pass over the input: rows of both year ranges are read together (one scan filtered
+    on both date ranges, merged into one when they touch), and the baseline is a windowed mean over each calendar slot
     (week, weekday, *by) restricted to baseline rows.  A slot holds one row per year and
     ``by`` value, so the window stays small however large the input, and no join is needed.
     """

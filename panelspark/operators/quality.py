@@ -214,7 +214,8 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
     min_gap = F.when(F.col("__zeros") > 0, F.lit(0)).otherwise(F.col("__min"))
     max_gap = F.coalesce(F.col("__max"), F.when(F.col("__zeros") > 0, F.lit(0)))
     rows = [
-        ("gap_mean", F.try_divide(F.col("__sum").cast("double"), total), F.lit(1.0), None),
+        # Only repeated days (0-day gaps) leave the sum of day steps null; their mean is 0.
+        ("gap_mean", F.try_divide(F.coalesce(F.col("__sum"), F.lit(0)).cast("double"), total), F.lit(1.0), None),
         ("gap_share_1", F.try_divide(F.col("__ones").cast("double"), total), F.lit(1.0), None),
         ("gap_min", min_gap, F.lit(1.0), None),
         ("gap_max", max_gap, F.lit(1.0), None),

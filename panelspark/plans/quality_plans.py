@@ -121,8 +121,8 @@ g AS (SELECT *, datediff('day', lag(date) OVER (PARTITION BY year, l_returnflag,
 a AS (SELECT year, SUM(n - 1) AS zeros, COUNT(gap) AS steps, SUM(gap) AS s,
              COUNT(*) FILTER (WHERE gap = 1) AS ones, MIN(gap) AS mn, MAX(gap) AS mx FROM g GROUP BY year)""",
     "lineitem", "CAST(year AS VARCHAR)",
-    [("gap_mean", "CAST(s AS DOUBLE) / (zeros + steps)", "1.0", None),
-     ("gap_share_1", "CAST(ones AS DOUBLE) / (zeros + steps)", "1.0", None),
+    [("gap_mean", "CAST(COALESCE(s, 0) AS DOUBLE) / NULLIF(zeros + steps, 0)", "1.0", None),
+     ("gap_share_1", "CAST(ones AS DOUBLE) / NULLIF(zeros + steps, 0)", "1.0", None),
      ("gap_min", "CASE WHEN zeros > 0 THEN 0 ELSE mn END", "1.0", None),
      ("gap_max", "COALESCE(mx, CASE WHEN zeros > 0 THEN 0 END)", "1.0", None),
      ("gap_count", "zeros + steps", "NULL", "NULL")])

@@ -140,3 +140,23 @@ def test_fills_match_pandas(spark, raw, k):
     got_mean = [tuple(r) for r in fill_mean(df, ["e"], ["v"], k=k).select("e", "date", "v", "filled").collect()]
     assert _norm(got_last) == _norm(want_last)
     assert _norm(got_mean) == _norm(want_mean)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), min_size=2, max_size=60))
+def test_gap_stats_match_pandas(spark, raw):
+    """Gaps between consecutive rows of each entity in date order (a repeated day is a
+    0-day gap), pooled over entities: min, max, mean, share of 1-day gaps, count."""
+    from panelspark.operators import quality as Q
+    rows = [(f"e{e}", D0 + dt.timedelta(d)) for e, d in raw]
+    df = spark.createDataFrame(rows, "e string, date date")
+    rep = {r.check: r.observed for r in Q.gap_stats(df, "t", ["e"]).collect()}
+    p = pd.DataFrame(rows, columns=["e", "date"]).assign(date=lambda x: pd.to_datetime(x["date"]))
+    g = p.sort_values(["e", "date"]).groupby("e")["date"].diff().dropna().dt.days
+    if len(g) == 0:
+        assert rep["gap_count"] == 0
+        return
+    assert rep["gap_count"] == len(g)
+    assert rep["gap_min"] == g.min() and rep["gap_max"] == g.max()
+    assert abs(rep["gap_mean"] - g.mean()) < 1e-9
+    assert abs(rep["gap_share_1"] - (g == 1).mean()) < 1e-9

@@ -160,3 +160,15 @@ def test_gap_stats_match_pandas(spark, raw):
     assert rep["gap_min"] == g.min() and rep["gap_max"] == g.max()
     assert abs(rep["gap_mean"] - g.mean()) < 1e-9
     assert abs(rep["gap_share_1"] - (g == 1).mean()) < 1e-9
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 4), st.one_of(st.none(), st.integers(0, 6))), min_size=1, max_size=40))
+def test_unique_groups_match_pandas(spark, raw):
+    """Share of groups whose non-null values never repeat."""
+    from panelspark.operators import quality as Q
+    df = spark.createDataFrame([(f"g{g}", v) for g, v in raw], "g string, v int")
+    rep = {r.check: r.observed for r in Q.unique_groups(df, "t", ["g"], "v").collect()}
+    p = pd.DataFrame(raw, columns=["g", "v"])
+    want = p.groupby("g")["v"].apply(lambda s: s.dropna().is_unique).mean()
+    assert abs(rep["unique_within(v by g)"] - want) < 1e-9

@@ -24,3 +24,36 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, 3 * source_size AS cap FROM s),
+q AS (
+  SELECT *, ((SELECT sum(size) FROM d) - coalesce(sum(cap) OVER before, 0))
+            / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER before, 0.0)) AS quotient
+  FROM w WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT *, least(CAST(cap AS DOUBLE), weight * (SELECT max(quotient) FROM q)) AS target FROM q),
+r AS (
+  SELECT d.doc_id, d.size, CAST(t.source_size AS BIGINT) AS source_size, t.target, t.rank, t.weight, d.key,
+         CAST(sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)
+              - d.size AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT *, greatest(least(CAST(round(target) AS BIGINT) - copy * source_size - before, size), 0) AS words,
+         (copy * source_size + before + size) / weight AS finish
+  FROM r, (VALUES (0), (1), (2)) c(copy)),
+o AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, rank, key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) - words AS position
+  FROM e)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       CAST(sum(words) AS BIGINT) AS taken,
+       CAST(min(position) FILTER (WHERE words > 0) AS BIGINT) AS first_position
+FROM o GROUP BY doc_id, key, rank, before
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate
+from panelspark.llm import decontaminate, mixing, token_counts
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -25,8 +25,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (hit["n_hit"] > 0).alias("contaminated"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted, t = token_counts.count_tokens(docs, "byte_bpe_50k.json", carry=["doc_id"])
+    tok = F.col(t)
+    return counted.select("doc_id", tok["n_bytes"].alias("n_bytes"), tok["n_tokens"].alias("n_tokens"),
+                          token_counts.over_limit(tok["n_tokens"]).alias("over_limit"))
+
+
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
+    "op2_source_mixing": (op2_source_mixing, S.OP2),
+    "op6_token_counts": (op6_token_counts, None),
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, mixing, token_counts
+from panelspark.llm import decontaminate, mixing, near_dedup, token_counts
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -30,6 +30,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_groups(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted, t = token_counts.count_tokens(docs, "byte_bpe_50k.json", carry=["doc_id"])
@@ -41,6 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
+    "op4_near_dedup": (op4_near_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
 }
 

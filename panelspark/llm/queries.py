@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, mixing, near_dedup, token_counts
+from panelspark.llm import decontaminate, mixing, near_dedup, suffix_dedup, token_counts
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -35,6 +35,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut, c = suffix_dedup.cut_repeats(docs, length=100, carry=["doc_id"])
+    return cut.select("doc_id", *[F.col(c)[f].alias(f) for f in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted, t = token_counts.count_tokens(docs, "byte_bpe_50k.json", carry=["doc_id"])
@@ -47,6 +53,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
     "op4_near_dedup": (op4_near_dedup, None),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
 }
 

@@ -75,6 +75,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def power_inverse(n: int) -> np.ndarray:
+    """The factors that shift prefix differences starting at 0 .. n-1 to one scale."""
+    return _power(_BASE_INV, n)
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal bytes give equal hashes wherever they stand."""
     inv = _power(_BASE_INV, len(prefix))

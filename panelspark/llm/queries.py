@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, mixing, near_dedup, suffix_dedup, token_counts
+from panelspark.llm import decontaminate, language_model, mixing, near_dedup, suffix_dedup, token_counts
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -49,12 +49,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           token_counts.over_limit(tok["n_tokens"]).alias("over_limit"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
     "op4_near_dedup": (op4_near_dedup, None),
     "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op8_lm_scoring": (op8_lm_scoring, None),
 }
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.llm.tables import released
 from panelspark.llm.textscan import add_struct, flat, fresh, mix64, pieces, power_inverse, prefix_hash, span_hash
 
 LENGTH = 100
@@ -199,22 +200,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``docs``: (id, tid, text) with LAST_ID for null ids.
     """
-    spark = docs.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"   # a round's shuffle ends with its checkpoint
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        found = []
-        first = _by_document(judge(_first_round(docs, length))).checkpoint()
-        found.append(_only(first, DUP))
-        blocks = _by_document(judge(_next_round(_meet(docs, _only(first, ASK)), length, BLOCK))).checkpoint()
-        found.append(_only(blocks, DUP))
-        strings = judge(_next_round(_meet(docs, _only(blocks, ASK)), length, 1), last=True)
-        found.append(_by_document(strings).checkpoint())
-        every = found[0].union(found[1]).union(found[2])
-        return every.groupBy("id", "tid").agg(F.flatten(F.collect_list("runs")).alias("runs")).checkpoint()
-    finally:
-        spark.conf.set(key, was)
+    first = released(_by_document(judge(_first_round(docs, length))))
+    blocks = released(_by_document(judge(_next_round(_meet(docs, _only(first, ASK)), length, BLOCK))))
+    strings = judge(_next_round(_meet(docs, _only(blocks, ASK)), length, 1), last=True)
+    every = _only(first, DUP).union(_only(blocks, DUP)).union(released(_by_document(strings)))
+    return released(every.groupBy("id", "tid").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 _CUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),

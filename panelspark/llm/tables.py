@@ -1,4 +1,4 @@
-"""Input tables of the registered queries."""
+"""Input tables of the registered queries, and steps that free their shuffle files."""
 
 from __future__ import annotations
 
@@ -10,3 +10,21 @@ from panelspark.session import ensure_checkpoint_dir
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def released(df: DataFrame) -> DataFrame:
+    """``df`` in a reliable checkpoint; the shuffle files that made it go when it is written.
+
+    Without that they stay until the driver collects its garbage, so a job of several large
+    steps would hold the files of all of them.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(_CLEAN, was)

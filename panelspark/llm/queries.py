@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, language_model, mixing, near_dedup, suffix_dedup, token_counts
+from panelspark.llm import (
+    decontaminate, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -30,6 +31,17 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored, t = toxicity.score(docs, chain, carry=["doc_id"])
+    last = F.col(t)[toxicity.LAST]
+    return scored.select(
+        "doc_id", (quality_gam.id_part(F.col("doc_id")) == 0).alias("held_out"),
+        *[F.col(t)[c].alias(f"p_{c}") for c in chain.names[:-1]], last.alias("score"),
+        (last >= toxicity.THRESHOLD).alias("toxic"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_groups(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -53,13 +65,23 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, q = quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    value = F.col(q)["score"]
+    return scored.select("doc_id", (quality_gam.id_part(F.col("doc_id")) == 0).alias("held_out"), value.alias("score"),
+                         (value >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
+
+
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_near_dedup": (op4_near_dedup, None),
     "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
+    "op9_quality_classifier": (op9_quality_classifier, None),
 }
 
 

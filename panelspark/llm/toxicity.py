@@ -9,9 +9,9 @@ The tables label one category, ``toxic``.  The finer ones before it are weak lab
 belongs to ``insult`` or ``demeaning`` if it has one of the category's words.  ``toxic``, the last
 in the chain, is learned from its labels alone and so finds words that no list has.
 
-Features are chosen from all training rows: of the hashed words with at least ``min_rows`` rows,
-the ``n_features`` most associated with the last category.  The models are fitted on at most
-``max_rows`` labelled rows, half of them toxic ones if there are so many.
+The models are fitted on at most ``max_rows`` labelled rows, at most half of them toxic ones.  Their
+features are, of the hashed words with at least ``min_rows`` of these rows, the ``n_features`` most
+associated with the last category.
 
 Defined cases: a null or empty text has no features and gets the models' intercepts; rows without
 a label are not trained on; of several labels of one id the largest counts; without training rows
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.quality_gam import id_part
+from panelspark.llm.quality_gam import sample_texts
 from panelspark.llm.textscan import ALNUM, Words, add_struct, flat, fresh, list_array, pieces, prefix_hash, span_hash
 
 MAX_ROWS, N_FEATURES, MIN_ROWS = 20_000, 4096, 5
 BEGINNINGS = (4, 5, 6)      # bytes of a word's beginning that count as features besides the word
 FOLDS, STEPS, L2 = 4, 150, 1.0
-THRESHOLD = 0.2
+THRESHOLD = 0.5
 FILTER_BITS = 18
 
 #: Weak labels: the words that put a toxic row into a finer category.
@@ -136,15 +136,8 @@ def fit_chain(names: list[str], features: np.ndarray, row, col, y: np.ndarray, f
     return Chain(names, features, models)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
-        F.max(label).cast("int").alias("y"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(id_part(F.col("id")) != 0)
-    return rows.join(marks, "id")
-
-
 def _chosen(rows: DataFrame, n_features: int, min_rows: int) -> np.ndarray:
-    """The hashes most associated with y over all training rows.  A row counts a hash once; the
+    """The hashes most associated with y over the training rows.  A row counts a hash once; the
     counts combine map-side, so common words do not pile up in one task."""
     def run(batches):
         for piece in pieces(batches, "text"):
@@ -176,12 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     modulo 5."""
     categories = CATEGORIES if categories is None else categories
     names = [*categories, label]
-    rows = _labelled(docs, labels, doc_id, text, label).checkpoint()
+    rows = sample_texts(docs, labels, doc_id, text, label, max_rows, balanced=True).checkpoint()
     chosen = Features(_chosen(rows, n_features, min_rows))
     lists = [{w.encode() for w in words} for words in categories.values()]
-    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
-    bad = rows.where("y > 0").orderBy(*order).limit(max_rows // 2)
-    sample = bad.union(rows.where("y <= 0").orderBy(*order).limit(max_rows - max_rows // 2))
 
     def run(batches):
         for piece in pieces(batches, "text"):
@@ -200,9 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                  list_array(np.column_stack(marks).astype(np.int8).ravel(), np.full(piece.num_rows, len(names)), pa.int8())],
                 names=["id", "cols", "y"])
 
-    got = sample.select("id", "text", "y").mapInArrow(
-        run, T.StructType([T.StructField("id", sample.schema["id"].dataType), T.StructField("cols", T.ArrayType(T.IntegerType())),
-                           T.StructField("y", T.ArrayType(T.ByteType()))])).orderBy(F.xxhash64("id"), "id", "cols").toArrow()
+    got = rows.select("id", "text", "y").mapInArrow(
+        run, T.StructType([rows.schema["id"], T.StructField("cols", T.ArrayType(T.IntegerType())),
+                           T.StructField("y", T.ArrayType(T.ByteType()))])).orderBy("id").toArrow()
     n = got.num_rows
     if not n:
         return Chain(names, chosen.hashes, [Linear(np.zeros(1), np.zeros(k), -30.0) for k in range(len(names))])

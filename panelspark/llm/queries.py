@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import (
-    decontaminate, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
+    decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
 from panelspark.llm import sql as S
 from panelspark.llm.tables import table
 
@@ -61,6 +61,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           token_counts.over_limit(tok["n_tokens"]).alias("over_limit"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +84,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_near_dedup": (op4_near_dedup, None),
     "op5_suffix_dedup": (op5_suffix_dedup, None),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_fingerprints": (op7_fingerprints, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
 }

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelspark.llm import (
-    decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
+    arc_warc, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
 from panelspark.llm import sql as S
-from panelspark.llm.tables import table
+from panelspark.llm.tables import released, table
+from panelspark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +79,19 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (value >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    arc_warc.write_arc(pages, arc)
+    arc_warc.convert(spark, arc, warc)
+    return arc_warc.page_records(released(arc_warc.read_warc(spark, warc))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
@@ -87,6 +102,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op7_fingerprints": (op7_fingerprints, None),
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
+    "op10_warc": (op10_warc, S.OP10),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 
 

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.running import add_total_before, fine_bucket
+from panelspark.llm.running import FINE_ROWS, add_total_before, fine_bucket
+from panelspark.llm.textscan import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -83,11 +84,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                .withColumn("words", F.greatest(F.least(served - start, F.col("size")), F.lit(0))))
     # Global order by virtual finish time: words are served at an even pace, so equal slices of
     # virtual time hold about equal numbers of words.
-    share = F.when(F.col("level") > 0, F.least(F.col("finish") / (F.col("level") * max_copies), F.lit(1.0))).otherwise(0.0)
+    share = F.when(F.col("level") > 0, F.least(F.col("finish") / F.col("level"), F.lit(1.0))).otherwise(0.0)
     total_rows = F.sum(F.col("rows")).over(Window.partitionBy())
     counts = src.select(F.col("rank").alias("_rank"), (total_rows * max_copies).alias("_entries"))
-    entries = (entries.join(counts, F.col("rank") == F.col("_rank")).drop("_rank")
-               .withColumn("_slice", fine_bucket(share, F.col("_entries"))).withColumn("_all", F.lit(0)))
+    # Entries that are not served come after, spread evenly: they move no position.
+    slices = F.greatest(F.ceil(F.col("_entries") / float(FINE_ROWS)), F.lit(1))
+    after = slices + F.pmod(F.xxhash64("key", "copy"), slices)
+    entries = (entries.join(counts, F.col("rank") == F.col("_rank")).drop("_rank").withColumn("_all", F.lit(0))
+               .withColumn("_slice", F.when(F.col("words") > 0, fine_bucket(share, F.col("_entries"))).otherwise(after)))
     return (add_total_before(entries, "_all", "_slice", [F.col("finish"), F.col("rank"), F.col("row_bucket"),
                                                          F.col("row_rank"), F.col("copy")], "words", "position", "_n")
             .select("key", "copy", "rank", "row_bucket", "row_rank", "doc_id", "source", "size", "source_size",
@@ -108,12 +112,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     **options) -> DataFrame:
     """The documents that the mix takes, with all their columns plus a struct ``mix`` (taken,
     copies, first_position).  Equal rows are matched one to one."""
-    from panelspark.llm.textscan import fresh
-
     key, nth, out = (fresh(c, docs.columns) for c in ("_mix_key", "_mix_nth", "mix"))
-    same = Window.partitionBy(key).orderBy(key)
-    left = docs.withColumn(key, shuffle_key(doc_id, text)).withColumn(nth, F.row_number().over(same))
+    left = docs.withColumn(key, shuffle_key(doc_id, text))
     right = taken(mix(docs, doc_id, text, source, **options)).select(
-        F.col("key").alias(key), F.struct("taken", "copies", "first_position").alias(out))
-    right = right.withColumn(nth, F.row_number().over(same))
-    return (left.join(right, [key, nth]).where(F.col(out)["taken"] > 0).select(*docs.columns, out))
+        F.col("key").alias(key), F.struct("taken", "copies", "first_position").alias(out)).checkpoint()
+    twice = right.groupBy(key).count().where("count > 1").select(key)
+    if twice.limit(1).count():
+        # Equal rows: number them on both sides.
+        same = Window.partitionBy(key).orderBy(key)
+        left = left.withColumn(nth, F.row_number().over(same))
+        joined = left.join(right.withColumn(nth, F.row_number().over(same)), [key, nth])
+    else:
+        joined = left.join(right, key)
+    return joined.where(F.col(out)["taken"] > 0).select(*docs.columns, out)

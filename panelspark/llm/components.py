@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.tables import released
+
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, label): ``label`` is the smallest node of the component; nodes without an edge
@@ -20,16 +22,18 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = (edges.select(F.col("a").alias("node"), F.col("b").alias("to"))
             .union(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-            .where(F.col("node") != F.col("to")).distinct().checkpoint())
+            .where(F.col("node") != F.col("to")).distinct())
+    both = released(both)
     labels = (both.groupBy("node").agg(F.min("to").alias("near"))
-              .select("node", F.least("node", "near").alias("label")).checkpoint())
+              .select("node", F.least("node", "near").alias("label")))
+    labels = released(labels)
     for _ in range(max_rounds):
         to = labels.select(F.col("node").alias("to"), F.col("label").alias("to_label"))
         near = both.join(to, "to").groupBy("node").agg(F.min("to_label").alias("near"))
         stepped = (labels.join(near, "node")
                    .select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         up = stepped.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        nxt = (stepped.join(up, "label").select("node", "was", F.least("label", "up").alias("label"))).checkpoint()
+        nxt = released(stepped.join(up, "label").select("node", "was", F.least("label", "up").alias("label")))
         changed = nxt.where(F.col("was") != F.col("label")).limit(1).count()
         labels = nxt.select("node", "label")
         if not changed:

@@ -68,14 +68,14 @@ def next_documents(ids: DataFrame) -> DataFrame:
     """
     ranges = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc("kid"), F.desc("tid")]
-    placed = ids.repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id()).checkpoint()
+    placed = released(ids.repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id()))
     heads = placed.groupBy("pid").agg(F.max(F.struct(*KEY)).alias("head"))
     by_range = Window.orderBy("pid")
     after = heads.select("pid", F.coalesce(F.lead("head").over(by_range),
                                            F.first("head").over(by_range)).alias("after"))
     led = placed.withColumn("to", F.lead(F.struct(*KEY)).over(Window.partitionBy("pid").orderBy(*order)))
     to = F.coalesce("to", "after")
-    return led.join(after, "pid").select(*KEY, "n_chars", "n", to["kid"].alias("nkid"), to["tid"].alias("ntid")).checkpoint()
+    return released(led.join(after, "pid").select(*KEY, "n_chars", "n", to["kid"].alias("nkid"), to["tid"].alias("ntid")))
 
 
 def versions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelspark.llm.running import FINE_ROWS, add_total_before, fine_bucket
+from panelspark.llm.tables import released
 from panelspark.llm.textscan import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,8 +115,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies, first_position).  Equal rows are matched one to one."""
     key, nth, out = (fresh(c, docs.columns) for c in ("_mix_key", "_mix_nth", "mix"))
     left = docs.withColumn(key, shuffle_key(doc_id, text))
-    right = taken(mix(docs, doc_id, text, source, **options)).select(
-        F.col("key").alias(key), F.struct("taken", "copies", "first_position").alias(out)).checkpoint()
+    right = released(taken(mix(docs, doc_id, text, source, **options)).select(
+        F.col("key").alias(key), F.struct("taken", "copies", "first_position").alias(out)))
     twice = right.groupBy(key).count().where("count > 1").select(key)
     if twice.limit(1).count():
         # Equal rows: number them on both sides.

@@ -28,17 +28,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm.components import components
+from panelspark.llm.tables import released
 from panelspark.llm.textscan import NON_SPACE, Words, add_struct, flat, fresh, list_array, mix64, pieces, window_hashes
 
 ROWS, BANDS = 6, 40
 BATCH = 40                 # hashes in a verification batch
 MISS = 1e-9                # posterior probability at which a pair is given up
 HUB_ROUNDS = 6             # at most; then all pairs that are left are compared
+ALL_PAIRS = 4              # all pairs are compared once there are at most so many per row
 SMALL_ROWS = 500_000       # keys of at most this many rows (24 bytes each) are broadcast
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -175,80 +177,82 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: float = MISS) -> DataFrame:
-    """(node, label): component of every class that is linked with another class.
+    """(node, label): component of every class that shares a band with another class.
 
     ``signed``: (id, tid, n_shingles, cls, head, bands, sig) by document; ``docs``: (id, tid, text).
     """
-    threshold = percent / 100
     has = signed.where(F.col("cls").isNotNull())
     # ``head``: the first 8 bytes of the class digest, so that this aggregate works on longs.
     shared = (has.select(F.explode("bands").alias("key"), "head").groupBy("key")
               .agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("key"))
-    member = (has.select(F.explode("bands").alias("key"), F.col("cls").alias("node")).join(shared, "key")
-              .distinct().checkpoint())
+    member = released(has.select(F.explode("bands").alias("key"), F.col("cls").alias("node")).join(shared, "key").distinct())
     # How connected a class is: the sum of the sizes of its bands.  Hubs are the most connected.
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    score = member.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("score"))
+    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    score = member.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("score"))
     reps = (has.groupBy(F.col("cls").alias("node"))
-            .agg(F.min(F.struct("id", "tid", "n_shingles", "sig")).alias("r")))
-    node = (score.join(reps, "node").select("node", "score", F.col("r.id").alias("id"), F.col("r.tid").alias("tid"),
-                                            F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")).checkpoint())
+            .agg(F.min(F.struct("id", "tid", F.col("n_shingles").alias("n"), "sig")).alias("r")))
+    node = released(score.join(reps, "node").select("node", "score", "r.*"))
     wanted = node.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"))
     if node.count() <= SMALL_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, docs["tid"].eqNullSafe(wanted["_tid"]) & docs["id"].eqNullSafe(wanted["_id"]), "left_semi")
-    sets = _sets(texts, size).dropDuplicates(["node"]).checkpoint()
-    light = node.select("node", "n")
+    sets = released(_sets(texts, size).dropDuplicates(["node"]))
+    member = released(member.join(node.select("node", "score", "n"), "node"))
     sigs = node.select("node", "sig")
-    member = member.join(node.select("node", "score", "n"), "node")
 
     def judged(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
-        fits = (pairs.join(light.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-                .join(light.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-                .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b"))
-        signed_pairs = (fits.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-                        .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"))
-        return verify(bayes_prune(signed_pairs, threshold, miss).checkpoint(), sets, percent).checkpoint()
-
-    labels = light.select("node", F.col("node").alias("label"))
-    found: DataFrame | None = None
-    open_rows = member.checkpoint()
-    hubs = None
+        both = (pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+                .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"))
+        return released(verify(bayes_prune(both, percent / 100, miss), sets, percent))
+
+    def fits(n: str, m: str) -> Column:
+        return 100 * F.least(n, m) >= percent * F.greatest(n, m)      # else the sizes rule a link out
+
+    labels = node.select("node", F.col("node").alias("label"))
+    rows = member.withColumn("label", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
-        rows = open_rows.join(labels, "node")
-        # Pairs still to compare in each band: members of different components, less the hubs,
-        # which have been compared with all.
-        left = (rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-                .agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("pairs")).where("pairs > 0"))
-        rows = rows.join(left, "key").checkpoint()
-        state = rows.select("key", "pairs").distinct().agg(F.sum("pairs"), F.count(F.lit(1))).first()
-        todo, open_keys = state[0] or 0, state[1]
-        if not open_keys:
+        if turn:
+            rows = rows.drop("label").join(labels, "node")
+        # Pairs of different components still to compare in each band.  Hubs have been compared with
+        # all and are no longer among the rows.
+        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        left = counts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        left = left.where(F.col("all") * F.col("all") > F.col("same")).select("key")
+        rows = released(rows.join(left, "key"))
+        n_rows = rows.count()
+        if not n_rows:
             break
-        few = todo <= 4 * rows.count() or turn == HUB_ROUNDS
+        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        todo = (counts.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
+                .agg(F.sum("p")).first()[0]) // 2
+        few = todo <= ALL_PAIRS * n_rows or turn == HUB_ROUNDS
         if few:
             other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
             pairs = (rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))
-                     & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-                     .select(F.col("node").alias("a"), "b").distinct())
+                                                   & fits("n", "n_b"))
+                     .select(F.col("node").alias("a"), "b"))
         else:
             hubs = rows.groupBy("key").agg(F.max(F.struct("score", "node", "label", "n")).alias("h"))
-            with_hub = rows.join(hubs, "key").where(F.col("node") != F.col("h.node"))
-            pairs = (with_hub.where((F.col("label") != F.col("h.label"))
-                     & (100 * F.least("n", F.col("h.n")) >= percent * F.greatest("n", F.col("h.n"))))
-                     .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
-            open_rows = with_hub.select("key", "node", "score", "n")
-        new = judged(pairs)
-        found = new if found is None else found.union(new)
-        known = components(found)
-        labels = (light.join(known, "node", "left")
-                  .select("node", F.coalesce("label", "node").alias("label"))).checkpoint()
+            rows = rows.join(hubs, "key").where(F.col("node") != F.col("h.node"))
+            pairs = (rows.where((F.col("label") != F.col("h.label")) & fits("n", "h.n"))
+                     .select(F.col("h.node").alias("a"), F.col("node").alias("b")))
+            rows = rows.drop("h")
+        labels = _merged(labels, judged(pairs.distinct()))
         if few:
             break
     return labels
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` with the components joined that the links (a, b) connect."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    edges = found.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return released(labels.join(joined, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
                 miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, tid, label) with one row per document.
@@ -257,7 +261,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     """
     src = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
     made = add_struct(src, "text", _SIGNED, "s", lambda piece: _signed(piece, "text", shingle), ["id", "tid"])
-    signed = made.select("id", "tid", "s.*").checkpoint()
+    signed = made.select("id", "tid", "s.*")
+    signed = released(signed)
     labels = links(signed, src, shingle, percent, miss)
     rows = signed.select("id", "tid", "n_shingles", "cls")
     # The smallest id of each class, then of each component; both combine map-side.
@@ -281,12 +286,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     id_, tid = (fresh(c, docs.columns) for c in ("_near_id", "_near_tid"))
     rows = near_groups(docs, doc_id, text, **options).where("label is not null").select(
-        F.col("doc_id").alias(id_), F.col("tid").alias(tid), "label").checkpoint()
+        F.col("doc_id").alias(id_), F.col("tid").alias(tid), "label")
+    rows = released(rows)
     best = rows.groupBy("label").agg(F.min(F.struct(F.col(id_).isNull().alias("last"), id_, tid)).alias("best"))
     per = rows.groupBy(id_, tid, "label").agg(F.count(F.lit(1)).alias("n")).join(best, "label")
     is_best = F.col("best")[id_].eqNullSafe(F.col(id_)) & (F.col("best")[tid] == F.col(tid))
-    drop = per.where(~is_best).select(id_, tid).checkpoint()
-    twice = per.where(is_best & (F.col("n") > 1)).select(id_, tid).checkpoint()
+    drop = released(per.where(~is_best).select(id_, tid))
+    twice = released(per.where(is_best & (F.col("n") > 1)).select(id_, tid))
 
     def meets(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys     # 24 bytes a row

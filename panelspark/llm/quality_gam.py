@@ -238,116 +238,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(np.stack(got.column("x").to_numpy()), got.column("y").to_numpy().astype(float))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
-
-
-def _leaves(grad: np.ndarray, hess: np.ndarray, depth: int = 2) -> np.ndarray:
-    """A shallow tree on one histogram: the Newton step of each bin's leaf."""
-    out = np.zeros(len(grad))
-
-    def grow(a: int, b: int, left: int) -> None:
-        g, h = np.cumsum(grad[a:b]), np.cumsum(hess[a:b])
-        if left and b - a > 1:
-            gain = (g[:-1] ** 2 / (h[:-1] + 1) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1) - g[-1] ** 2 / (h[-1] + 1))
-            if gain.max() > 1e-6:
-                cut = a + 1 + int(gain.argmax())
-                grow(a, cut, left - 1)
-                grow(cut, b, left - 1)
-                return
-        out[a:b] = g[-1] / (h[-1] + 1)
-
-    grow(0, len(grad), depth)
-    return out
-
-
-def _pair_leaves(grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, float]:
-    """The best cut of one axis with a cut of the other on either side: (steps, gain)."""
-    best, step = 0.0, np.zeros_like(grad)
-    whole = grad.sum() ** 2 / (hess.sum() + 1)
-    for flip in (False, True):
-        g, h = (grad.T, hess.T) if flip else (grad, hess)
-        for cut in range(1, len(g)):
-            made, gain = np.zeros_like(g), -whole
-            for rows in (slice(0, cut), slice(cut, len(g))):
-                leaf = _leaves(g[rows].sum(0), h[rows].sum(0), 1)
-                made[rows] = leaf
-                gain += (leaf * g[rows].sum(0)).sum()
-            if gain > best:
-                best, step = gain, made.T if flip else made
-    return step, best
-
-
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    share = float(y.mean()) if len(y) else 0.5
-    if not len(y) or share in (0.0, 1.0):
-        return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    quantiles = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    coarse = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, PAIR_BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    model = Model(float(np.log(share / (1 - share))), quantiles, [np.zeros(len(e) + 1) for e in quantiles], coarse)
-    bins = [np.searchsorted(e, x[:, f], "right") for f, e in enumerate(quantiles)]
-    margin = np.full(len(y), model.intercept)
-
-    def slopes() -> tuple[np.ndarray, np.ndarray]:
-        p = 1 / (1 + np.exp(-margin))
-        return y - p, p * (1 - p)
-
-    for _ in range(ROUNDS):
-        for f, b in enumerate(bins):
-            g, h = slopes()
-            step = RATE * _leaves(np.bincount(b, g, len(quantiles[f]) + 1), np.bincount(b, h, len(quantiles[f]) + 1))
-            model.tables[f] += step
-            margin += step[b]
-    small = [np.searchsorted(e, x[:, f], "right") for f, e in enumerate(coarse)]
-
-    def grid(f: int, q: int, v: np.ndarray) -> np.ndarray:
-        m, k = len(coarse[f]) + 1, len(coarse[q]) + 1
-        return np.bincount(small[f] * k + small[q], v, m * k).reshape(m, k)
-
-    g, h = slopes()
-    gains = sorted(((_pair_leaves(grid(f, q, g), grid(f, q, h))[1], f, q)
-                    for f in range(x.shape[1]) for q in range(f)), reverse=True)[:PAIRS]
-    model.pairs = [(f, q, np.zeros((len(coarse[f]) + 1, len(coarse[q]) + 1))) for gain, f, q in gains if gain > 0]
-    for _ in range(PAIR_ROUNDS):
-        for f, q, table in model.pairs:
-            g, h = slopes()
-            step = RATE * _pair_leaves(grid(f, q, g), grid(f, q, h))[0]
-            table += step
-            margin += step[small[f], small[q]]
-    return model
-
-
-def id_part(doc_id: Column, parts: int = 5) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % parts
-
-
-_SCORE = T.StructType([T.StructField("score", T.DoubleType())])
-
-
-def with_features(docs: DataFrame, text: str, name: str, carry: list[str]) -> DataFrame:
-    def make(piece: pa.RecordBatch) -> list[pa.Array]:
-        x = features(piece.column(text))
-        return [list_array(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())]
-
-    return add_struct(docs, text, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))]), name, make, carry)
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-          max_rows: int = MAX_ROWS) -> Model:
-    """A model of the labelled rows whose id's crc32 is not 0 modulo 5."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(id_part(F.col("id")) != 0)
-    # Only the ids are sorted for the sample; its texts, at most max_rows, follow.
-    sample = (rows.select("id").join(marks, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)).checkpoint()
-    made = with_features(rows.join(F.broadcast(sample), "id"), "text", "f", ["id", "y"])
-    # Repeated ids could exceed the bound; order makes the rows that count repeatable.
-    got = made.select("id", "y", "f.x").orderBy(F.xxhash64("id"), "id", "x").limit(max_rows).toArrow()
-    if not got.num_rows:
-        return fit(np.empty((0, len(FEATURES))), np.empty(0))
-    x = np.stack(got.column("x").to_numpy())
-    return fit(x, (got.column("y").to_numpy() > 0).astype(float))
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "quality",
           carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """``docs`` with a struct (score) and its name; ``model`` is a few kB and travels with the code."""

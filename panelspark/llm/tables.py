@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.session import ensure_checkpoint_dir
+from panelspark.session import ensure_checkpoint_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +16,17 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def released(df: DataFrame) -> DataFrame:
-    """``df`` in a reliable checkpoint; the shuffle files that made it go when it is written.
+    """``df`` as a table written in the shared scratch folder; its shuffle files go with the write.
 
-    Without that they stay until the driver collects its garbage, so a job of several large
-    steps would hold the files of all of them.
+    checkpoint() keeps them until the driver collects its garbage, so a job of several large steps
+    would hold the files of all of them.  The table also lets later steps read single columns.
     """
-    conf = df.sparkSession.conf
-    was = conf.get(_CLEAN, "false")
-    conf.set(_CLEAN, "true")
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
     try:
-        return df.checkpoint()
+        df.write.parquet(path)
     finally:
-        conf.set(_CLEAN, was)
+        spark.conf.set(_CLEAN, was)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ r"""MinHash near-duplicate detection with sequential Bayesian verification.
 3. Candidates of a band are compared with the band's most connected member first, and their
    components formed.  Bands whose members are then in one component need no more pairs; for
    the others the pairs of different components are compared, again hub by hub while many are
-   left, then all of them.  So a group of n copies costs about n pairs, yet every candidate pair
-   is either compared or already connected.
+   left, then all of them that a parity sketch does not rule out.  So a group of n copies costs
+   about n pairs, yet every candidate pair is compared, already connected, or ruled out exactly:
+   the sketches' xor has at most as many ones as the sets have shingles that they do not share.
 4. A comparison reads the signatures in batches.  After m matches among n hashes, under a uniform
    prior, the posterior probability that the similarity reaches the threshold is
    P(Binomial(n + 1, threshold) <= m); the pair is pruned when that is below ``miss``.
@@ -40,7 +41,8 @@ ROWS, BANDS = 6, 40
 BATCH = 40                 # hashes in a verification batch
 MISS = 1e-9                # posterior probability at which a pair is given up
 HUB_ROUNDS = 6             # at most; then all pairs that are left are compared
-ALL_PAIRS = 4              # all pairs are compared once there are at most so many per row
+ALL_PAIRS = 4              # all pairs are compared once there are at most so many per row,
+IDLE = 0.001               # or once a round of hubs finds fewer links per row than this
 SMALL_ROWS = 500_000       # keys of at most this many rows (24 bytes each) are broadcast
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -151,16 +153,35 @@ def bayes_prune(pairs: DataFrame, threshold: float, miss: float = MISS) -> DataF
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+PARITY = [f"q{i}" for i in range(16)]
+
+
+def _parity(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of 16 longs a set: bit h of 1024 is 1 if an odd number of shingles fall on it."""
+    bits = 64 * len(PARITY)
+    where = np.repeat(np.arange(len(counts)), counts) * bits + (values % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(where, minlength=len(counts) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+
+def _parity_fits(percent: int) -> Column:
+    """Whether the sets of n and n_b shingles can be similar: at similarity p/100 they differ in
+    (n + n_b) * (100 - p) / (100 + p) shingles at most."""
+    ones = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
+    return ones * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, items) of (text): the class and full shingle set of each text."""
+    """(node, items, parity sketch) of (text): the class and full shingle set of each text."""
     def run(batches):
         for piece in pieces(batches, "text"):
             values, counts = shingle_sets(piece.column("text"), size)
             yield pa.RecordBatch.from_arrays([pa.array(_digests(values, counts), pa.binary()),
-                                              list_array(values.view(np.int64), counts, pa.int64())],
-                                             names=["node", "items"])
+                                              list_array(values.view(np.int64), counts, pa.int64()),
+                                              *map(pa.array, np.ascontiguousarray(_parity(values, counts).T))],
+                                             names=["node", "items", *PARITY])
 
-    return docs.select("text").mapInArrow(run, "node binary, items array<long>")
+    return docs.select("text").mapInArrow(run, "node binary, items array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +219,8 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: flo
     texts = docs.join(wanted, docs["tid"].eqNullSafe(wanted["_tid"]) & docs["id"].eqNullSafe(wanted["_id"]), "left_semi")
     sets = released(_sets(texts, size).dropDuplicates(["node"]))
     member = released(member.join(node.select("node", "score", "n"), "node"))
-    sigs = node.select("node", "sig")
+    sigs, parity = node.select("node", "sig"), sets.select("node", *PARITY)
+    sets = sets.select("node", "items")
 
     def judged(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
@@ -209,7 +231,7 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: flo
     def fits(n: str, m: str) -> Column:
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)      # else the sizes rule a link out
 
-    labels = node.select("node", F.col("node").alias("label"))
+    labels, idle = node.select("node", F.col("node").alias("label")), False
     rows = member.withColumn("label", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
         if turn:
@@ -226,11 +248,13 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: flo
         counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         todo = (counts.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
                 .agg(F.sum("p")).first()[0]) // 2
-        few = todo <= ALL_PAIRS * n_rows or turn == HUB_ROUNDS
+        few = todo <= ALL_PAIRS * n_rows or idle or turn == HUB_ROUNDS
         if few:
-            other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+            rows = rows.join(parity, "node")
+            other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"),
+                                *[F.col(c).alias(f"{c}_b") for c in PARITY])
             pairs = (rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))
-                                                   & fits("n", "n_b"))
+                                                   & fits("n", "n_b") & _parity_fits(percent))
                      .select(F.col("node").alias("a"), "b"))
         else:
             hubs = rows.groupBy("key").agg(F.max(F.struct("score", "node", "label", "n")).alias("h"))
@@ -238,7 +262,9 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: flo
             pairs = (rows.where((F.col("label") != F.col("h.label")) & fits("n", "h.n"))
                      .select(F.col("h.node").alias("a"), F.col("node").alias("b")))
             rows = rows.drop("h")
-        labels = _merged(labels, judged(pairs.distinct()))
+        found = judged(pairs.distinct())
+        idle = found.count() < IDLE * n_rows
+        labels = _merged(labels, found)
         if few:
             break
     return labels

@@ -28,17 +28,11 @@ def parse_mixed_dates(c: str | Column, formats: Sequence[str] = DEFAULT_DATE_FOR
     """Parse a string column whose rows use any of ``formats``; unparseable -> null.
 
     ``try_to_date`` keeps this safe under ANSI mode, where ``to_date`` raises.
-    Date and timestamp inputs are cast straight to date.
     """
     c = _col(c)
     return F.coalesce(*[F.try_to_date(c, f) for f in formats])
 
 
-def as_date(c: str | Column) -> Column:
-    """Timestamp / timestamp_ntz / date -> date."""
-    return _col(c).cast("date")
-
-
 def iso_week(c: str | Column, week53_to_52: bool = False) -> Column:
     w = F.weekofyear(_col(c))
     if week53_to_52:

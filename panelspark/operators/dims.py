@@ -33,12 +33,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 
 def merge_candidates(candidates: DataFrame, key: str, name_col: str = "county", prio_col: str = "prio",
                      status_col: str = "status", corrections: Mapping[str, str] | None = COUNTY_CORRECTIONS,
-                     prefix_rules=COUNTY_PREFIX_RULES) -> DataFrame:
-    """One row per key from candidate rows (key, name, prio, status): the lowest priority
+                     prefix_rules=COUNTY_PREFIX_RULES, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per key from candidate rows (key, name, prio, status, *carry): the lowest priority
     wins (current = 0 before retired = 1), then the lowest status, then the name.  One
     aggregation; names are conformed afterwards."""
-    merged = first_per_key(candidates.select(key, name_col, prio_col, status_col), [key],
-                           [prio_col, status_col, name_col]).select(key, name_col)
+    merged = first_per_key(candidates.select(key, name_col, prio_col, status_col, *carry), [key],
+                           [prio_col, status_col, name_col]).select(key, name_col, *carry)
     return merged.withColumn(name_col, apply_corrections(name_col, corrections, prefix_rules))
 
 
@@ -59,9 +59,10 @@ def merge_dimension(current: DataFrame, retired: DataFrame, key: str, status_col
 
 
 def attach(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-           max_broadcast_rows: int | None = 100_000) -> DataFrame:
-    """Join a dimension onto a fact.  The dimension is broadcast only when a size check
-    proves it small; otherwise a shuffle join (AQE may still broadcast at run time)."""
+           max_broadcast_rows: int | None = None) -> DataFrame:
+    """Join a dimension onto a fact: a shuffle join that AQE turns into a broadcast when the
+    dimension's measured size is small.  ``max_broadcast_rows`` checks and hints a *source table*
+    up front; a derived dimension would be computed twice for that."""
     if max_broadcast_rows:
         dim = broadcast_if_bounded(dim, max_broadcast_rows)
     return fact.join(dim, on, how)

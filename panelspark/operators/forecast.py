@@ -7,7 +7,7 @@ For every (series, event) at once, over its training rows, with x = days from th
 * ``yhat = trend * s``; 95 % band ``yhat +- 1.96 * stddev_samp(y - yhat)`` of the training fit;
 * predictions for the training days (history) and the ``horizon`` days after the event.
 
-Plan: training rows, test rows and the future days go into one frame that is
+Plan: training rows, test rows and, for a forecast, the future days go into one frame that is
 hash-partitioned once by the event key; the trend, the weekday index and the residual
 spread are window aggregates over (event) and (event, weekday), which that partitioning
 already satisfies, so the whole fit is one shuffle plus sorts -- no aggregate-and-join
@@ -25,17 +25,15 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 
 
-def _fitted(windows: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """Every window row plus the future days, each with yhat and the residual spread sd."""
+def _fitted(windows: DataFrame, keys: Sequence[str], future_days: int = 0) -> DataFrame:
+    """Every window row, and ``future_days`` after each event, with yhat and the residual spread sd."""
     g = [*keys, "event_date"]
-    obs = windows.select(*g, "split", "ds", F.col("y").cast("double").alias("y"))
-    if horizon < 0:
-        raise ValueError("horizon must be >= 0")
-    future = (windows.select(*g).distinct().where(F.lit(horizon > 0))
-              .select(*g, F.lit("future").alias("split"),
-                      F.explode(F.sequence(F.date_add("event_date", 1), F.date_add("event_date", horizon))).alias("ds"),
-                      F.lit(None).cast("double").alias("y")))
-    rows = (obs.unionByName(future).repartition(*g)
+    rows = windows.select(*g, "split", "ds", F.col("y").cast("double").alias("y"))
+    if future_days:
+        days = F.sequence(F.date_add("event_date", 1), F.date_add("event_date", future_days))
+        rows = rows.unionByName(windows.select(*g).distinct().select(
+            *g, F.lit("future").alias("split"), F.explode(days).alias("ds"), F.lit(None).cast("double").alias("y")))
+    rows = (rows.repartition(*g)
             .withColumn("x", F.datediff("ds", "event_date").cast("double"))
             .withColumn("wd", F.dayofweek("ds")))
     ty = F.when(F.col("split") == "train", F.col("y"))
@@ -60,6 +58,8 @@ def fit_forecast(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10
     ``horizon`` days after each event that has training rows (predictions are null when
     none of those rows has a value)."""
     g = [*keys, "event_date"]
+    if horizon < 0:
+        raise ValueError("horizon must be >= 0")
     f = _fitted(windows, keys, horizon).where(F.col("split").isin("train", "future") & F.col("has_train"))
     return f.select(*g, "ds", "yhat",
                     (F.col("yhat") - F.lit(z) * F.col("sd")).alias("yhat_lower"),
@@ -71,7 +71,7 @@ def forecast_scores(windows: DataFrame, keys: Sequence[str] = (), horizon: int =
     figures as ``evaluate.rmse(windows, fit_forecast(windows))`` without the join.  Test
     days past the forecast horizon have no prediction and are left out, as in the join."""
     g = [*keys, "event_date"]
-    f = _fitted(windows, keys, horizon).where(F.col("split").isin("train", "test"))
+    f = _fitted(windows, keys)
     has_pred = (F.col("split") == "train") | (F.datediff("ds", "event_date") <= horizon)
     yhat = F.when(has_pred & F.col("has_train"), F.col("yhat"))
     sq = F.pow(yhat - F.col("y"), 2)

@@ -3,8 +3,8 @@
 Windows here are always partitioned by the entity, and are meant for *daily-grain*
 panels (one row per entity and day, as produced by the roll-ups): a partition then
 holds at most one row per calendar day, whatever the size of the raw data.  With no
-entity columns the window is one partition -- allowed only for a single daily series,
-whose length the calendar bounds.  The spine of each entity runs from its own first
+entity columns the window is one partition, so the rows are first reduced to one per
+day and the calendar bounds it.  The spine of each entity runs from its own first
 to its own last day (``sequence`` + ``explode``), never a global cross join.
 """
 
@@ -22,7 +22,10 @@ def _w(entity_cols: Sequence[str], date_col: str):
 
 def gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
          out: str = "gap", prev_col: str = "prev_date") -> DataFrame:
-    """Days since the entity's previous row (null for its first row)."""
+    """Days since the entity's previous row (null for its first row).  Without entity columns the
+    result is about the distinct days of the table: (date, prev_date, gap)."""
+    if not entity_cols:
+        df = df.select(date_col).distinct()
     w = _w(entity_cols, date_col)
     return (df.withColumn(prev_col, F.lag(date_col).over(w))
               .withColumn(out, F.datediff(F.col(date_col), F.col(prev_col))))
@@ -37,65 +40,70 @@ def gap_list(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
     return g.where(keep) if keep is not None else g
 
 
-def date_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
-    """Every day from each entity's first to its last observed day."""
-    bounds = df.groupBy(*entity_cols).agg(F.min(date_col).alias("__lo"), F.max(date_col).alias("__hi"))
-    return bounds.select(*entity_cols, F.explode(
-        F.sequence(F.col("__lo"), F.col("__hi"), F.expr("INTERVAL 1 DAY"))).alias(date_col))
-
-
-def _on_spine(df: DataFrame, entity_cols: Sequence[str], date_col: str) -> DataFrame:
+def _on_spine(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str], date_col: str,
+              fills: Sequence[Column]) -> DataFrame:
     """Observed rows plus the missing days after each of them, in one pass.
 
     Each observed row expands to itself and the days up to (not including) the entity's
     next observed day (``lead`` over the entity's window), so the spine needs no separate
-    min/max pass and no join back.  Added days hold nulls and ``filled = true``.  The
-    expansion keeps the entity partitioning, so a following window over the same entity
-    only re-sorts.
+    min/max pass and no join back.  Added days hold ``fills``, one per value column and computed
+    on the observed rows, nulls in the other columns, and ``filled = true``.  Several rows of one
+    day all stay; the last of them expands.
     """
-    w = _w(entity_cols, date_col)
-    last_day = F.coalesce(F.date_sub(F.lead(date_col).over(w), 1), F.col(date_col))
-    value_cols = [c for c in df.columns if c not in entity_cols and c != date_col]
+    w = Window.partitionBy(*entity_cols).orderBy(date_col, *value_cols) if entity_cols else Window.orderBy(
+        date_col, *value_cols)
+    next_day = F.date_sub(F.lead(date_col).over(w), 1)
+    last_day = F.greatest(F.coalesce(next_day, F.col(date_col)), F.col(date_col))
     # explode_outer: a row with a null date passes through unchanged instead of vanishing.
-    expanded = (df.withColumn("__last", last_day)
+    expanded = (df.withColumns({"__last": last_day, **{f"__fill{i}": f for i, f in enumerate(fills)}})
                 .withColumn("__day", F.explode_outer(F.sequence(F.col(date_col), F.col("__last"),
                                                                 F.expr("INTERVAL 1 DAY")))))
     filled = F.coalesce(F.col("__day") != F.col(date_col), F.lit(False))
+    put = {v: F.when(filled, F.col(f"__fill{i}")).otherwise(F.col(v)) for i, v in enumerate(value_cols)}
+    other = [c for c in df.columns if c not in entity_cols and c != date_col]
     return expanded.select(*entity_cols, F.col("__day").alias(date_col),
-                           *[F.when(~filled, F.col(v)).alias(v) for v in value_cols], filled.alias("filled"))
+                           *[put.get(c, F.when(~filled, F.col(c))).alias(c) for c in other], filled.alias("filled"))
+
+
+def _rows_by_day(entity_cols: Sequence[str], value_cols: Sequence[str], date_col: str):
+    w = Window.partitionBy(*entity_cols) if entity_cols else Window
+    return w.orderBy(date_col, *value_cols)
 
 
 def fill_last(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],
               date_col: str = "date") -> DataFrame:
     """Add missing days; each missing value repeats the last observed one.
 
-    ``df`` must be unique by (entity, date).  Observed rows are left untouched and a
-    ``filled`` flag marks the added days.
+    Observed rows are left untouched and a ``filled`` flag marks the added days.  Of several rows of
+    one day the last in the order of their values counts.
     """
-    j = _on_spine(df, entity_cols, date_col)
-    w = _w(entity_cols, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.withColumns({v: F.when(F.col("filled"), F.last(v, ignorenulls=True).over(w)).otherwise(F.col(v))
-                          for v in value_cols})
+    w = _rows_by_day(entity_cols, value_cols, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _on_spine(df, entity_cols, value_cols, date_col, [F.last(v, ignorenulls=True).over(w) for v in value_cols])
 
 
 def fill_mean(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],
               date_col: str = "date", k: int = 2) -> DataFrame:
-    """Add missing days; each missing value is the mean of the observed values within
-    ``k`` days before and after it."""
-    j = _on_spine(df, entity_cols, date_col)
-    w = _w(entity_cols, date_col).rowsBetween(-k, k)
-    return j.withColumns({v: F.when(F.col("filled"), F.avg(v).over(w)).otherwise(F.col(v)) for v in value_cols})
+    """Add missing days; every day of a gap gets the mean of the last ``k`` observed rows before
+    the gap and the first ``k`` after it, however long the gap is."""
+    w = _rows_by_day(entity_cols, value_cols, date_col).rowsBetween(-(k - 1), k)
+    return _on_spine(df, entity_cols, value_cols, date_col, [F.avg(v).over(w) for v in value_cols])
 
 
 def running_total(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequence[str],
                   date_col: str = "date", suffix: str = "") -> DataFrame:
+    """Running sums of each entity.  Without entity columns the days are summed first: the result
+    has the date and the sums only."""
+    if not entity_cols:
+        df = df.groupBy(date_col).agg(*[F.sum(v).alias(v) for v in value_cols])
     w = _w(entity_cols, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({f"{v}{suffix}": F.sum(v).over(w) for v in value_cols})
 
 
 def daily_from_total(df: DataFrame, entity_cols: Sequence[str], total_cols: Sequence[str],
                      date_col: str = "date", suffix: str = "_daily") -> DataFrame:
-    """Daily increments from running totals; the first row of an entity keeps its total."""
-    w = _w(entity_cols, date_col)
+    """Daily increments from running totals: the total less the entity's last known one (0 before
+    the first).  A day without a total has no increment, and the next total counts from the last
+    known one: 100, null, 105 gives 100, null, 5."""
+    w = _w(entity_cols, date_col).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns({
-        f"{c}{suffix}": F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in total_cols})
+        f"{c}{suffix}": F.col(c) - F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)) for c in total_cols})

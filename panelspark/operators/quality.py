@@ -1,8 +1,11 @@
 """Single-pass data-quality profiler.
 
-Any mix of check families (completeness, validity, rule shares, distinct counts, key
-uniqueness) runs as *one* aggregation over the table (``suite``; optionally grouped, e.g.
-by year) instead of one job per column, and every result has the same long shape::
+Completeness, validity, rule shares and distinct-count sketches run as *one* aggregation over the
+table (``suite``; optionally grouped, e.g. by year) instead of one job per column.  Exact distinct
+counts and key uniqueness are aggregations of their own: rows are counted by value or key, which
+combines map-side, and the counts are counted.  In one aggregation with the others Spark would copy
+every row once per distinct column and keep all counters by distinct key.  Every result has the
+same long shape::
 
     table string, group string, check string, observed double, expected double, passed boolean
 
@@ -15,17 +18,14 @@ gaps of 0 (days 01, 01, 03 -> gaps 0 and 2: mean 1.0, share of 1-day gaps 0.0).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REPORT_COLUMNS = ["table", "group", "check", "observed", "expected", "passed"]
-
+from panelspark.operators.charts import label
 
-def _group_label(group_by: Sequence[str]) -> Column:
-    if not group_by:
-        return F.lit("all")
-    return F.concat_ws("|", *[F.col(g).cast("string") for g in group_by])
+REPORT_COLUMNS = ["table", "group", "check", "observed", "expected", "passed"]
 
 
 def _report(agg: DataFrame, table: str, group_by: Sequence[str],
@@ -40,46 +40,61 @@ def _report(agg: DataFrame, table: str, group_by: Sequence[str],
             expected.cast("double").alias("expected"),
             passed.cast("boolean").alias("passed"),
         ))
-    return (agg.select(_group_label(group_by).alias("group"), F.inline(F.array(*structs)))
+    return (agg.select(label(group_by).alias("group"), F.inline(F.array(*structs)))
             .select(F.lit(table).alias("table"), "group", "check", "observed", "expected", "passed"))
 
 
-def _family_aggs(not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
-                 rules: Mapping[str, Column] | None = None, distinct: Sequence[str] = (),
-                 approx: bool = False, rsd: float = 0.01, unique: Sequence[Sequence[str]] = ()):
-    """Aggregate expressions and report rows for the check families, numbered apart so
-    that any mix of them fits in one aggregation."""
+def _counters(not_null: Sequence[str], non_negative: Sequence[str], rules: Mapping[str, Column],
+              sketched: Sequence[str], rsd: float = 0.01):
+    """Aggregates that combine map-side to one row per task and group, and their report rows."""
     aggs, rows = [F.count(F.lit(1)).alias("__n")], []
     for i, c in enumerate(not_null):
         aggs.append(F.count_if(F.col(c).isNotNull()).alias(f"__nn{i}"))
         rows.append((f"not_null({c})", F.col(f"__nn{i}"), F.col("__n"), None))
     for i, c in enumerate(non_negative):
-        aggs += [F.count_if(F.col(c) >= 0).alias(f"__ok{i}"), F.count(F.col(c)).alias(f"__okn{i}")]
-        rows.append((f"non_negative({c})", F.col(f"__ok{i}"), F.col(f"__okn{i}"), None))
-    for i, (name, pred) in enumerate((rules or {}).items()):
+        # Against all rows: a null is not a valid value.
+        aggs.append(F.count_if(F.col(c) >= 0).alias(f"__ok{i}"))
+        rows.append((f"non_negative({c})", F.col(f"__ok{i}"), F.col("__n"), None))
+    for i, (name, pred) in enumerate(rules.items()):
         aggs.append(F.avg(pred.cast("int")).alias(f"__s{i}"))
         rows.append((f"share_valid({name})", F.col(f"__s{i}"), F.lit(1.0), None))
-    for i, c in enumerate(distinct):
-        d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(F.col(c))
-        aggs += [d.alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
-        # Descriptive: distinct values next to non-null values, no pass/fail (uniqueness of
-        # a key is the ``unique`` family).
+    for i, c in enumerate(sketched):
+        aggs += [F.approx_count_distinct(c, rsd).alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
         rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), F.lit(None)))
-    for i, keys in enumerate(unique):
-        # struct(...) is never null, so null keys count as a value (duplicates of each other).
-        aggs.append(F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias(f"__u{i}"))
-        rows.append((f"unique({','.join(keys)})", F.col(f"__u{i}"), F.col("__n"), None))
     return aggs, rows
 
 
+def _by_key(df: DataFrame, group_by: Sequence[str], keys: Sequence[Column]) -> DataFrame:
+    """(*group_by, __k0.., __c): rows of each key; nulls are equal to each other."""
+    return df.groupBy(*group_by, *[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def _distinct_report(df: DataFrame, table: str, group_by: Sequence[str], column: str) -> DataFrame:
+    """Distinct values next to non-null values, no pass/fail (``unique`` is the check of a key)."""
+    known = F.col("__k0").isNotNull()
+    agg = _by_key(df, group_by, [F.col(column)]).groupBy(*group_by).agg(
+        F.count_if(known).alias("__d"), F.coalesce(F.sum(F.when(known, F.col("__c"))), F.lit(0)).alias("__dn"))
+    return _report(agg, table, group_by, [(f"distinct({column})", F.col("__d"), F.col("__dn"), F.lit(None))])
+
+
+def _unique_report(df: DataFrame, table: str, group_by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    agg = _by_key(df, group_by, [F.col(k) for k in keys]).groupBy(*group_by).agg(
+        F.count(F.lit(1)).alias("__u"), F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
+    return _report(agg, table, group_by, [(f"unique({','.join(keys)})", F.col("__u"), F.col("__n"), None)])
+
+
 def suite(df: DataFrame, table: str, group_by: Sequence[str] = (), not_null: Sequence[str] = (),
           non_negative: Sequence[str] = (), rules: Mapping[str, Column] | None = None,
           distinct: Sequence[str] = (), approx: bool = False,
           unique: Sequence[Sequence[str]] = ()) -> DataFrame:
-    """Completeness, validity, rule shares, distinct counts and key uniqueness of one table
-    in ONE aggregation (one scan), reported in the long shape."""
-    aggs, rows = _family_aggs(not_null, non_negative, rules, distinct, approx, unique=unique)
-    return _report(df.groupBy(*group_by).agg(*aggs), table, group_by, rows)
+    """Completeness, validity, rule shares, distinct counts and key uniqueness of one table in the
+    long shape: one aggregation for all counters (and, with ``approx``, the distinct sketches), and
+    one that reads its own columns only for every exact distinct count and every key."""
+    aggs, rows = _counters(not_null, non_negative, rules or {}, distinct if approx else ())
+    parts = [_report(df.groupBy(*group_by).agg(*aggs), table, group_by, rows)] if rows else []
+    parts += [] if approx else [_distinct_report(df, table, group_by, c) for c in distinct]
+    parts += [_unique_report(df, table, group_by, k) for k in unique]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None,
@@ -91,7 +106,7 @@ def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None,
 
 def sign_check(df: DataFrame, table: str, columns: Sequence[str],
                group_by: Sequence[str] = ()) -> DataFrame:
-    """Validity: rows with ``c >= 0`` against rows where ``c`` is not null."""
+    """Validity: rows with ``c >= 0`` against all rows."""
     return suite(df, table, group_by, non_negative=columns)
 
 
@@ -105,19 +120,19 @@ def distinct_counts(df: DataFrame, table: str, columns: Sequence[str],
                     group_by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Distinct values per column next to its non-null count (informational: passed is null).
 
-    Exact by default.  Several exact distinct counts in one query are planned as an
-    ``Expand`` (one copy of each row per column); at very large scale ``approx=True``
-    switches to HyperLogLog++ sketches, which merge map-side and never expand.
+    Exact by default, one aggregation a column; ``approx=True`` computes HyperLogLog++ sketches of
+    all columns in one pass.
     """
     return suite(df, table, group_by, distinct=columns, approx=approx)
 
 
 def unique_groups(df: DataFrame, table: str, group_cols: Sequence[str], value_col: str,
                   group_by: Sequence[str] = ()) -> DataFrame:
-    """Share of groups in which ``value_col`` never repeats (distinct count == count)."""
+    """Share of groups in which ``value_col`` never repeats and is never null (distinct values ==
+    rows)."""
     keys = list(group_by) + [g for g in group_cols if g not in group_by]
     inner = df.groupBy(*keys).agg(
-        F.count_distinct(F.col(value_col)).alias("__d"), F.count(F.col(value_col)).alias("__c"))
+        F.count_distinct(F.col(value_col)).alias("__d"), F.count(F.lit(1)).alias("__c"))
     agg = inner.groupBy(*group_by).agg(F.avg((F.col("__d") == F.col("__c")).cast("int")).alias("__s"))
     check = f"unique_within({value_col} by {','.join(group_cols)})"
     return _report(agg, table, group_by, [(check, F.col("__s"), F.lit(1.0), None)])
@@ -125,23 +140,12 @@ def unique_groups(df: DataFrame, table: str, group_cols: Sequence[str], value_co
 
 def key_unique(df: DataFrame, table: str, keys: Sequence[str] | Sequence[Sequence[str]],
                group_by: Sequence[str] = ()) -> DataFrame:
-    """Distinct key tuples (nulls compare equal) against the row count; several key sets
-    (a list of lists) are checked in the same single pass."""
+    """Distinct key tuples (nulls compare equal) against the row count, for one key set or a list
+    of several."""
     key_sets = [list(keys)] if keys and isinstance(keys[0], str) else [list(k) for k in keys]
     return suite(df, table, group_by, unique=key_sets)
 
 
-def unmatched(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
-              right_keys: Sequence[str] | None = None, table: str = "left") -> DataFrame:
-    """Rows of ``left`` whose key has no partner in ``right`` (expected 0)."""
-    right_keys = list(right_keys or left_keys)
-    r = right.select(*[F.col(rk).alias(lk) for lk, rk in zip(left_keys, right_keys)]).distinct()
-    miss = left.select(*left_keys).join(r, list(left_keys), "left_anti")
-    agg = miss.agg(F.count(F.lit(1)).alias("__m"))
-    check = f"unmatched({','.join(left_keys)})"
-    return _report(agg, table, (), [(check, F.col("__m"), F.lit(0.0), None)])
-
-
 def unmatched_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_table: str,
                    right_table: str) -> DataFrame:
     """Unmatched rows in both directions from ONE full outer join of per-key row counts.
@@ -164,17 +168,20 @@ def unmatched_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return agg.select(F.inline(F.array(row(left_table, F.col("__ml")), row(right_table, F.col("__mr")))))
 
 
-def day_counts(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
-    """(*entity, date, n_rows) for non-null dates: the per-day grain of the continuity checks."""
-    return (df.where(F.col(date_col).isNotNull())
-            .groupBy(*entity_cols, date_col).agg(F.count(F.lit(1)).alias("n_rows")))
+def day_counts(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
+               keep_null: bool = False) -> DataFrame:
+    """(*entity, date, n_rows), without null dates unless they are kept: the per-day grain of the
+    continuity checks."""
+    rows = df if keep_null else df.where(F.col(date_col).isNotNull())
+    return rows.groupBy(*entity_cols, date_col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def day_gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date") -> DataFrame:
+def day_gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
+             keep_null: bool = False) -> DataFrame:
     """(entity, date, n_rows, prev_date, gap) over *distinct* days of each entity."""
     w = Window.partitionBy(*entity_cols).orderBy(date_col)
     prev = F.lag(date_col).over(w)
-    return (day_counts(df, entity_cols, date_col).withColumn("prev_date", prev)
+    return (day_counts(df, entity_cols, date_col, keep_null).withColumn("prev_date", prev)
             .withColumn("gap", F.datediff(F.col(date_col), F.col("prev_date"))))
 
 
@@ -186,16 +193,18 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
 
     One pipeline: rows -> per-(entity, day) counts -> gap window -> per-entity aggregate
     -> per-group aggregate.  Two more checks ride on the per-entity level at no extra
-    scan: ``unique_days`` adds the share of entities whose dates never repeat, and
+    scan: ``unique_days`` adds the share of entities whose dates never repeat and are never null, and
     ``listed_in=(col, known)`` adds the number of distinct ``col`` values (e.g. station
     ids) absent from ``known`` -- a small list, joined at the per-entity level.
     """
     part = list(group_by) + [e for e in entity_cols if e not in group_by]
-    g = day_gaps(df, part, date_col)
+    # Null dates take part in no gap, but an entity that has one fails the unique-days check.
+    g = day_gaps(df, part, date_col, keep_null=unique_days)
+    dated = F.col(date_col).isNotNull()
     ent = g.groupBy(*part).agg(
-        F.sum(F.col("n_rows") - 1).alias("__z"), F.count("gap").alias("__st"), F.sum("gap").alias("__su"),
+        F.sum(F.when(dated, F.col("n_rows") - 1).otherwise(0)).alias("__z"), F.count("gap").alias("__st"), F.sum("gap").alias("__su"),
         F.count_if(F.col("gap") == 1).alias("__on"), F.min("gap").alias("__mi"), F.max("gap").alias("__ma"),
-        F.max("n_rows").alias("__mn"))
+        (F.max("n_rows") + F.max((~dated).cast("int"))).alias("__mn"))
     extra_aggs, extra_rows = [], []
     if unique_days:
         extra_aggs.append(F.avg((F.col("__mn") == 1).cast("int")).alias("__ud"))

@@ -57,23 +57,11 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS,
     return F.broadcast(df) if n <= cap else df
 
 
-def lookup(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-           max_broadcast_rows: int | None = DIMENSION_MAX_ROWS) -> DataFrame:
-    """Fact-to-dimension join; the dimension is broadcast only behind a size check."""
-    if max_broadcast_rows:
-        dim = broadcast_if_bounded(dim, max_broadcast_rows)
-    return fact.join(dim, on, how)
-
-
 def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Rows of ``left`` whose key is absent from ``right`` (duplicates in ``left`` kept)."""
     return left.join(right, on, "left_anti")
 
 
-def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(right, on, "left_semi")
-
-
 def full_outer_distinct(left: DataFrame, right: DataFrame, cond: Column,
                         order: Sequence[str] | None = None) -> DataFrame:
     out = left.join(right, cond, "full_outer").distinct()

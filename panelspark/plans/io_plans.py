@@ -67,8 +67,9 @@ def q_scan_family(spark, sf_dir):
     raw = F.when(F.year(d) < 1999, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "M/d/yyyy"))
     src = table(spark, sf_dir, "orders").select(
         "o_orderkey", raw.alias("date"), "o_totalprice", F.year(d).alias("year"))
-    src.write.mode("overwrite").partitionBy("year").option("header", "true").csv(path)
-    fam = scan_family(spark, path, FAMILY_SCHEMA, year_pattern=r"year=(\d{4})")
+    (src.hint("rebalance", F.col("year")).write.mode("overwrite").partitionBy("year")
+     .option("header", "true").csv(path))
+    fam = scan_family(spark, path, FAMILY_SCHEMA, strict=True)
     return fam.withColumn("date", parse_mixed_dates("date")).select("o_orderkey", "date", "o_totalprice", "year")
 
 

@@ -75,9 +75,18 @@ def q_gap_fill_last(spark, sf_dir):
 
 
 @register("gap_fill_mean", sql=f"""
-WITH {_NATION_PANEL_SQL}, {_SPINE_SQL}
-SELECT c_nationkey, date, round(CASE WHEN filled THEN avg(total) OVER w ELSE total END, 6) AS total, filled
-FROM j WINDOW w AS (PARTITION BY c_nationkey ORDER BY date ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+WITH {_NATION_PANEL_SQL},
+obs AS (SELECT c_nationkey, date, total, row_number() OVER w AS rn, lead(date) OVER w AS next_date
+        FROM panel WINDOW w AS (PARTITION BY c_nationkey ORDER BY date)),
+hole AS (SELECT c_nationkey, rn, date, next_date FROM obs WHERE next_date > date + 1),
+near AS (SELECT h.c_nationkey, h.rn, avg(o.total) AS total
+         FROM hole h JOIN obs o ON o.c_nationkey = h.c_nationkey AND o.rn > h.rn - 2 AND o.rn <= h.rn + 2
+         GROUP BY 1, 2)
+SELECT c_nationkey, date, round(total, 6) AS total, false AS filled FROM panel
+UNION ALL
+SELECT h.c_nationkey, CAST(unnest(generate_series(h.date + INTERVAL 1 DAY, h.next_date - INTERVAL 1 DAY,
+                                                  INTERVAL 1 DAY)) AS DATE), round(n.total, 6), true
+FROM hole h JOIN near n USING (c_nationkey, rn)
 """)
 def q_gap_fill_mean(spark, sf_dir):
     p = nation_panel(spark, sf_dir).select("c_nationkey", "date", "total")
@@ -85,20 +94,41 @@ def q_gap_fill_mean(spark, sf_dir):
     return f.select("c_nationkey", "date", r6("total").alias("total"), "filled")
 
 
-@register("daily_from_total", sql=f"""
-WITH {_NATION_PANEL_SQL},
+_RUN_SQL = """
 run AS (SELECT c_nationkey, date, n_orders,
                SUM(n_orders) OVER (PARTITION BY c_nationkey ORDER BY date
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_orders
-        FROM panel)
-SELECT c_nationkey, date, n_orders, CAST(cum_orders AS BIGINT) AS cum_orders,
-       CAST(cum_orders - COALESCE(lag(cum_orders) OVER (PARTITION BY c_nationkey ORDER BY date), 0) AS BIGINT)
-         AS cum_orders_daily
+        FROM panel)"""
+
+
+def running_orders(spark, sf_dir):
+    p = nation_panel(spark, sf_dir).select("c_nationkey", "date", "n_orders")
+    return running_total(p, ["c_nationkey"], ["n_orders"], "date", suffix="_cum") \
+        .withColumnRenamed("n_orders_cum", "cum_orders")
+
+
+@register("daily_from_total", sql=f"""
+WITH {_NATION_PANEL_SQL}, {_RUN_SQL}
+SELECT c_nationkey, date, n_orders, CAST(cum_orders AS BIGINT) AS cum_orders, n_orders AS cum_orders_daily
 FROM run
 """)
 def q_daily_from_total(spark, sf_dir):
-    p = nation_panel(spark, sf_dir).select("c_nationkey", "date", "n_orders")
-    run = running_total(p, ["c_nationkey"], ["n_orders"], "date", suffix="_cum") \
-        .withColumnRenamed("n_orders_cum", "cum_orders")
-    return daily_from_total(run, ["c_nationkey"], ["cum_orders"], "date").select(
+    return daily_from_total(running_orders(spark, sf_dir), ["c_nationkey"], ["cum_orders"], "date").select(
         "c_nationkey", "date", "n_orders", "cum_orders", "cum_orders_daily")
+
+
+@register("daily_from_total_nulls", sql=f"""
+WITH {_NATION_PANEL_SQL}, {_RUN_SQL},
+known AS (SELECT c_nationkey, date, CASE WHEN day(date) % 3 <> 0 THEN CAST(cum_orders AS BIGINT) END AS cum_orders
+          FROM run),
+step AS (SELECT c_nationkey, date, cum_orders - lag(cum_orders, 1, 0) OVER (PARTITION BY c_nationkey ORDER BY date) AS d
+         FROM known WHERE cum_orders IS NOT NULL)
+SELECT k.c_nationkey, k.date, k.cum_orders, CAST(s.d AS BIGINT) AS cum_orders_daily
+FROM known k LEFT JOIN step s ON k.c_nationkey = s.c_nationkey AND k.date = s.date
+""")
+def q_daily_from_total_nulls(spark, sf_dir):
+    """Totals unknown on every day of the month that 3 divides."""
+    known = running_orders(spark, sf_dir).withColumn(
+        "cum_orders", F.when(F.dayofmonth("date") % 3 != 0, F.col("cum_orders")))
+    return daily_from_total(known, ["c_nationkey"], ["cum_orders"], "date").select(
+        "c_nationkey", "date", "cum_orders", "cum_orders_daily")

@@ -1,4 +1,7 @@
-"""Data-quality keys: each check family is one aggregation over the whole table."""
+"""Data-quality keys over whole tables.
+
+The given tables have no nulls, so ``dq_sign`` and ``dq_unique_groups`` blank some values first.
+"""
 
 from __future__ import annotations
 
@@ -41,16 +44,19 @@ def q_dq_profile(spark, sf_dir):
 
 _SIGN_COLS = ["c_acctbal", "c_custkey"]
 _SIGN_SQL = _long_sql(
-    "a AS (SELECT c_mktsegment, "
-    + ", ".join(f"COUNT(*) FILTER (WHERE {c} >= 0) AS ok_{c}, COUNT({c}) AS nn_{c}" for c in _SIGN_COLS)
-    + " FROM customer GROUP BY 1)",
+    "c AS (SELECT c_mktsegment, c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer), "
+    "a AS (SELECT c_mktsegment, COUNT(*) AS n, "
+    + ", ".join(f"SUM(CASE WHEN {c} >= 0 THEN 1 ELSE 0 END) AS ok_{c}" for c in _SIGN_COLS)
+    + " FROM c GROUP BY 1)",
     "customer", "c_mktsegment",
-    [(f"non_negative({c})", f"ok_{c}", f"nn_{c}", None) for c in _SIGN_COLS])
+    [(f"non_negative({c})", f"ok_{c}", "n", None) for c in _SIGN_COLS])
 
 
 @register("dq_sign", sql=_SIGN_SQL)
 def q_dq_sign(spark, sf_dir):
-    return Q.sign_check(table(spark, sf_dir, "customer"), "customer", _SIGN_COLS, ["c_mktsegment"])
+    c = table(spark, sf_dir, "customer").withColumn(
+        "c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")))
+    return Q.sign_check(c, "customer", _SIGN_COLS, ["c_mktsegment"])
 
 
 @register("dq_share_valid", sql=_long_sql(
@@ -74,11 +80,12 @@ def q_dq_distinct(spark, sf_dir):
 
 
 @register("dq_unique_groups", sql=_long_sql(
-    "g AS (SELECT o_custkey, COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS d, COUNT(o_orderdate) AS c "
-    "FROM orders GROUP BY 1), a AS (SELECT avg(CAST(d = c AS INTEGER)) AS s FROM g)",
+    "o AS (SELECT o_custkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS date FROM orders), "
+    "g AS (SELECT o_custkey, COUNT(DISTINCT date) AS d, COUNT(*) AS c FROM o GROUP BY 1), a AS (SELECT avg(CAST(d = c AS INTEGER)) AS s FROM g)",
     "orders", "'all'", [("unique_within(date by o_custkey)", "s", "1.0", None)]))
 def q_dq_unique_groups(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
+    o = table(spark, sf_dir, "orders").withColumn(
+        "date", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate").cast("date")))
     return Q.unique_groups(o, "orders", ["o_custkey"], "date")
 
 
@@ -153,20 +160,20 @@ def q_coverage_check(spark, sf_dir):
 _SUITE_SQL = _long_sql(
     "a AS (SELECT year(o_orderdate) AS year, COUNT(*) AS n, "
     + ", ".join(f"COUNT({c}) AS nn_{c}" for c in ORDERS_COLS)
-    + ", COUNT(*) FILTER (WHERE o_totalprice >= 0) AS ok_price, COUNT(o_totalprice) AS okn_price"
+    + ", COUNT(*) FILTER (WHERE o_totalprice >= 0) AS ok_price"
     + ", avg(CAST(o_orderstatus IN ('F', 'O', 'P') AS INTEGER)) AS s_status"
     + ", COUNT(DISTINCT o_orderpriority) AS d_prio, COUNT(o_orderpriority) AS dn_prio"
     + " FROM orders GROUP BY 1)",
     "orders", "CAST(year AS VARCHAR)",
     [(f"not_null({c})", f"nn_{c}", "n", None) for c in ORDERS_COLS]
-    + [("non_negative(o_totalprice)", "ok_price", "okn_price", None),
+    + [("non_negative(o_totalprice)", "ok_price", "n", None),
        ("share_valid(known_status)", "s_status", "1.0", None),
        ("distinct(o_orderpriority)", "d_prio", "dn_prio", "NULL")])
 
 
 @register("dq_suite", sql=_SUITE_SQL)
 def q_dq_suite(spark, sf_dir):
-    """All check families of the orders table, per year, in one aggregation."""
+    """All check families of the orders table, per year."""
     return Q.suite(_orders_with_year(spark, sf_dir), "orders", ["year"], not_null=ORDERS_COLS,
                    non_negative=["o_totalprice"],
                    rules={"known_status": F.col("o_orderstatus").isin("F", "O", "P")},

@@ -5,7 +5,6 @@ The library itself never builds a session; only callers do.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,6 +20,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -44,8 +45,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without one (tests) gets a fresh private folder; a cluster
-    session without one is an error.
+    Only a local-mode session without one (tests) gets its own folder, in its warehouse; a
+    cluster session without one is an error.  No machine-local temporary folder is ever used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             # Executors on other machines cannot see a folder on the driver's disk.
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="panelspark-ckpt-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_scratch/{uuid.uuid4().hex[:12]}"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

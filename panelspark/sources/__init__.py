@@ -8,7 +8,6 @@ from panelspark.sources.io import (
     read_table,
     register_views,
     scan_family,
-    snake_case,
     union_all,
     write_table,
 )
@@ -21,7 +20,6 @@ __all__ = [
     "read_table",
     "register_views",
     "scan_family",
-    "snake_case",
     "union_all",
     "write_table",
 ]

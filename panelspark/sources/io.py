@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -20,13 +19,6 @@ from pyspark.sql.types import StringType, StructType
 _BOM = "\ufeff"
 
 
-def snake_case(name: str) -> str:
-    s = name.replace(_BOM, "").strip()
-    s = re.sub(r"[^0-9A-Za-z]+", "_", s)
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
-    return s.strip("_").lower()
-
-
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType,
              header: bool = True, sep: str = ",", **options: str) -> DataFrame:
     """Fixed-schema CSV scan.  Quoted commas, CRLF and a leading BOM are handled."""
@@ -47,13 +39,19 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
     return df
 
 
+# A four-digit year of the last or this century that no other digit touches.
+YEAR_TOKEN = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
+
+
 def scan_family(spark: SparkSession, paths: str | Sequence[str], schema: StructType,
-                fmt: str = "csv", year_pattern: str = r"(\d{4})", year_col: str = "year",
-                **options: str) -> DataFrame:
+                fmt: str = "csv", year_pattern: str = YEAR_TOKEN, year_col: str = "year",
+                strict: bool = False, **options: str) -> DataFrame:
     """Read a family of yearly files in one scan and add the year found in each file path.
 
-    The *last* match of ``year_pattern`` in the path wins, so a folder such as
-    ``/data/2017-2022/volume_2019.csv`` yields 2019.
+    The *last* match of ``year_pattern`` in the path wins, so ``/data/2017-2022/volume_2019.csv``
+    yields 2019.  The names of part files that Spark wrote are left out, as their digits mean
+    nothing: ``counts-2019/part-00000-....csv`` yields 2019.  A file without a year gets null, or with
+    ``strict`` stops the scan with its path.
     """
     if fmt == "csv":
         opts = {"recursiveFileLookup": "true", **options}
@@ -63,16 +61,22 @@ def scan_family(spark: SparkSession, paths: str | Sequence[str], schema: StructT
         for k, v in options.items():
             reader = reader.option(k, v)
         df = reader.load(list(paths) if not isinstance(paths, str) else paths)
-    last_year = f".*{year_pattern}"
-    return df.withColumn(
-        year_col,
-        F.regexp_extract(F.col("_metadata.file_path"), last_year, 1).try_cast("int"),
-    )
+    path = F.col("_metadata.file_path")
+    year = F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", "/"), f".*{year_pattern}", 1).try_cast("int")
+    if strict:
+        year = F.coalesce(year, F.raise_error(F.concat(F.lit("no year in "), path)).cast("int"))
+    return df.withColumn(year_col, year)
 
 
 def write_table(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
                 path: str | None = None, fmt: str = "parquet") -> None:
-    """Overwrite one managed (or, with ``path``, external) table.  Never deletes folders."""
+    """Overwrite one managed (or, with ``path``, external) table.  Never deletes folders.
+
+    Rows are rebalanced by the partition columns first, so that a partition gets few files (a large
+    one several) and not one from every task.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)

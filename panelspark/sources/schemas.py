@@ -65,8 +65,6 @@ EVENT_TIMELINE = _schema(
     ("event_type", StringType()), ("description", StringType()),
 )
 
-DAILY_AVERAGE_CASES = _schema(("date", StringType()), ("cases", DoubleType()), ("deaths", DoubleType()))
-
 ALL = {
     "hourly_volume": HOURLY_VOLUME,
     "national_cases": NATIONAL_CASES,

@@ -29,11 +29,12 @@ from panelspark.functions.text import (
 )
 from panelspark.operators import quality as Q
 from panelspark.operators.baseline import share_of_baseline
-from panelspark.operators.charts import markers, panels
+from panelspark.operators.charts import forecast_lines, markers, panels
 from panelspark.operators.dims import attach, merge_dimension
 from panelspark.operators.evaluate import rmse_summary
 from panelspark.operators.events import align, event_axis, event_windows, sample_events, select_events
 from panelspark.operators.forecast import fit_forecast, forecast_scores
+from panelspark.operators.panel import daily_from_total, fill_last, fill_mean
 from panelspark.operators.relational import pivot_count
 from panelspark.operators.rollup import hours_to_daily
 from panelspark.session import ensure_checkpoint_dir
@@ -100,9 +101,10 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
     unique dates per entity and time-step continuity for every source -- per year for the
     yearly families -- plus volume stations missing from both station lists.
 
-    Each source is read twice: once by its ``suite`` (one aggregation over every column
-    check) and once by its continuity pipeline (``gap_stats``), which also yields the
-    unique-days share and, for the volume data, the stations missing from both lists.
+    Each source is read by its ``suite`` (one aggregation over every counter, one per exact
+    distinct count or key, of its own columns only) and by its continuity pipeline
+    (``gap_stats``), which also yields the unique-days share and, for the volume data, the
+    stations missing from both lists.
     """
     cases_rule = {"deaths_le_cases": F.col("deaths") <= F.col("cases")}
     counts = ["cases", "deaths"]
@@ -123,8 +125,7 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
         Q.suite(cc, "county_cases", ["year"], not_null=[c for c in cc.columns if c != "year"],
                 non_negative=counts, rules=cases_rule, unique=[["county", "state", "date"]]),
         Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"], unique_days=True),
-        # approx: an informational station count; exact distinct plus the exact key check
-        # would copy every row of the largest table once per distinct aggregate.
+        # approx: an informational station count, sketched along with the counters.
         Q.suite(hv, "hourly_volume", ["year"], not_null=hv_cols, non_negative=[*hv_keys, *S.HOUR_COLUMNS],
                 distinct=["station_id"], approx=True, unique=[[*hv_keys, "date"]]),
         Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"], listed_in=("station_id", known)),
@@ -138,20 +139,27 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
 
 def coverage_report(src: Mapping[str, DataFrame]) -> DataFrame:
     """(comparison, name, in_left, in_right) for county names present on one side only:
-    station lists vs the state's case counties, and case counties vs the district list
-    (names conformed first, as the preparation stage does)."""
-    def conform(c):
+    station lists vs the state's case counties, and case counties vs the district list.
+
+    Each comparison is made twice: on the names as they come (``raw``), which shows every spelling
+    that differs, and conformed as the preparation stage does, which shows what the rules miss."""
+    def conformed(c):
         return apply_corrections(regex_conform(c, SAINT_LOUIS_PATTERN, "Saint Louis"),
                                  COUNTY_CORRECTIONS, COUNTY_PREFIX_RULES)
 
+    raw_districts = src["county_districts"].select("county")
+    return (_county_coverage(src, F.col, raw_districts, " raw")
+            .unionByName(_county_coverage(src, conformed, county_district_table(src["county_districts"]), "")))
+
+
+def _county_coverage(src: Mapping[str, DataFrame], conform, districts: DataFrame, suffix: str) -> DataFrame:
     stations = src["current_stations"].select(conform("county_name").alias("county")).unionByName(
         src["retired_stations"].select(conform("county").alias("county")))
     cases = (src["county_cases"].where((F.col("state") == STATE) & (F.col("county") != UNKNOWN_COUNTY))
              .select(conform("county").alias("county")))
-    districts = county_district_table(src["county_districts"]).select("county")
-    return (Q.coverage(stations, cases, "county").select(F.lit("stations~cases").alias("comparison"), "*")
-            .unionByName(Q.coverage(cases, districts, "county")
-                         .select(F.lit("cases~districts").alias("comparison"), "*")))
+    return (Q.coverage(stations, cases, "county").select(F.lit(f"stations~cases{suffix}").alias("comparison"), "*")
+            .unionByName(Q.coverage(cases, districts.select("county"), "county")
+                         .select(F.lit(f"cases~districts{suffix}").alias("comparison"), "*")))
 
 
 def urban_rural_split(src: Mapping[str, DataFrame]) -> DataFrame:
@@ -179,10 +187,28 @@ def state_volume_from(county_volume: DataFrame) -> DataFrame:
     return county_volume.groupBy("date").agg(F.sum("total_volume").alias("total_volume"))
 
 
-def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[str, DataFrame]:
-    """The seven output tables of the preparation stage."""
+def filled(df: DataFrame, how: str | None, entity_cols: Sequence[str], value_cols: Sequence[str], k: int) -> DataFrame:
+    """``df`` with the missing days of its entities filled: by the ``last`` value, by the ``mean`` around
+    the gap, or (None) left out."""
+    if how is None:
+        return df
+    if how not in ("last", "mean"):
+        raise ValueError(f"fill must be None, 'last' or 'mean', not {how!r}")
+    full = (fill_last(df, entity_cols, value_cols) if how == "last"
+            else fill_mean(df, entity_cols, value_cols, k=k))
+    return full.drop("filled")
+
+
+def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False, fill_volume: str | None = None,
+            fill_cases: str | None = None, fill_k: int = 2) -> dict[str, DataFrame]:
+    """The seven output tables of the preparation stage.
+
+    ``fill_volume`` and ``fill_cases`` add the missing days of each station's volumes and of each
+    county's and state's totals (see ``filled``); by default nothing is filled.
+    """
     county_district = county_district_table(src["county_districts"])
     daily = hours_to_daily(src["hourly_volume"], ["station_id", "date"], null_as_zero=null_as_zero)
+    daily = filled(daily, fill_volume, ["station_id"], ["total_volume"], fill_k)
     dim = station_dimension(src["current_stations"], src["retired_stations"], county_district)
     county_volume = daily.join(dim, "station_id", "inner").select(
         "county", "district", "station_id", "date", "total_volume")
@@ -193,8 +219,12 @@ def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[st
     state_counties = cases.where(F.col("state") == STATE).withColumn(
         "county", apply_corrections(regex_conform("county", SAINT_LOUIS_PATTERN, "Saint Louis"),
                                     COUNTY_CORRECTIONS, COUNTY_PREFIX_RULES))
-    county_cases = attach(state_counties.drop("fips"), county_district, "county", "left").select(
+    state_counties = filled(state_counties.select("county", "state", "date", "cases", "deaths"), fill_cases,
+                            ["county", "state"], ["cases", "deaths"], fill_k)
+    county_cases = attach(state_counties, county_district, "county", "left").select(
         "date", "county", "state", "cases", "deaths", "district")
+    filled_states = src["state_cases"] if fill_cases is None else filled(
+        src["state_cases"], fill_cases, ["state"], ["cases", "deaths"], fill_k).select(*src["state_cases"].columns)
     average = cases.groupBy("date").agg(F.avg("cases").alias("cases"), F.avg("deaths").alias("deaths"))
     return {
         "county_volume": county_volume,
@@ -202,7 +232,7 @@ def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False) -> dict[st
         "county_cases": county_cases,
         "average_county_cases": average,
         "national_cases": src["national_cases"],
-        "state_cases": src["state_cases"],
+        "state_cases": filled_states,
         "timeline": src["timeline"],
     }
 
@@ -255,6 +285,14 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
     state_cases = tables["state_cases"].where(F.col("state") == STATE).select("date", "cases", "deaths")
     aligned = align(state_share, state_cases, "date", ALIGN_UNTIL)
 
+    # Daily counts next to the running totals that the sources give.
+    totals = ["cases", "deaths"]
+    daily_cases = {
+        "county_daily_cases": daily_from_total(tables["county_cases"], ["county", "state"], totals),
+        "state_daily_cases": daily_from_total(tables["state_cases"], ["state"], totals),
+        "national_daily_cases": daily_from_total(tables["national_cases"], [], totals),
+    }
+
     # Rows, not days, as in the source: days with cases but no traffic stay in the series
     # (null y, ignored by the fit).
     covid_series = aligned.select("date", F.col("share").alias("y"))
@@ -270,6 +308,9 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
         "restrictions": restrictions,
         "relaxations": relaxations,
         "aligned": aligned,
+        **daily_cases,
+        "chart_state": panels(state_share, [], "date", ["total_volume", "baseline", "share"]),
+        "chart_aligned": panels(aligned, [], "date", ["share", "cases", "deaths"]),
         "chart_district": panels(district_share, ["district"], "date", ["total_volume", "baseline", "share"]),
         "chart_markers": markers(restrictions.withColumn("kind", F.lit("Restriction")).unionByName(
             relaxations.withColumn("kind", F.lit("Relaxation"))), "date", "kind", DAY_ORIGIN),
@@ -283,6 +324,7 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
         out[f"{name}_forecast"] = fc
         out[f"{name}_rmse"] = scores
         out[f"{name}_rmse_summary"] = rmse_summary(scores)
+        out[f"chart_{name}_forecast"] = forecast_lines(w, fc)
     return out
 
 
@@ -304,6 +346,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     for f in SourcePaths.__dataclass_fields__:
         prep.add_argument(f"--{f.replace('_', '-')}", required=True)
     prep.add_argument("--null-as-zero", action="store_true")
+    prep.add_argument("--fill-volume", choices=["last", "mean"], help="add missing days of each station")
+    prep.add_argument("--fill-cases", choices=["last", "mean"], help="add missing days of each county and state")
     prep.add_argument("--table-root", help="folder for the tables' files (default: the warehouse)")
     qual = sub.add_parser("quality", help="raw files -> data-quality and name-coverage report tables")
     for f in SourcePaths.__dataclass_fields__:
@@ -326,7 +370,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
         root = args.table_root.rstrip("/") if args.table_root else None
         table_paths = {k: f"{root}/{v}" for k, v in TABLE_NAMES.items()} if root else None
-        write_outputs(prepare(load_sources(spark, paths), null_as_zero=args.null_as_zero), paths=table_paths)
+        tables = prepare(load_sources(spark, paths), args.null_as_zero, args.fill_volume, args.fill_cases)
+        write_outputs(tables, paths=table_paths)
     else:
         out = model(spark, read_outputs(spark), args.policy_dates.split(","), args.base_dates, args.seed)
         write_model(out, args.prefix)

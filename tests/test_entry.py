@@ -2,7 +2,10 @@
 
 import __spark_entry__ as E
 
+# Tested in tests/llm, by brute force where SQL cannot express them.
+HEAVY = {k for k in E.queries() if k.startswith("op") and k[2].isdigit()} | {"pipeline"}
 ROWS_ONLY = set()
+MAY_BE_EMPTY = {"coverage_check", "gap_list"}
 
 
 def test_entry_runs(spark):
@@ -13,14 +16,19 @@ def test_entry_runs(spark):
 
 def test_every_key_has_oracle_sql_or_is_declared_rows_only():
     q, s = E.queries(), E.oracle_sql()
-    assert set(q) - set(s) == ROWS_ONLY
+    assert set(q) - set(s) - HEAVY == ROWS_ONLY
     assert set(s) <= set(q)
 
 
 def test_every_key_runs_on_smallest_sf(spark):
     for name, fn in E.queries().items():
+        if name in HEAVY:
+            continue
         df = fn(spark, "/root/testdata/sf0.001")
-        assert df.limit(5).count() >= 0, name
+        rows = df.count()
+        assert len(set(c.lower() for c in df.columns)) == len(df.columns), name
+        # Every table of the smallest scale has rows; only these keys report exceptions.
+        assert rows > 0 or name in MAY_BE_EMPTY, name
 
 
 class _FakeContext:
@@ -38,6 +46,8 @@ class _FakeContext:
 
 
 class _FakeSession:
+    conf = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
+
     def __init__(self, sc):
         self.sparkContext = sc
 
@@ -51,4 +61,4 @@ def test_checkpoint_dir_comes_from_the_session_and_is_never_local_on_a_cluster()
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(_FakeSession(_FakeContext("spark://host:7077")))
     local = _FakeContext("local[2]")
-    assert ensure_checkpoint_dir(_FakeSession(local)).startswith("/")
+    assert ensure_checkpoint_dir(_FakeSession(local)).startswith("file:/shared/warehouse/_scratch/")

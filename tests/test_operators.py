@@ -26,7 +26,9 @@ def test_profile_sign_distinct(spark):
     p = _report(Q.profile(df, "t", ["s", "v"], ["y"]))
     assert p[("1", "not_null(s)")] == (1.0, 2.0, False) and p[("2", "not_null(v)")] == (0.0, 1.0, False)
     s = _report(Q.sign_check(df, "t", ["v"]))
-    assert s[("all", "non_negative(v)")] == (1.0, 2.0, False)
+    assert s[("all", "non_negative(v)")] == (1.0, 3.0, False)       # a null is not a valid value
+    one = spark.createDataFrame([(1.0,), (None,)], "v double")
+    assert _report(Q.sign_check(one, "t", ["v"]))[("all", "non_negative(v)")] == (1.0, 2.0, False)
     d = _report(Q.distinct_counts(df, "t", ["y", "s"]))
     assert d[("all", "distinct(y)")] == (2.0, 3.0, None) and d[("all", "distinct(s)")] == (2.0, 2.0, None)
     a = _report(Q.distinct_counts(df, "t", ["y"], approx=True))
@@ -42,9 +44,25 @@ def test_unique_groups_key_unique_unmatched(spark):
     assert k[("all", "unique(date,county)")] == (3.0, 4.0, False)
     nulls = spark.createDataFrame([(None,), (None,)], "k int")
     assert _report(Q.key_unique(nulls, "t", ["k"]))[("all", "unique(k)")] == (1.0, 2.0, False)
-    dim = spark.createDataFrame([("A",)], "county string")
-    m = _report(Q.unmatched(df, dim, ["county"]))
-    assert m[("all", "unmatched(county)")] == (1.0, 0.0, False)
+    # A null date counts as a row without a value of its own.
+    gap = spark.createDataFrame([("a", D(2020, 1, 1)), ("a", None), ("b", D(2020, 1, 1))], "e string, date date")
+    assert _report(Q.unique_groups(gap, "t", ["e"], "date"))[("all", "unique_within(date by e)")][0] == 0.5
+    g = _report(Q.gap_stats(gap, "t", ["e"], "date", unique_days=True))
+    assert g[("all", "unique_within(date by e)")] == (0.5, 1.0, False)
+    assert g[("all", "gap_count")][0] == 0.0
+
+
+def test_exact_distinct_and_keys_never_expand_or_carry_sketches(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, None, 5), (2, "b", 7)], "y int, s string, k int")
+    rep = Q.suite(df, "t", ["y"], not_null=["s"], distinct=["s"], approx=True, unique=[["k"], ["s", "k"]])
+    plan = rep._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    for line in plan.splitlines():
+        assert not ("approx_count_distinct" in line and "k#" in line.split("functions=")[0]), line
+    got = {(r.group, r.check): (r.observed, r.expected) for r in rep.collect()}
+    assert got[("1", "unique(k)")] == (1.0, 2.0) and got[("1", "unique(s,k)")] == (2.0, 2.0)
+    exact = Q.distinct_counts(df, "t", ["s", "k"])
+    assert "Expand" not in exact._jdf.queryExecution().executedPlan().toString()
 
 
 def test_coverage_both_sides(spark):
@@ -158,7 +176,7 @@ def test_unmatched_both_counts_rows_and_suite_one_pass(spark):
     df = spark.createDataFrame([(1, -1.0, "a"), (2, None, "a"), (None, 3.0, "b")], "id int, v double, s string")
     rep = _report(Q.suite(df, "t", not_null=["id"], non_negative=["v"], rules={"pos": F.col("v") > 0}, distinct=["s"]))
     assert rep[("all", "not_null(id)")] == (2.0, 3.0, False)
-    assert rep[("all", "non_negative(v)")] == (1.0, 2.0, False)
+    assert rep[("all", "non_negative(v)")] == (1.0, 3.0, False)
     assert rep[("all", "share_valid(pos)")] == (0.5, 1.0, False)
     assert rep[("all", "distinct(s)")] == (2.0, 3.0, None)
     plan = Q.suite(df, "t", not_null=["id"], non_negative=["v"])._jdf.queryExecution().executedPlan().toString()

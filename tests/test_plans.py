@@ -29,7 +29,7 @@ def test_no_nested_loop_cartesian_or_python(spark):
 
 
 @pytest.mark.parametrize("key", ["share_of_baseline", "share_by_district", "share_base_year",
-                                 "gap_fill_last", "gap_fill_mean", "event_axis", "dq_suite", "dq_unmatched",
+                                 "gap_fill_last", "gap_fill_mean", "event_axis", "dq_profile", "dq_unmatched",
                                  "station_dim"])
 def test_single_scan_per_table(spark, key):
     plan = _plan(spark, key)

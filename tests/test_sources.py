@@ -3,10 +3,12 @@
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from panelspark.functions.dates import parse_mixed_dates
-from panelspark.sources.io import list_catalog, read_csv, read_table, scan_family, snake_case, union_all, write_table
+from panelspark.sources.io import list_catalog, read_csv, read_table, scan_family, union_all, write_table
 from panelspark.sources.schemas import COUNTY_DISTRICTS, EVENT_TIMELINE, HOURLY_VOLUME
 from panelspark.session import scratch_path
 
@@ -40,12 +42,6 @@ def test_csv_bom_crlf_quotes_nbsp(spark):
     assert c[0].county == "Olmsted " and c[1].district == "2 and 3"
 
 
-def test_snake_case():
-    assert snake_case("\ufeffContinuous Number") == "continuous_number"
-    assert snake_case("MnDOT district(s)") == "mn_dot_district_s"
-    assert snake_case("Urban/Rural") == "urban_rural"
-
-
 def test_scan_family_one_scan_year_from_path(spark):
     base = scratch_path(spark, "family")
     hours = ",".join(["1"] * 24)
@@ -89,3 +85,23 @@ def test_scan_family_parquet(spark):
     schema = StructType([StructField("v", IntegerType()), StructField("date", StringType())])
     fam = scan_family(spark, base, schema, fmt="parquet", year_pattern=r"cases_(\d{4})")
     assert sorted((r.year, r.v) for r in fam.collect()) == [(2020, 2020), (2021, 2021)]
+
+
+def test_family_year_ignores_part_file_names(spark):
+    """Folders that Spark wrote: the digits of part-file names are no years."""
+    base = scratch_path(spark, "family_parts")
+    schema = StructType([StructField("v", LongType())])
+    for year in (2019, 2020):
+        spark.range(5).select(F.lit(year).cast("bigint").alias("v")).write.option("header", "true").csv(
+            f"{base}/us-counties-{year}")
+    got = {(r.v, r.year) for r in scan_family(spark, base, schema, strict=True).collect()}
+    assert got == {(2019, 2019), (2020, 2020)}
+
+
+def test_family_file_without_year_is_null_or_stops(spark):
+    base = scratch_path(spark, "family_none").replace("19", "xx").replace("20", "yy")
+    schema = StructType([StructField("v", LongType())])
+    spark.range(1).select(F.lit(1).cast("bigint").alias("v")).write.option("header", "true").csv(f"{base}/counts")
+    assert [r.year for r in scan_family(spark, base, schema).collect()] == [None]
+    with pytest.raises(Exception, match="no year in"):
+        scan_family(spark, base, schema, strict=True).collect()

@@ -5,11 +5,11 @@ r"""MinHash near-duplicate detection with sequential Bayesian verification.
 2. A signature of BANDS * ROWS min-hashes is banded; classes that share a band are candidates.
    A pair of similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS (0.999995 at 0.8).
 3. Candidates of a band are compared with the band's most connected member first, and their
-   components formed.  Bands whose members are then in one component need no more pairs; for
-   the others the pairs of different components are compared, again hub by hub while many are
-   left, then all of them that a parity sketch does not rule out.  So a group of n copies costs
-   about n pairs, yet every candidate pair is compared, already connected, or ruled out exactly:
-   the sketches' xor has at most as many ones as the sets have shingles that they do not share.
+   components formed.  Bands whose members are then in one component need no more pairs; in the
+   others, the classes outside of the largest component are compared with all of other components
+   that a parity sketch does not rule out.  So a group of n copies costs about n pairs, yet every
+   candidate pair is compared, already connected, or ruled out exactly: the xor of the sketches has
+   at most as many ones as the sets have shingles that they do not share.
 4. A comparison reads the signatures in batches.  After m matches among n hashes, under a uniform
    prior, the posterior probability that the similarity reaches the threshold is
    P(Binomial(n + 1, threshold) <= m); the pair is pruned when that is below ``miss``.
@@ -40,9 +40,6 @@ from panelspark.llm.textscan import NON_SPACE, Words, add_struct, flat, fresh, l
 ROWS, BANDS = 6, 40
 BATCH = 40                 # hashes in a verification batch
 MISS = 1e-9                # posterior probability at which a pair is given up
-HUB_ROUNDS = 6             # at most; then all pairs that are left are compared
-ALL_PAIRS = 4              # all pairs are compared once there are at most so many per row,
-IDLE = 0.001               # or once a round of hubs finds fewer links per row than this
 SMALL_ROWS = 500_000       # keys of at most this many rows (24 bytes each) are broadcast
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -231,43 +228,25 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: flo
     def fits(n: str, m: str) -> Column:
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)      # else the sizes rule a link out
 
-    labels, idle = node.select("node", F.col("node").alias("label")), False
-    rows = member.withColumn("label", F.col("node"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn:
-            rows = rows.drop("label").join(labels, "node")
-        # Pairs of different components still to compare in each band.  Hubs have been compared with
-        # all and are no longer among the rows.
-        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        left = counts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        left = left.where(F.col("all") * F.col("all") > F.col("same")).select("key")
-        rows = released(rows.join(left, "key"))
-        n_rows = rows.count()
-        if not n_rows:
-            break
-        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        todo = (counts.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
-                .agg(F.sum("p")).first()[0]) // 2
-        few = todo <= ALL_PAIRS * n_rows or idle or turn == HUB_ROUNDS
-        if few:
-            rows = rows.join(parity, "node")
-            other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"),
-                                *[F.col(c).alias(f"{c}_b") for c in PARITY])
-            pairs = (rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b"))
-                                                   & fits("n", "n_b") & _parity_fits(percent))
-                     .select(F.col("node").alias("a"), "b"))
-        else:
-            hubs = rows.groupBy("key").agg(F.max(F.struct("score", "node", "label", "n")).alias("h"))
-            rows = rows.join(hubs, "key").where(F.col("node") != F.col("h.node"))
-            pairs = (rows.where((F.col("label") != F.col("h.label")) & fits("n", "h.n"))
-                     .select(F.col("h.node").alias("a"), F.col("node").alias("b")))
-            rows = rows.drop("h")
-        found = judged(pairs.distinct())
-        idle = found.count() < IDLE * n_rows
-        labels = _merged(labels, found)
-        if few:
-            break
-    return labels
+    labels = node.select("node", F.col("node").alias("label"))
+    # First every band's members against its hub: that connects the members of large groups.
+    hubs = member.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("h"))
+    with_hub = member.join(hubs, "key").where(F.col("node") != F.col("h.node"))
+    star = with_hub.where(fits("n", "h.n")).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
+    labels = _merged(labels, judged(star.distinct()))
+    # Then, where a band holds several components, the pairs across them: every class outside of the
+    # band's largest component against all others.
+    rows = member.join(labels, "node")
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
+    rows = rows.join(sizes.where("labels > 1").select("key", F.col("top.label").alias("top")), "key")
+    rows = released(rows.withColumn("minor", F.col("label") != F.col("top")).drop("top", "score").join(parity, "node"))
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "minor", *PARITY)])
+    across = (rows.where("minor").join(other, "key")
+              .where((F.col("label") != F.col("label_b")) & (~F.col("minor_b") | (F.col("node") < F.col("node_b")))
+                     & fits("n", "n_b") & _parity_fits(percent)))
+    return _merged(labels, judged(across.select(F.least("node", "node_b").alias("a"),
+                                                F.greatest("node", "node_b").alias("b")).distinct()))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from itertools import chain, islice
 
@@ -32,7 +33,7 @@ from panelspark.llm.textscan import add_struct, flat, fresh, pieces
 TABLE_SIZE = 65_536       # pieces in the broadcast table: a few MB
 TASK_TOP = 16_384         # pieces that a task proposes for it
 TASK_COUNTS = 400_000     # distinct pieces that a task counts before it drops the rarest
-CACHE_SIZE = 500_000      # pieces in a worker's cache
+CACHE_SIZE = 1_000_000    # pieces in a worker's cache: about 120 MB
 CACHED_CHARS = 64         # longer pieces are encoded each time
 SPACE = "\u0120"          # how byte-level vocabularies write a space
 
@@ -95,6 +96,17 @@ def encoder(path: str):
     return _tokenizers[path]
 
 
+_caches: dict[str, PieceLengths] = {}
+
+
+def worker_cache(run: str, tokenizer: str, shared) -> PieceLengths:
+    """The cache that all tasks of a run share in this worker; one run's at a time."""
+    if run not in _caches:
+        _caches.clear()
+        _caches[run] = PieceLengths(*encoder(resolve(tokenizer)), shared.value)
+    return _caches[run]
+
+
 def resolve(name: str) -> str:
     """The file's place on this machine; executors look it up themselves."""
     import public_tokenizers
@@ -131,13 +143,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", name: str
     encode, _ = encoder(resolve(tokenizer))
     table = {p: len(encode(" " + p)) for p in frequent_pieces(docs, text, table_size)}
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    state: list[PieceLengths] = []
+    run = uuid.uuid4().hex
 
     def make(piece: pa.RecordBatch) -> list[pa.Array]:
-        if not state:
-            state.append(PieceLengths(*encoder(resolve(tokenizer)), shared.value))
         col = piece.column(text)
-        return [pa.array(np.diff(flat(col)[1]), pa.int64()), pa.array(state[0].counts(col.to_pylist()), pa.int64())]
+        lengths = worker_cache(run, tokenizer, shared)
+        return [pa.array(np.diff(flat(col)[1]), pa.int64()), pa.array(lengths.counts(col.to_pylist()), pa.int64())]
 
     return add_struct(docs, text, _COUNT, name, make, carry), name
 

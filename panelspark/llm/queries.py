@@ -96,8 +96,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_decontamination": (op1_decontamination, S.OP1),
     "op2_source_mixing": (op2_source_mixing, S.OP2),
     "op3_toxicity": (op3_toxicity, None),
-    "op4_near_dedup": (op4_near_dedup, None),
-    "op5_suffix_dedup": (op5_suffix_dedup, None),
+    "op4_near_dedup": (op4_near_dedup, S.OP4),
+    "op5_suffix_dedup": (op5_suffix_dedup, S.OP5),
     "op6_token_counts": (op6_token_counts, None),
     "op7_fingerprints": (op7_fingerprints, None),
     "op8_lm_scoring": (op8_lm_scoring, None),

@@ -68,3 +68,45 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
+
+OP4 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format(c="text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+         FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+         WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y FROM reach JOIN edge ON r = x),
+low AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN low ON d.doc_id = low.doc_id
+"""
+
+# Bytes as pairs of hexadecimal digits.
+OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win)
+          WHERE k > 1),
+edge AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new
+         FROM again),
+grp AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edge),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM grp GROUP BY doc_id, g),
+part AS (
+  SELECT doc_id, coalesce(lag(z) OVER w, 0) AS f, a AS t FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(z), 0), length(any_value(h)) // 2 FROM d LEFT JOIN span ON d.doc_id = span.doc_id
+  GROUP BY d.doc_id),
+kept AS (SELECT part.doc_id, string_agg(substring(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k
+         FROM part JOIN d ON part.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) // 2 AS BIGINT) AS n_removed,
+       (SELECT count(*) FROM span WHERE span.doc_id = d.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id
+"""

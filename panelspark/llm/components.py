@@ -7,17 +7,21 @@ and edges stay distributed; only the number of changed nodes reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.tables import released
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, by_node: Callable[[DataFrame], DataFrame] = lambda df: df,
+               max_rounds: int = 100) -> DataFrame:
     """(node, label): ``label`` is the smallest node of the component; nodes without an edge
     are absent.  ``edges``: (a, b) of one comparable type, undirected, without nulls.
 
-    A hub's edges are combined map-side before the shuffle, so one node with a third of all
+    ``by_node`` may hint a broadcast for tables of a row a node, where the caller knows that the
+    nodes are few.  A hub's edges are combined map-side before the shuffle, so one node with a third of all
     edges does not land in one task as raw rows.
     """
     both = (edges.select(F.col("a").alias("node"), F.col("b").alias("to"))
@@ -29,11 +33,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels = released(labels)
     for _ in range(max_rounds):
         to = labels.select(F.col("node").alias("to"), F.col("label").alias("to_label"))
-        near = both.join(to, "to").groupBy("node").agg(F.min("to_label").alias("near"))
-        stepped = (labels.join(near, "node")
+        near = both.join(by_node(to), "to").groupBy("node").agg(F.min("to_label").alias("near"))
+        stepped = (labels.join(by_node(near), "node")
                    .select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
         up = stepped.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        nxt = released(stepped.join(up, "label").select("node", "was", F.least("label", "up").alias("label")))
+        nxt = released(stepped.join(by_node(up), "label").select("node", "was", F.least("label", "up").alias("label")))
         changed = nxt.where(F.col("was") != F.col("label")).limit(1).count()
         labels = nxt.select("node", "label")
         if not changed:

@@ -40,6 +40,7 @@ from panelspark.llm.textscan import NON_SPACE, Words, add_struct, flat, fresh, l
 ROWS, BANDS = 6, 40
 BATCH = 40                 # hashes in a verification batch
 MISS = 1e-9                # posterior probability at which a pair is given up
+FEW_NODES = 60_000         # tables of at most so many classes (176 bytes each at most) are broadcast
 SMALL_ROWS = 500_000       # keys of at most this many rows (24 bytes each) are broadcast
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -49,7 +50,7 @@ _BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 
 _SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()),
                         T.StructField("head", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-                        T.StructField("sig", T.BinaryType())])
+                        T.StructField("sig", T.ArrayType(T.ByteType()))])
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +107,13 @@ def _signed(piece: pa.RecordBatch, text: str, size: int) -> list[pa.Array]:
         for r in range(ROWS):
             bands[b] += mins[b * ROWS + r].astype(np.uint64) * _BAND[b, r]
         bands[b] = mix64(bands[b] + np.uint64(b))
-    sig = np.ascontiguousarray((mins & np.uint32(255)).astype(np.uint8).T)
-    blobs = iter([row.tobytes() for row in sig])
+    sig = np.ascontiguousarray((mins & np.uint32(255)).astype(np.uint8).T).view(np.int8)
     digests = _digests(values, counts)
     return [pa.array(counts, pa.int64()),
             pa.array([d if ok else None for d, ok in zip(digests, has.tolist(), strict=True)], pa.binary()),
             pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
             list_array(np.ascontiguousarray(bands.T).ravel().view(np.int64), has * BANDS, pa.int64()),
-            pa.array([next(blobs) if ok else None for ok in has.tolist()], pa.binary())]
+            list_array(sig.ravel(), has * ROWS * BANDS, pa.int8())]
 
 
 def least_matches(threshold: float, miss: float = MISS, batch: int = BATCH, total: int = ROWS * BANDS) -> list[int]:
@@ -130,24 +130,15 @@ def least_matches(threshold: float, miss: float = MISS, batch: int = BATCH, tota
     return out
 
 
-def bayes_prune(pairs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
-    """(a, b) of the pairs (a, b, sig_a, sig_b) that no batch of signatures prunes."""
-    need = least_matches(threshold, miss)
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, y = (flat(batch.column(c))[0].reshape(n, -1) for c in ("sig_a", "sig_b"))
-            left, matches = np.arange(n), np.zeros(n, np.int64)
-            for k, least in enumerate(need):
-                cols = slice(k * BATCH, (k + 1) * BATCH)
-                matches[left] += (x[left, cols] == y[left, cols]).sum(1)
-                left = left[matches[left] >= least]
-            yield batch.select(["a", "b"]).take(pa.array(left))
-
-    return pairs.mapInArrow(run, "a binary, b binary")
+def _not_pruned(a: str, b: str, threshold: float, miss: float) -> Column:
+    """Whether no batch of the signatures ``a`` and ``b`` prunes the pair.  The conditions stand in the
+    order of the batches, and a later one is not evaluated after a false one."""
+    matches, keep = F.lit(0), F.lit(True)
+    for k, least in enumerate(least_matches(threshold, miss)):
+        x, y = (F.slice(c, k * BATCH + 1, BATCH) for c in (a, b))
+        matches = matches + F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+        keep = keep & (matches >= least)
+    return keep
 
 
 PARITY = [f"q{i}" for i in range(16)]
@@ -181,80 +172,82 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, items array<long>, " + ", ".join(f"{c} long" for c in PARITY))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+def verify(pairs: DataFrame, info: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
+    """The pairs (a, b) that the signatures do not prune and that have 100 * intersection >= percent *
+    union of their full sets.  ``info``: (node, sig, items).
 
     The set of ``b`` travels with the pair to the side of ``a``; a hub ``a`` of many pairs is
     split by AQE's skew join, as both joins stand directly on shuffles.
     """
-    left = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    right = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
+    left, right = (info.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("items").alias(f"items_{c}"))
+                   for c in ("b", "a"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - both
-    return (pairs.join(left, "b").join(right, "a").where(100 * both >= percent * union).select("a", "b"))
+    return (pairs.join(left, "b").join(right, "a").where(_not_pruned("sig_a", "sig_b", percent / 100, miss))
+            .where(100 * both >= percent * union).select("a", "b"))
 
 
-def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: float = MISS) -> DataFrame:
-    """(node, label): component of every class that shares a band with another class.
+def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, miss: float = MISS) -> tuple[DataFrame, bool]:
+    """(node, label), the component of every class that shares a band with another class, and
+    whether these are few enough to broadcast.
 
     ``signed``: (id, tid, n_shingles, cls, head, bands, sig) by document; ``docs``: (id, tid, text).
     """
     has = signed.where(F.col("cls").isNotNull())
     # ``head``: the first 8 bytes of the class digest, so that this aggregate works on longs.
     shared = (has.select(F.explode("bands").alias("key"), "head").groupBy("key")
-              .agg(F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo <> hi").select("key"))
+              .agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count(F.lit(1)).alias("rows"))
+              .where("lo <> hi").select("key", "rows"))
     member = released(has.select(F.explode("bands").alias("key"), F.col("cls").alias("node")).join(shared, "key").distinct())
     # How connected a class is: the sum of the sizes of its bands.  Hubs are the most connected.
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    score = member.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("score"))
+    score = member.groupBy("node").agg(F.sum("rows").alias("score"))
     reps = (has.groupBy(F.col("cls").alias("node"))
             .agg(F.min(F.struct("id", "tid", F.col("n_shingles").alias("n"), "sig")).alias("r")))
     node = released(score.join(reps, "node").select("node", "score", "r.*"))
-    wanted = node.select(F.col("id").alias("_id"), F.col("tid").alias("_tid"))
-    if node.count() <= SMALL_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["tid"].eqNullSafe(wanted["_tid"]) & docs["id"].eqNullSafe(wanted["_id"]), "left_semi")
-    sets = released(_sets(texts, size).dropDuplicates(["node"]))
-    member = released(member.join(node.select("node", "score", "n"), "node"))
-    sigs, parity = node.select("node", "sig"), sets.select("node", *PARITY)
-    sets = sets.select("node", "items")
+    few = node.count() <= FEW_NODES
+
+    def by_node(df: DataFrame) -> DataFrame:
+        """A table of at most a row a node: broadcast if the nodes are few, else shuffled."""
+        return F.broadcast(df) if few else df
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
-        both = (pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-                .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"))
-        return released(verify(bayes_prune(both, percent / 100, miss), sets, percent))
+    wanted = by_node(node.select(F.col("id").alias("_id"), F.col("tid").alias("_tid")))
+    texts = docs.join(wanted, docs["tid"].eqNullSafe(wanted["_tid"]) & docs["id"].eqNullSafe(wanted["_id"]), "left_semi")
+    sets = released(_sets(texts, size).dropDuplicates(["node"]).join(by_node(node.select("node", "sig")), "node"))
+    info, parity = sets.select("node", "sig", "items"), sets.select("node", *PARITY)
+    member = member.select("key", "node")
 
     def fits(n: str, m: str) -> Column:
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)      # else the sizes rule a link out
 
     labels = node.select("node", F.col("node").alias("label"))
     # First every band's members against its hub: that connects the members of large groups.
-    hubs = member.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("h"))
-    with_hub = member.join(hubs, "key").where(F.col("node") != F.col("h.node"))
+    scored = member.join(by_node(node.select("node", "score", "n")), "node")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("h"))
+    with_hub = scored.join(hubs, "key").where(F.col("node") != F.col("h.node"))
     star = with_hub.where(fits("n", "h.n")).select(F.col("h.node").alias("a"), F.col("node").alias("b"))
-    labels = _merged(labels, judged(star.distinct()))
+    labels = _merged(labels, released(verify(star.distinct(), info, percent, miss)), by_node)
     # Then, where a band holds several components, the pairs across them: every class outside of the
     # band's largest component against all others.
-    rows = member.join(labels, "node")
+    rows = member.join(by_node(labels), "node")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
     rows = rows.join(sizes.where("labels > 1").select("key", F.col("top.label").alias("top")), "key")
-    rows = released(rows.withColumn("minor", F.col("label") != F.col("top")).drop("top", "score").join(parity, "node"))
+    rows = released(rows.withColumn("minor", F.col("label") != F.col("top")).drop("top")
+                    .join(by_node(node.select("node", "n")), "node").join(by_node(parity), "node"))
     other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "minor", *PARITY)])
     across = (rows.where("minor").join(other, "key")
               .where((F.col("label") != F.col("label_b")) & (~F.col("minor_b") | (F.col("node") < F.col("node_b")))
                      & fits("n", "n_b") & _parity_fits(percent)))
-    return _merged(labels, judged(across.select(F.least("node", "node_b").alias("a"),
-                                                F.greatest("node", "node_b").alias("b")).distinct()))
+    across = across.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    return _merged(labels, released(verify(across, info, percent, miss)), by_node), few
 
 
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, found: DataFrame, by_node) -> DataFrame:
     """``labels`` with the components joined that the links (a, b) connect."""
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("x"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    a = by_node(labels.select(F.col("node").alias("a"), F.col("label").alias("x")))
+    b = by_node(labels.select(F.col("node").alias("b"), F.col("label").alias("y")))
     edges = found.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("up"))
+    joined = by_node(components(edges, by_node).select(F.col("node").alias("label"), F.col("label").alias("up")))
     return released(labels.join(joined, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
 
 
@@ -268,7 +261,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     made = add_struct(src, "text", _SIGNED, "s", lambda piece: _signed(piece, "text", shingle), ["id", "tid"])
     signed = made.select("id", "tid", "s.*")
     signed = released(signed)
-    labels = links(signed, src, shingle, percent, miss)
+    labels, few = links(signed, src, shingle, percent, miss)
+    labels = F.broadcast(labels) if few else labels
     rows = signed.select("id", "tid", "n_shingles", "cls")
     # The smallest id of each class, then of each component; both combine map-side.
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("low"))

@@ -9,9 +9,9 @@ from panelspark.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    # The checkpoint folder comes from the session (spark.checkpoint.dir); get_session only
-    # creates a private one when none is configured.
-    s = get_session("local[4]", 8, app="panelspark-tests", extra={"spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    # The checkpoint folder comes from the session (spark.checkpoint.dir); tests name their own.
+    s = get_session("local[4]", 8, app="panelspark-tests", extra={
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file:{tmp_path_factory.mktemp('shared')}"})
     yield s
     s.stop()

@@ -165,6 +165,20 @@ def _meet(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return docs.join(runs, ["id", "tid"])
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row per (id, tid), so that no document is compared with its own copies.  Only repeated
+    rows are aggregated, copies map-side; the others are not moved."""
+    twice = released(docs.groupBy("id", "tid").count().where("count > 1").select("id", "tid"))
+    n = twice.count()
+    if not n:
+        return docs
+    some = docs.join(F.broadcast(twice), ["id", "tid"], "left_semi") if n <= SMALL_ROWS else docs
+    one = released(some.groupBy("id", "tid").agg(F.first("text").alias("text")))
+    if n > SMALL_ROWS:
+        return one
+    return docs.join(F.broadcast(twice), ["id", "tid"], "left_anti").unionByName(one)
+
+
 def _next_round(asked: DataFrame, length: int, block: int) -> DataFrame:
     """Rank rows of the asked runs: cut to blocks of ``block`` neighbouring strings, counted from
     the anchor."""
@@ -198,8 +212,9 @@ def _next_round(asked: DataFrame, length: int, block: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, tid, runs): the packed runs of repeated strings of each document that has any.
 
-    ``docs``: (id, tid, text) with LAST_ID for null ids.
+    ``docs``: (id, tid, text) with LAST_ID for null ids; equal (id, tid) are one document.
     """
+    docs = _one_each(docs)
     first = released(_by_document(judge(_first_round(docs, length))))
     blocks = released(_by_document(judge(_next_round(_meet(docs, _only(first, ASK)), length, BLOCK))))
     strings = judge(_next_round(_meet(docs, _only(blocks, ASK)), length, 1), last=True)

@@ -311,6 +311,21 @@ def test_repeated_strings(spark, odd_rows, length):
     assert Counter(got) == Counter(brute_cut(rows, length))
 
 
+@pytest.mark.parametrize("small", [suffix_dedup.SMALL_ROWS, 0])
+def test_repeated_rows_are_one_document(spark, monkeypatch, small):
+    monkeypatch.setattr(suffix_dedup, "SMALL_ROWS", small)
+    alone = {c: " ".join(f"{c}{i * i}" for i in range(60)) for c in "pqrs"}      # over 100 bytes, in no other document
+    line = "a line of forty bytes and some in both, "
+    rows = [(1, alone["p"]), (1, alone["p"]), (None, alone["q"]), (None, alone["q"]), (2, alone["r"] + line + alone["r"]),
+            (3, line.join(alone["s"][k:k + 70] for k in (0, 70))), (3, line.join(alone["s"][k:k + 70] for k in (0, 70))),
+            (4, alone["p"][50:250]), (5, None), (5, None), (None, "")]
+    for parts in (1, 4):
+        made, name = suffix_dedup.cut_repeats(frame(spark, rows).repartition(parts))
+        got = [(r.doc_id, r[name].n_bytes, r[name].n_removed, r[name].n_spans, r[name].kept_sha256) for r in made.collect()]
+        assert Counter(got) == Counter(brute_cut(rows, 100))
+    assert {r[0] for r in got if r[2]} == {2, 4}
+
+
 def test_repeated_strings_leave_valid_text(spark, odd_rows):
     docs = frame(spark, odd_rows)
     out = suffix_dedup.remove_repeats(docs)

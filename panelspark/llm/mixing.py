@@ -112,17 +112,20 @@ def taken(entries: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
                     **options) -> DataFrame:
     """The documents that the mix takes, with all their columns plus a struct ``mix`` (taken,
-    copies, first_position).  Equal rows are matched one to one."""
-    key, nth, out = (fresh(c, docs.columns) for c in ("_mix_key", "_mix_nth", "mix"))
+    copies, first_position).  Rows equal in id, text and source are matched one to one."""
+    key, src, nth, out = (fresh(c, docs.columns) for c in ("_mix_key", "_mix_source", "_mix_nth", "mix"))
     left = docs.withColumn(key, shuffle_key(doc_id, text))
     right = released(taken(mix(docs, doc_id, text, source, **options)).select(
-        F.col("key").alias(key), F.struct("taken", "copies", "first_position").alias(out)))
-    twice = right.groupBy(key).count().where("count > 1").select(key)
+        F.col("key").alias(key), F.col("source").alias(src), F.struct("taken", "copies", "first_position").alias(out)))
+    twice = right.groupBy(key, src).count().where("count > 1").select(key)
+    same = [key]
     if twice.limit(1).count():
         # Equal rows: number them on both sides.
-        same = Window.partitionBy(key).orderBy(key)
-        left = left.withColumn(nth, F.row_number().over(same))
-        joined = left.join(right.withColumn(nth, F.row_number().over(same)), [key, nth])
-    else:
-        joined = left.join(right, key)
+        left = left.withColumn(nth, F.row_number().over(Window.partitionBy(key, source).orderBy(key)))
+        right = right.withColumn(nth, F.row_number().over(Window.partitionBy(key, src).orderBy(key)))
+        same.append(nth)
+    match = left[source].eqNullSafe(right[src])
+    for c in same:
+        match &= left[c] == right[c]
+    joined = left.join(right, match).drop(*[right[c] for c in same])
     return joined.where(F.col(out)["taken"] > 0).select(*docs.columns, out)

@@ -138,6 +138,18 @@ def test_mixed_documents_match_rows_one_to_one(spark, odd_rows):
     assert Counter((r.doc_id, r[struct].taken) for r in out.collect()) == want
 
 
+def test_mixed_documents_of_equal_rows_in_several_sources(spark):
+    # The same null-id texts in every source, once or twice: each row gets what its own source takes.
+    rows = [(None, f"text {k} " * (k % 4 + 1), s) for k in range(40) for s in ("a", "b", None) for _ in range(1 + (k == 7))]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3),
+                 spark.createDataFrame(dict.fromkeys(rows), "doc_id long, text string, source string").repartition(3)):
+        entries = mixing.taken(mixing.mix(docs, max_copies=2)).collect()
+        want = Counter((r.source, r.key, r.taken) for r in entries if r.taken)
+        assert len({(r.source, r.taken) for r in entries}) > 3
+        got = mixing.mixed_documents(docs, max_copies=2).withColumn("key", mixing.shuffle_key("doc_id", "text")).collect()
+        assert Counter((r.source, r.key, r.mix.taken) for r in got) == want
+
+
 def test_mixing_native_running_totals_over_many_buckets(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 7 as int))").alias("text"),
                                       F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))

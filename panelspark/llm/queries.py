@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelspark.llm import (
-    arc_warc, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, suffix_dedup, token_counts, toxicity)
+    arc_warc, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, secret_scan, suffix_dedup,
+    token_counts, toxicity)
 from panelspark.llm import sql as S
 from panelspark.llm.tables import released, table
 from panelspark.session import scratch_path
@@ -88,6 +89,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, s = secret_scan.find(docs, carry=["doc_id"])
+    spans = F.col(s)["spans"]
+    return found.select(
+        "doc_id", *[secret_scan.count_of(spans, k.name).alias(f"n_{k.name}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.listing(spans, secret_scan.BASE), 256).alias("base_sha256"),
+        secret_scan.listing(spans).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -103,6 +114,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_lm_scoring": (op8_lm_scoring, None),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_warc": (op10_warc, S.OP10),
+    "op11_secret_scan": (op11_secret_scan, S.OP11),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 

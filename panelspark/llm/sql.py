@@ -110,3 +110,59 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - le
        (SELECT count(*) FROM span WHERE span.doc_id = d.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept ON d.doc_id = kept.doc_id
 """
+
+# CRC-32 by bytes: tab holds the 256 remainders, {crc} takes the codes of an ASCII string s.
+_CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+                              lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+        FROM range(256) r(i)))"""
+
+
+def _crc(s: str) -> str:
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({s}, ''), "
+            "lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)")
+
+
+_WORD = "|".join("".join(c if c in "_?" else f"[{c.upper()}{c}]" for c in w)
+                 for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRETS = [
+    ("assign", rf"""({_WORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", "AKIA[A-Z0-9]+"),
+    ("hex", "[0-9a-f]{32,}"),
+    ("github", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
+    ("npm", r"\bnpm_[A-Za-z0-9]{36}\b"),
+]
+_MATCHES = " UNION ALL ".join(
+    f"SELECT id, doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS hit, regexp_split_to_array(t, '{p}') AS gap FROM d"
+    for k, (kind, p) in enumerate(_SECRETS))
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+{_CRC_TABLE},
+m AS ({_MATCHES}),
+p AS (
+  SELECT id, k, kind, hit[i] AS s,
+         list_sum(list_transform(gap[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m)),
+c AS (
+  SELECT *, CASE WHEN k >= 3 THEN {_crc("split_part(s, '_', 2)[1:30]")} END AS sum FROM p, crc),
+ok AS (
+  SELECT id, k, kind, a, concat(kind, ':', CAST(a AS BIGINT), ':', CAST(a + length(s) AS BIGINT)) AS span
+  FROM c
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, '{_SECRETS[0][1]}', 2)) >= 8
+                  WHEN 'access' THEN length(s) >= 16
+                  WHEN 'hex' THEN true
+                  ELSE s[-6:] = array_to_string(list_transform([5, 4, 3, 2, 1, 0],
+                       lambda e: '{_BASE62}'[CAST(sum // CAST(pow(62, e) AS BIGINT) % 62 AS BIGINT) + 1]), '') END),
+g AS (
+  SELECT id, string_agg(span, ',' ORDER BY a, k) AS spans,
+         coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 3), '') AS base,
+         {", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, (kind, _) in enumerate(_SECRETS))}
+  FROM ok GROUP BY id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind, _ in _SECRETS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.id = g.id
+"""

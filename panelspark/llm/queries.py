@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelspark.llm import (
-    arc_warc, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, secret_scan, suffix_dedup,
-    token_counts, toxicity)
+    arc_warc, conversation_trie, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, secret_scan,
+    suffix_dedup, token_counts, toxicity)
 from panelspark.llm import sql as S
 from panelspark.llm.tables import released, table
 from panelspark.session import scratch_path
@@ -99,6 +99,13 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listing(spans).alias("spans"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trie = conversation_trie.nodes(conversation_trie.spliced(conversation_trie.sequences(turns)))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                       F.lower(F.hex("ends")).alias("ends_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -115,6 +122,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_warc": (op10_warc, S.OP10),
     "op11_secret_scan": (op11_secret_scan, S.OP11),
+    "op12_conversation_trie": (op12_conversation_trie, S.OP12),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 

@@ -166,3 +166,38 @@ SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}"
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g ON d.id = g.id
 """
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, sha256(concat(octet_length(encode(role)), ':', role, text))) AS s
+  FROM t GROUP BY conv_id),
+h AS (SELECT *, CAST({_crc("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM seq, crc),
+re AS (
+  SELECT h.conv_id, list_concat(coalesce(b.s, [])[1:h.h], h.s[h.h + 1:]) AS s
+  FROM h LEFT JOIN seq b ON b.conv_id = h.conv_id - h.conv_id % 5),
+hit AS (
+  SELECT conv_id, len(s) AS n, d, sha256(CAST(s[1:d] AS VARCHAR)) AS k, s[d].t AS last, sha256(CAST(s[1:d - 1] AS VARCHAR)) AS up
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM re)),
+node AS (
+  SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE any_value(octet_length(encode(last))) END AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM hit GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON node.d = kids.d AND node.k = kids.k),
+anc AS (
+  SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk
+  FROM hit a JOIN hit b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sub AS (
+  SELECT anc.d, anc.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM anc JOIN full_node f ON f.d = bd AND f.k = bk GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs,
+       CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sub ON f.d = sub.d AND f.k = sub.k
+     LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.up AND f.d > 0
+"""

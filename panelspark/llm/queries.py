@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelspark.llm import (
     arc_warc, conversation_trie, decontaminate, fingerprints, language_model, mixing, near_dedup, quality_gam, secret_scan,
-    suffix_dedup, token_counts, toxicity)
+    suffix_dedup, token_alignment, token_counts, toxicity)
 from panelspark.llm import sql as S
 from panelspark.llm.tables import released, table
 from panelspark.session import scratch_path
@@ -106,6 +106,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lower(F.hex("ends")).alias("ends_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, t = token_alignment.score_links(docs, "byte_bpe_50k.json", "piece_bpe_32k.model", carry=["doc_id"])
+    return scored.select("doc_id", *[F.col(t)[f].alias(f) for f in (
+        "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -123,6 +130,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_warc": (op10_warc, S.OP10),
     "op11_secret_scan": (op11_secret_scan, S.OP11),
     "op12_conversation_trie": (op12_conversation_trie, S.OP12),
+    "op13_token_alignment": (op13_token_alignment, None),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,6 @@ MARK = "▁"
 
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"(?:\A|\s) ")
-_WHITE = re.compile(r"\s")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -56,31 +55,21 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
-def align(a_ids: list[int], b_ids: list[int], a_len: list[int], b_len: list[int]) -> tuple[list[tuple], list[tuple]]:
-    """(groups of (a ids, b ids), links) of two tokenizations of the same bytes."""
-    a_at = {end: i for i, end in enumerate(accumulate(a_len), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(b_len), 1)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        to_i, to_j = a_at[end], b_at[end]
-        groups.append((a_ids[i:to_i], b_ids[j:to_j]))
-        a_end, b_end = a_len[i], b_len[j]
-        while True:
-            links.append((a_ids[i], b_ids[j]))
-            if a_end <= b_end:
-                i, step_b = i + 1, a_end == b_end
-                if i < to_i:
-                    a_end += a_len[i]
-                if step_b:
-                    j += 1
-            else:
-                j += 1
-                if j < to_j:
-                    b_end += b_len[j]
-            if i >= to_i or j >= to_j:
-                break
-        i, j = to_i, to_j
-    return groups, links
+def align(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group ends in A, group ends in B, A token of each link, B token of each link) of two
+    tokenizations of the same bytes; all are token numbers, the ends exclusive.
+
+    Within a slice two tokens overlap up to the nearer of their ends, so every distinct end of a
+    slice closes one link.
+    """
+    a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
+    a_at = dict(zip(a_end.tolist(), range(1, len(a_end) + 1), strict=True))
+    b_at = dict(zip(b_end.tolist(), range(1, len(b_end) + 1), strict=True))
+    common = sorted(a_at.keys() & b_at.keys())
+    to_a = np.fromiter(map(a_at.__getitem__, common), np.int64, len(common))
+    to_b = np.fromiter(map(b_at.__getitem__, common), np.int64, len(common))
+    ends = np.unique(np.concatenate([a_end, b_end]))
+    return to_a, to_b, np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -96,17 +85,24 @@ class Side:
 
     def __init__(self, encode, spelled: list[bytes]):
         self.encode, self.spelled = encode, spelled
-        self.lengths = [len(b) for b in spelled]
+        self.lengths = np.array([len(b) for b in spelled])
         self.opens = np.array([b[:1] == b" " for b in spelled])
+        # What an id looks like in a group's text: before another of its side, and last of its side.
+        self.inner = np.array([b"%d," % i for i in range(len(spelled))], object)
+
+    def last(self, mark: bytes) -> np.ndarray:
+        return np.array([b"%d%s" % (i, mark) for i in range(len(self.spelled))], object)
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words without white space, encoded as one text: exactly one token of each opens with a space."""
-        ids = np.asarray(self.encode(" ".join(words)))
+    def spell(self, ids) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, first id of each word) of words without a space, encoded as one text, in which one
+        token of each word opens with a space, its first; None if the tokens do not spell the text."""
+        text = " ".join(words)
+        ids = np.asarray(self.encode(text), np.int64)
         first = np.flatnonzero(self.opens[ids])
-        if len(first) != len(words):
-            return [self.encode(w) for w in words]
-        flat, at = ids.tolist(), [*first.tolist(), len(ids)]
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return (ids, first) if len(first) == len(words) and self.spell(ids.tolist()) == (" " + text).encode() else None
 
 
 def byte_level(name: str) -> Side:
@@ -158,10 +154,11 @@ class Grown:
 
 
 class PieceStore:
-    """Alignments of pieces by number: sizes, links, group text.  ``full`` empties it."""
+    """Alignments of pieces by number: sizes, links, and the text of the groups, each with a ; after it."""
 
     def __init__(self, a: Side, b: Side, limit: int = STORE_PIECES, limit_bytes: int = STORE_BYTES):
         self.a, self.b, self.limit, self.limit_bytes = a, b, limit, limit_bytes
+        self.bar, self.semicolon = a.last(b"|"), b.last(b";")
         self.empty()
 
     def empty(self) -> None:
@@ -181,34 +178,56 @@ class PieceStore:
         return bool(self.number) and (len(self.number) + len(new) > self.limit or self.bytes > self.limit_bytes)
 
     def add(self, new: set[str]) -> None:
-        plain = [p for p in new if p and MARK not in p and not _WHITE.search(p)]
-        if plain:
-            self._add(plain, self.a.words(plain), self.b.words(plain))
-        other = list(new.difference(plain))
-        marked = [MARK in p for p in other]
-        self._add(other, [[] if m else self.a.encode(p) for p, m in zip(other, marked, strict=True)],
-                  [[] if m else self.b.encode(p) for p, m in zip(other, marked, strict=True)])
-
-    def _add(self, new: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
-        a_len, b_len, a_bytes, b_bytes = self.a.lengths, self.b.lengths, self.a.spelled, self.b.spelled
-        sizes, bad, links, first, at = [], [], [], [], self.links.n
-        for piece, xs, ys in zip(new, a_ids, b_ids, strict=True):
-            want = b" " + piece.encode()
-            fits = b"".join([a_bytes[x] for x in xs]) == want and b"".join([b_bytes[y] for y in ys]) == want
-            groups, pairs = align(xs, ys, [a_len[x] for x in xs], [b_len[y] for y in ys]) if fits else ([], [])
-            text = ";".join([f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups]).encode()
-            self.number[piece] = len(self.number)
-            self.texts.append(text)
-            self.bytes += len(text) + 8 * len(pairs)
-            first.append(at)
-            at += len(pairs)
-            links += [x * PAIR + y for x, y in pairs]
-            bad.append(not fits)
-            sizes.append((len(xs), len(ys), len(groups), len(pairs)))
+        plain = [p for p in new if p and " " not in p and MARK not in p and not p[-1].isspace()]
+        joined = [side.joined(plain) for side in (self.a, self.b)] if plain else [None, None]
+        if None not in joined:
+            self._align(plain, *joined[0], *joined[1])
+            new = new.difference(plain)
+        alone, bad, a_ids, b_ids = [], [], [], []
+        for p in new:
+            ids = ([], []) if MARK in p else (self.a.encode(p), self.b.encode(p))
+            want = b" " + p.encode()
+            if self.a.spell(ids[0]) == want and self.b.spell(ids[1]) == want:
+                alone.append(p)
+                a_ids.append(ids[0])
+                b_ids.append(ids[1])
+            else:
+                bad.append(p)
+        if alone:
+            flat = [x for ids in (a_ids, b_ids) for x in (
+                np.fromiter(chain.from_iterable(ids), np.int64), np.cumsum([0, *map(len, ids[:-1])]))]
+            self._align(alone, *flat)
+        self._keep(bad, [b""] * len(bad), np.zeros((4, len(bad)), np.int64), np.zeros(0, np.int64), True)
+
+    def _align(self, new: list[str], a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray) -> None:
+        """Aligns pieces whose ids follow each other, as one run of bytes: every piece's end is a common one."""
+        to_a, to_b, link_a, link_b = align(self.a.lengths[a], self.b.lengths[b])
+        # A group's A ids stand before its B ids, so an id's place is known from the group it is in.
+        a_group, b_group = np.searchsorted(to_a, np.arange(len(a)), "right"), np.searchsorted(to_b, np.arange(len(b)), "right")
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + np.append(0, to_b)[a_group]] = self._shown(self.a, a, to_a, self.bar)
+        shown[np.arange(len(b)) + to_a[b_group]] = self._shown(self.b, b, to_b, self.semicolon)
+        a_to, b_to = np.append(a_first[1:], len(a)), np.append(b_first[1:], len(b))
+        at = [0, *(a_to + b_to).tolist()]
+        shown = shown.tolist()
+        texts = [b"".join(shown[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        totals = np.stack([a_to, b_to, np.searchsorted(to_a, a_to, "right"), np.searchsorted(link_a, a_to)])
+        self._keep(new, texts, np.diff(totals, prepend=0), a[link_a] * PAIR + b[link_b], False)
+
+    @staticmethod
+    def _shown(side: Side, ids: np.ndarray, to: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = side.inner[ids]
+        out[to - 1] = last[ids[to - 1]]
+        return out
+
+    def _keep(self, new: list[str], texts: list[bytes], sizes: np.ndarray, links: np.ndarray, bad: bool) -> None:
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.texts += texts
+        self.bytes += sum(map(len, texts)) + links.nbytes
+        self.first.add(self.links.n + np.cumsum(sizes[3]) - sizes[3])
         self.links.add(links)
-        self.first.add(first)
-        self.bad.add(bad)
-        for f, values in zip(self.sizes, zip(*sizes, strict=True), strict=False):
+        self.bad.add(np.full(len(new), bad))
+        for f, values in zip(self.sizes, sizes, strict=True):
             self.sizes[f].add(values)
 
     def spans(self) -> np.ndarray:
@@ -380,7 +399,7 @@ def score_links(docs: DataFrame, a: str, b: str, text: str = "text", name: str =
                 rare.append([])
                 rare_n.append([])
                 continue
-            groups = b";".join([store.texts[k] for k in numbers[first[i]:first[i + 1]].tolist()])
+            groups = b"".join(map(store.texts.__getitem__, numbers[first[i]:first[i + 1]].tolist()))[:-1]
             hashes.append(hashlib.sha256(groups).hexdigest())
             texts.append(groups.decode() if with_groups else None)
             pairs, n = np.unique(missed[ends[i]:ends[i + 1]], return_counts=True)

@@ -81,10 +81,10 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of " " + text, and every id's bytes."""
+    """One tokenizer: ids of " " + text, and every id's bytes; ``run`` words are encoded at a time."""
 
-    def __init__(self, encode, spelled: list[bytes]):
-        self.encode, self.spelled = encode, spelled
+    def __init__(self, encode, spelled: list[bytes], run: int):
+        self.encode, self.spelled, self.run = encode, spelled, run
         self.lengths = np.array([len(b) for b in spelled])
         self.opens = np.array([b[:1] == b" " for b in spelled])
         # What an id looks like in a group's text: before another of its side, and last of its side.
@@ -97,12 +97,14 @@ class Side:
         return b"".join(map(self.spelled.__getitem__, ids))
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, first id of each word) of words without a space, encoded as one text, in which one
-        token of each word opens with a space, its first; None if the tokens do not spell the text."""
-        text = " ".join(words)
-        ids = np.asarray(self.encode(text), np.int64)
+        """(ids, first id of each word) of words without a space, encoded as runs of text, in which one
+        token of each word opens with a space, its first; None if the tokens do not spell the words."""
+        runs = [" ".join(words[i:i + self.run]) for i in range(0, len(words), self.run)]
+        found = list(chain.from_iterable(map(self.encode, runs)))
+        ids = np.array(found, np.int64)
         first = np.flatnonzero(self.opens[ids])
-        return (ids, first) if len(first) == len(words) and self.spell(ids.tolist()) == (" " + text).encode() else None
+        fits = len(first) == len(words) and self.spell(found) == "".join([" " + r for r in runs]).encode()
+        return (ids, first) if fits else None
 
 
 def byte_level(name: str) -> Side:
@@ -116,7 +118,7 @@ def byte_level(name: str) -> Side:
     for token, i in tok.get_vocab().items():
         if all(c in letters for c in token):
             spelled[i] = bytes(letters[c] for c in token)
-    return Side(lambda text: tok.encode(" " + text, add_special_tokens=False).ids, spelled)
+    return Side(lambda text: tok.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, spelled, 1 << 14)
 
 
 def sentence_piece(name: str) -> Side:
@@ -132,7 +134,8 @@ def sentence_piece(name: str) -> Side:
         byte = _BYTE.fullmatch(p) if model.is_byte(i) else None
         spelled.append(bytes([int(byte[1], 16)]) if byte else b"" if model.is_control(i) else p.replace(MARK, " ").encode())
     space = model.piece_to_id(MARK)
-    return Side(lambda text: model.encode(text) if text else [space], spelled)
+    # Its time for a text grows faster than the text.
+    return Side(lambda text: model.encode(text) if text else [space], spelled, 1 << 7)
 
 
 class Grown:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from panelspark.functions.dates import parse_mixed_dates
+from panelspark.sources.intake import scan_intake
 from panelspark.sources.io import (
     drop_table,
     empty_frame,
@@ -73,6 +74,47 @@ def q_scan_family(spark, sf_dir):
     return fam.withColumn("date", parse_mixed_dates("date")).select("o_orderkey", "date", "o_totalprice", "year")
 
 
+@register("family_layouts", sql="""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders
+""")
+def q_family_layouts(spark, sf_dir):
+    """Orders as one CSV folder a year, with other column orders, header spellings and an extra column
+    from 1996 on, read as one family by the headers."""
+    path = scratch_path(spark, "orders_layouts")
+    d = F.col("o_orderdate").cast("date")
+    src = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format(d, "yyyy-MM-dd").alias("date"), "o_totalprice", "o_orderstatus", F.year(d).alias("year"))
+    early = src.where(F.col("year") < 1996).select("o_orderkey", "date", "o_totalprice", "year")
+    late = src.where(F.col("year") >= 1996).select(
+        F.col("o_totalprice").alias("O Totalprice"), "o_orderstatus", F.col("o_orderkey").alias("Order Key"), "date", "year")
+    for part in (early, late):
+        part.hint("rebalance", F.col("year")).write.mode("append").partitionBy("year").option("header", "true").csv(path)
+    fam = scan_intake(spark, path, FAMILY_SCHEMA, {"o_orderkey": ["order key"]}, year_col="year",
+                      dates={"date": parse_mixed_dates}).good()
+    return fam.select("o_orderkey", parse_mixed_dates("date").alias("date"), "o_totalprice", "year")
+
+
+@register("scan_quarantine", sql="""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, COUNT(*) AS rows_in,
+       COUNT(*) FILTER (WHERE NOT (o_orderkey % 7 = 0 OR o_custkey % 11 = 0)) AS rows_good,
+       COUNT(*) FILTER (WHERE o_orderkey % 7 = 0 OR o_custkey % 11 = 0) AS rows_quarantined
+FROM orders GROUP BY 1
+""")
+def q_scan_quarantine(spark, sf_dir):
+    """Orders as a yearly CSV family in which some prices are no numbers and some dates no dates; the rows
+    of every year, the good ones and those set apart."""
+    path = scratch_path(spark, "orders_quarantine")
+    d = F.col("o_orderdate").cast("date")
+    src = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 11 == 0, F.lit("31/31/31")).otherwise(F.date_format(d, "yyyy-MM-dd")).alias("date"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.year(d).alias("year"))
+    (src.hint("rebalance", F.col("year")).write.mode("overwrite").partitionBy("year").option("header", "true").csv(path))
+    fam = scan_intake(spark, path, FAMILY_SCHEMA, year_col="year", dates={"date": parse_mixed_dates})
+    return fam.counts(["year"])
+
+
 @register("table_roundtrip", sql=f"WITH {SQL_DAILY}\nSELECT date, total_volume, n_orders, "
                                  "CAST(year(date) AS INTEGER) AS year FROM daily WHERE year(date) >= 1998")
 def q_table_roundtrip(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Sources, sinks and catalog helpers."""
 
+from panelspark.sources.intake import Intake, scan_intake
 from panelspark.sources.io import (
     drop_table,
     empty_frame,
@@ -13,6 +14,7 @@ from panelspark.sources.io import (
 )
 
 __all__ = [
+    "Intake",
     "drop_table",
     "empty_frame",
     "list_catalog",
@@ -20,6 +22,7 @@ __all__ = [
     "read_table",
     "register_views",
     "scan_family",
+    "scan_intake",
     "union_all",
     "write_table",
 ]

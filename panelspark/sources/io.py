@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -43,6 +43,11 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
 YEAR_TOKEN = r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"
 
 
+def file_year(path: Column, year_pattern: str = YEAR_TOKEN) -> Column:
+    """The last year in a file's path, its part-file name left out; null without one."""
+    return F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", "/"), f".*{year_pattern}", 1).try_cast("int")
+
+
 def scan_family(spark: SparkSession, paths: str | Sequence[str], schema: StructType,
                 fmt: str = "csv", year_pattern: str = YEAR_TOKEN, year_col: str = "year",
                 strict: bool = False, **options: str) -> DataFrame:
@@ -62,7 +67,7 @@ def scan_family(spark: SparkSession, paths: str | Sequence[str], schema: StructT
             reader = reader.option(k, v)
         df = reader.load(list(paths) if not isinstance(paths, str) else paths)
     path = F.col("_metadata.file_path")
-    year = F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", "/"), f".*{year_pattern}", 1).try_cast("int")
+    year = file_year(path, year_pattern)
     if strict:
         year = F.coalesce(year, F.raise_error(F.concat(F.lit("no year in "), path)).cast("int"))
     return df.withColumn(year_col, year)

@@ -75,3 +75,9 @@ ALL = {
     "county_districts": COUNTY_DISTRICTS,
     "event_timeline": EVENT_TIMELINE,
 }
+
+# Header names of the source files that differ from the column names above.
+HEADER_ALIASES = {
+    "hourly_volume": {h: [str(i)] for i, h in enumerate(HOUR_COLUMNS, 1)},
+    "county_districts": {"district": ["MnDOT district(s)"]},
+}

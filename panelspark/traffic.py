@@ -39,7 +39,8 @@ from panelspark.operators.relational import pivot_count
 from panelspark.operators.rollup import hours_to_daily
 from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import schemas as S
-from panelspark.sources.io import read_csv, read_table, scan_family, write_table
+from panelspark.sources.intake import Intake, scan_intake
+from panelspark.sources.io import read_table, write_table
 
 # The output table names of the analysed application, the state it
 # studies, the rows it drops, and its modelling constants.
@@ -78,28 +79,40 @@ class SourcePaths:
     timeline: str
 
 
+FAMILIES = ("hourly_volume", "county_cases")
+DATED = ("hourly_volume", "county_cases", "state_cases", "national_cases", "timeline")
+
+
+def load_intake(spark: SparkSession, paths: SourcePaths, unknown: str = "raise") -> dict[str, Intake]:
+    """Every source bound by its files' headers, bad rows kept apart (one look at first lines each)."""
+    return {name: scan_intake(spark, getattr(paths, name), S.ALL["event_timeline" if name == "timeline" else name],
+                              S.HEADER_ALIASES.get(name), unknown, dates={"date": parse_mixed_dates} if name in DATED else None,
+                              year_col="year" if name in FAMILIES else None)
+            for name in SourcePaths.__dataclass_fields__}
+
+
+def sources_of(intake: Mapping[str, Intake]) -> dict[str, DataFrame]:
+    """The good rows of every source with dates parsed (both layouts)."""
+    return {name: i.good().withColumn("date", parse_mixed_dates("date")) if name in DATED else i.good()
+            for name, i in intake.items()}
+
+
 def load_sources(spark: SparkSession, paths: SourcePaths) -> dict[str, DataFrame]:
-    """Raw sources with dates parsed (both layouts) at the edge."""
-    def dated(df: DataFrame) -> DataFrame:
-        return df.withColumn("date", parse_mixed_dates("date"))
+    """Raw sources with dates parsed at the edge: columns bound by header, without quarantined rows."""
+    return sources_of(load_intake(spark, paths))
 
-    return {
-        "hourly_volume": dated(scan_family(spark, paths.hourly_volume, S.HOURLY_VOLUME)),
-        "current_stations": read_csv(spark, paths.current_stations, S.CURRENT_STATIONS),
-        "retired_stations": read_csv(spark, paths.retired_stations, S.RETIRED_STATIONS),
-        "county_districts": read_csv(spark, paths.county_districts, S.COUNTY_DISTRICTS),
-        "county_cases": dated(scan_family(spark, paths.county_cases, S.COUNTY_CASES)),
-        "state_cases": dated(read_csv(spark, paths.state_cases, S.STATE_CASES)),
-        "national_cases": dated(read_csv(spark, paths.national_cases, S.NATIONAL_CASES)),
-        "timeline": dated(read_csv(spark, paths.timeline, S.EVENT_TIMELINE)),
-    }
+
+def quarantine_table(intake: Mapping[str, Intake]) -> DataFrame:
+    """(table, file, reason, record) of every row that no source uses."""
+    return reduce(DataFrame.unionByName, [i.quarantine(name) for name, i in intake.items()])
 
 
-def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
+def quality_report(src: Mapping[str, DataFrame], intake: Mapping[str, Intake] | None = None) -> DataFrame:
     """The source checks of the preparation stage as one long report (table, group, check,
     observed, expected, passed): completeness, sign, deaths <= cases, key uniqueness,
     unique dates per entity and time-step continuity for every source -- per year for the
-    yearly families -- plus volume stations missing from both station lists.
+    yearly families -- plus volume stations missing from both station lists and, with ``intake``, the
+    quarantined rows of every file.
 
     Each source is read by its ``suite`` (one aggregation over every counter, one per exact
     distinct count or key, of its own columns only) and by its continuity pipeline
@@ -133,6 +146,7 @@ def quality_report(src: Mapping[str, DataFrame]) -> DataFrame:
                 unique=[["continuous_number"]]),
         Q.suite(ret, "retired_stations", not_null=ret.columns, distinct=ret.columns),
         Q.suite(cd, "county_districts", not_null=cd.columns, distinct=cd.columns, unique=[["county"]]),
+        *[i.report(name) for name, i in (intake or {}).items()],
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -363,8 +377,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = get_session()
     if args.cmd == "quality":
         paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})
-        src = load_sources(spark, paths)
-        write_table(quality_report(src), f"{args.prefix}report")
+        intake = load_intake(spark, paths, unknown="skip")
+        src = sources_of(intake)
+        write_table(quality_report(src, intake), f"{args.prefix}report")
+        write_table(quarantine_table(intake), f"{args.prefix}quarantine")
         write_table(coverage_report(src), f"{args.prefix}coverage")
     elif args.cmd == "prepare":
         paths = SourcePaths(**{f: getattr(args, f) for f in SourcePaths.__dataclass_fields__})

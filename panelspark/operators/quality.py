@@ -188,7 +188,7 @@ def day_gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
 def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: str = "date",
               group_by: Sequence[str] = (), unique_days: bool = False,
               listed_in: tuple[str, DataFrame] | None = None,
-              max_broadcast_rows: int = 100_000) -> DataFrame:
+              max_broadcast_rows: int = 100_000, across: bool = False) -> DataFrame:
     """Time-step continuity: min, max, mean gap and share of 1-day gaps (expected 1 each).
 
     One pipeline: rows -> per-(entity, day) counts -> gap window -> per-entity aggregate
@@ -196,7 +196,15 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
     scan: ``unique_days`` adds the share of entities whose dates never repeat and are never null, and
     ``listed_in=(col, known)`` adds the number of distinct ``col`` values (e.g. station
     ids) absent from ``known`` -- a small list, joined at the per-entity level.
+
+    Gaps are those within a group, so with years as groups a gap from December to January is in
+    none of them.  ``across`` stitches the groups: of each entity's rows in a group only the first
+    and the last day are kept, and the days from the last one of its group before to the first one
+    of the next make ``gap_across_max``, ``_min``, ``_share_1`` and ``_count`` of the later group
+    (a group without rows of the entity is passed over; groups that overlap give 0 or less).
     """
+    if across and not group_by:
+        raise ValueError("across needs groups")
     part = list(group_by) + [e for e in entity_cols if e not in group_by]
     # Null dates take part in no gap, but an entity that has one fails the unique-days check.
     g = day_gaps(df, part, date_col, keep_null=unique_days)
@@ -204,7 +212,7 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
     ent = g.groupBy(*part).agg(
         F.sum(F.when(dated, F.col("n_rows") - 1).otherwise(0)).alias("__z"), F.count("gap").alias("__st"), F.sum("gap").alias("__su"),
         F.count_if(F.col("gap") == 1).alias("__on"), F.min("gap").alias("__mi"), F.max("gap").alias("__ma"),
-        (F.max("n_rows") + F.max((~dated).cast("int"))).alias("__mn"))
+        (F.max("n_rows") + F.max((~dated).cast("int"))).alias("__mn"), F.min(date_col).alias("__first"), F.max(date_col).alias("__last"))
     extra_aggs, extra_rows = [], []
     if unique_days:
         extra_aggs.append(F.avg((F.col("__mn") == 1).cast("int")).alias("__ud"))
@@ -216,6 +224,15 @@ def gap_stats(df: DataFrame, table: str, entity_cols: Sequence[str], date_col: s
         ent = ent.join(broadcast_if_bounded(k, max_broadcast_rows, probe=known), col, "left")
         extra_aggs.append(F.count_distinct(F.when(F.col("__listed").isNull(), F.col(col))).alias("__um"))
         extra_rows.append((f"unmatched({col})", F.col("__um"), F.lit(0.0), None))
+    if across:
+        # A row for each entity and group: the window holds as many as there are groups.
+        before = F.lag("__last").over(Window.partitionBy(*[e for e in entity_cols if e not in group_by]).orderBy("__first", *group_by))
+        ent = ent.withColumn("__step", F.datediff("__first", before))
+        extra_aggs += [F.max("__step").alias("__xma"), F.min("__step").alias("__xmi"), F.count("__step").alias("__xn"),
+                       F.avg((F.col("__step") == 1).cast("int")).alias("__xs")]
+        extra_rows += [("gap_across_max", F.col("__xma"), F.lit(1.0), None), ("gap_across_min", F.col("__xmi"), F.lit(1.0), None),
+                       ("gap_across_share_1", F.col("__xs"), F.lit(1.0), None),
+                       ("gap_across_count", F.col("__xn"), F.lit(None), F.lit(None))]
     agg = ent.groupBy(*group_by).agg(
         F.sum("__z").alias("__zeros"), F.sum("__st").alias("__steps"), F.sum("__su").alias("__sum"),
         F.sum("__on").alias("__ones"), F.min("__mi").alias("__min"), F.max("__ma").alias("__max"), *extra_aggs)

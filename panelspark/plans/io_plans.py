@@ -6,6 +6,7 @@ Intermediate files go under the shared checkpoint folder of the session
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -22,6 +23,7 @@ from panelspark.sources.io import (
     union_all,
     write_table,
 )
+from panelspark.sources.versions import publish, read_published
 from panelspark.plans.common import SQL_DAILY, daily_orders, table
 from panelspark.plans.registry import register
 from panelspark.session import scratch_path
@@ -128,6 +130,33 @@ def q_table_roundtrip(spark, sf_dir):
             .select("date", "total_volume", "n_orders", "year"))
 
 
+@register("published_set", sql=f"""
+WITH {SQL_DAILY}, yearly AS (SELECT CAST(year(date) AS INTEGER) AS year, COUNT(*) AS n_days FROM daily GROUP BY 1)
+SELECT date, total_volume, n_orders, CAST(year(date) AS INTEGER) AS year, n_days
+FROM daily JOIN yearly ON yearly.year = year(date)
+""")
+def q_published_set(spark, sf_dir):
+    """Two tables published as one set, then a second run whose second table fails: readers still see
+    both tables of the first."""
+    root = scratch_path(spark, "published")
+    daily = daily_orders(spark, sf_dir).withColumn("year", F.year("date"))
+
+    def yearly(staged):
+        return staged("daily").groupBy("year").agg(F.count(F.lit(1)).alias("n_days"))
+
+    def broken(staged):
+        return yearly(staged).withColumn("n_days", F.raise_error(F.lit("stopped on purpose")).cast("long"))
+
+    publish(spark, root, {"daily": daily, "yearly": yearly}, {"daily": ["year"]})
+    try:
+        publish(spark, root, {"daily": daily.withColumn("n_orders", F.lit(0)), "yearly": broken}, {"daily": ["year"]})
+    except PySparkException as e:
+        if "stopped on purpose" not in str(e):
+            raise
+    now = read_published(spark, root)
+    return now["daily"].join(now["yearly"], "year").select("date", "total_volume", "n_orders", "year", "n_days")
+
+
 @register("view_query", sql="""
 SELECT n.n_name AS county, COUNT(*) AS n_customers,
        CAST(SUM(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total_acctbal

@@ -143,6 +143,32 @@ def q_dq_gap_stats(spark, sf_dir):
     return Q.gap_stats(li, "lineitem", ["l_returnflag", "l_linestatus"], "date", ["year"])
 
 
+_ACROSS_SQL = _long_sql(
+    """d AS (SELECT year(o_orderdate) AS year, o_custkey, CAST(o_orderdate AS DATE) AS date, COUNT(*) AS n FROM orders GROUP BY ALL),
+g AS (SELECT *, datediff('day', lag(date) OVER (PARTITION BY year, o_custkey ORDER BY date), date) AS gap FROM d),
+f AS (SELECT year, o_custkey, MIN(date) AS first, MAX(date) AS last FROM d GROUP BY ALL),
+x AS (SELECT year, datediff('day', lag(last) OVER (PARTITION BY o_custkey ORDER BY first), first) AS step FROM f),
+y AS (SELECT year, MAX(step) AS xma, MIN(step) AS xmi, COUNT(step) AS xn, avg(CAST(step = 1 AS INTEGER)) AS xs FROM x GROUP BY year),
+a AS (SELECT year, xma, xmi, xn, xs, SUM(n - 1) AS zeros, COUNT(gap) AS steps, SUM(gap) AS s,
+             COUNT(*) FILTER (WHERE gap = 1) AS ones, MIN(gap) AS mn, MAX(gap) AS mx FROM g JOIN y USING (year) GROUP BY ALL)""",
+    "orders", "CAST(year AS VARCHAR)",
+    [("gap_mean", "CAST(COALESCE(s, 0) AS DOUBLE) / NULLIF(zeros + steps, 0)", "1.0", None),
+     ("gap_share_1", "CAST(ones AS DOUBLE) / NULLIF(zeros + steps, 0)", "1.0", None),
+     ("gap_min", "CASE WHEN zeros > 0 THEN 0 ELSE mn END", "1.0", None),
+     ("gap_max", "COALESCE(mx, CASE WHEN zeros > 0 THEN 0 END)", "1.0", None),
+     ("gap_count", "zeros + steps", "NULL", "NULL"),
+     ("gap_across_max", "xma", "1.0", None), ("gap_across_min", "xmi", "1.0", None),
+     ("gap_across_share_1", "xs", "1.0", None), ("gap_across_count", "xn", "NULL", "NULL")])
+
+
+@register("gap_across_years", sql=_ACROSS_SQL)
+def q_gap_across_years(spark, sf_dir):
+    """Days between a customer's orders, within each year and from one year's last to the next one's first."""
+    o = table(spark, sf_dir, "orders").select(
+        F.year("o_orderdate").alias("year"), "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+    return Q.gap_stats(o, "orders", ["o_custkey"], "date", ["year"], across=True)
+
+
 @register("coverage_check", sql="""
 WITH l AS (SELECT DISTINCT n_name AS name FROM nation),
      r AS (SELECT DISTINCT 'NATION_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS name FROM customer)

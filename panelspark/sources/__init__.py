@@ -12,17 +12,22 @@ from panelspark.sources.io import (
     union_all,
     write_table,
 )
+from panelspark.sources.versions import publish, read_published, restore, versions
 
 __all__ = [
     "Intake",
     "drop_table",
     "empty_frame",
     "list_catalog",
+    "publish",
     "read_csv",
+    "read_published",
     "read_table",
     "register_views",
+    "restore",
     "scan_family",
     "scan_intake",
     "union_all",
+    "versions",
     "write_table",
 ]

@@ -41,6 +41,7 @@ from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import schemas as S
 from panelspark.sources.intake import Intake, scan_intake
 from panelspark.sources.io import read_table, write_table
+from panelspark.sources.versions import publish, read_published
 
 # The output table names of the analysed application, the state it
 # studies, the rows it drops, and its modelling constants.
@@ -111,7 +112,7 @@ def quality_report(src: Mapping[str, DataFrame], intake: Mapping[str, Intake] |
     """The source checks of the preparation stage as one long report (table, group, check,
     observed, expected, passed): completeness, sign, deaths <= cases, key uniqueness,
     unique dates per entity and time-step continuity for every source -- per year for the
-    yearly families -- plus volume stations missing from both station lists and, with ``intake``, the
+    yearly families, with the gaps over the year ends -- plus volume stations missing from both station lists and, with ``intake``, the
     quarantined rows of every file.
 
     Each source is read by its ``suite`` (one aggregation over every counter, one per exact
@@ -137,11 +138,11 @@ def quality_report(src: Mapping[str, DataFrame], intake: Mapping[str, Intake] |
         Q.gap_stats(st, "state_cases", ["state"], "date", unique_days=True),
         Q.suite(cc, "county_cases", ["year"], not_null=[c for c in cc.columns if c != "year"],
                 non_negative=counts, rules=cases_rule, unique=[["county", "state", "date"]]),
-        Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"], unique_days=True),
+        Q.gap_stats(cc, "county_cases", ["county", "state"], "date", ["year"], unique_days=True, across=True),
         # approx: an informational station count, sketched along with the counters.
         Q.suite(hv, "hourly_volume", ["year"], not_null=hv_cols, non_negative=[*hv_keys, *S.HOUR_COLUMNS],
                 distinct=["station_id"], approx=True, unique=[[*hv_keys, "date"]]),
-        Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"], listed_in=("station_id", known)),
+        Q.gap_stats(hv, "hourly_volume", hv_keys, "date", ["year"], listed_in=("station_id", known), across=True),
         Q.suite(cur, "current_stations", not_null=cur.columns, distinct=cur.columns,
                 unique=[["continuous_number"]]),
         Q.suite(ret, "retired_stations", not_null=ret.columns, distinct=ret.columns),
@@ -271,6 +272,30 @@ def write_outputs(tables: Mapping[str, DataFrame], names: Mapping[str, str] = TA
         write_table(df, names[key], partition_by=part, path=(paths or {}).get(key))
 
 
+YEARLY = ("county_volume", "county_cases")
+
+
+def publish_outputs(spark: SparkSession, tables: Mapping[str, DataFrame], root: str,
+                    names: Mapping[str, str] = TABLE_NAMES) -> str:
+    """Replace the output tables under ``root`` as one set: a reader (``read_published_outputs``) sees all
+    old or all new ones, also if this run fails.  Returns the version."""
+    order = sorted(tables, key=lambda k: (k != "county_volume", k))
+    made = {}
+    for key in order:
+        df = tables[key]
+        if key == "state_volume" and "county_volume" in tables:
+            made[names[key]] = lambda staged: state_volume_from(staged(names["county_volume"]))
+        else:
+            made[names[key]] = df.withColumn("year", F.year("date")) if key in YEARLY else df
+    return publish(spark, root, made, {names[k]: ["year"] for k in YEARLY if k in tables})
+
+
+def read_published_outputs(spark: SparkSession, root: str, names: Mapping[str, str] = TABLE_NAMES,
+                           version: str | None = None) -> dict[str, DataFrame]:
+    found = read_published(spark, root, version)
+    return {k: found[v] for k, v in names.items()}
+
+
 def read_outputs(spark: SparkSession, names: Mapping[str, str] = TABLE_NAMES) -> dict[str, DataFrame]:
     return {k: read_table(spark, v) for k, v in names.items()}
 
@@ -363,12 +388,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     prep.add_argument("--fill-volume", choices=["last", "mean"], help="add missing days of each station")
     prep.add_argument("--fill-cases", choices=["last", "mean"], help="add missing days of each county and state")
     prep.add_argument("--table-root", help="folder for the tables' files (default: the warehouse)")
+    prep.add_argument("--publish-root", help="replace the tables in this folder as one set, instead of table by table")
     qual = sub.add_parser("quality", help="raw files -> data-quality and name-coverage report tables")
     for f in SourcePaths.__dataclass_fields__:
         qual.add_argument(f"--{f.replace('_', '-')}", required=True)
     qual.add_argument("--prefix", default="dq_")
     mod = sub.add_parser("model", help="output tables -> share, events, windows, forecasts, scores")
     mod.add_argument("--policy-dates", required=True, help="comma-separated yyyy-MM-dd")
+    mod.add_argument("--publish-root", help="read the newest set of tables published in this folder")
     mod.add_argument("--base-dates", type=int, default=4)
     mod.add_argument("--seed", default="0")
     mod.add_argument("--prefix", default="model_")
@@ -387,9 +414,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         root = args.table_root.rstrip("/") if args.table_root else None
         table_paths = {k: f"{root}/{v}" for k, v in TABLE_NAMES.items()} if root else None
         tables = prepare(load_sources(spark, paths), args.null_as_zero, args.fill_volume, args.fill_cases)
-        write_outputs(tables, paths=table_paths)
+        if args.publish_root:
+            publish_outputs(spark, tables, args.publish_root)
+        else:
+            write_outputs(tables, paths=table_paths)
     else:
-        out = model(spark, read_outputs(spark), args.policy_dates.split(","), args.base_dates, args.seed)
+        tables = read_published_outputs(spark, args.publish_root) if args.publish_root else read_outputs(spark)
+        out = model(spark, tables, args.policy_dates.split(","), args.base_dates, args.seed)
         write_model(out, args.prefix)
 
 

@@ -4,7 +4,11 @@ For every (series, event) at once, over its training rows, with x = days from th
 
 * trend ``m*x + b`` by least squares (``regr_slope`` / ``regr_intercept``);
 * weekday index ``s(w)`` = mean of ``y / trend`` per weekday (1 where unseen or undefined);
-* ``yhat = trend * s``; 95 % band ``yhat +- 1.96 * stddev_samp(y - yhat)`` of the training fit;
+* ``yhat = trend * s``; the band is ``yhat +- 1.96 * stddev_samp(y - yhat)`` of the training fit
+  (``interval="constant"``), or the prediction interval of the trend's normal equations
+  (``interval="prediction"``): with the training days' mean x and Sxx, n of them and
+  s^2 = SSE / (n - 2), ``yhat +- 1.96 * s * sqrt(1 + 1/n + (x - mean)^2 / Sxx)``, which widens
+  with the days from the event (null for fewer than three values or only one day);
 * predictions for the training days (history) and the ``horizon`` days after the event.
 
 Plan: training rows, test rows and, for a forecast, the future days go into one frame that is
@@ -19,10 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.96
+INTERVALS = ("constant", "prediction")
 
 
 def _fitted(windows: DataFrame, keys: Sequence[str], future_days: int = 0) -> DataFrame:
@@ -46,24 +51,52 @@ def _fitted(windows: DataFrame, keys: Sequence[str], future_days: int = 0) -> Da
     s = F.avg(F.try_divide(ty, line)).over(Window.partitionBy(*g, "wd"))
     rows = rows.withColumn("yhat", line * F.coalesce(s, F.lit(1.0)))
     resid = F.when(F.col("split") == "train", F.col("y") - F.col("yhat"))
+    known = F.when(ty.isNotNull(), F.col("x"))
     return rows.withColumns({
         "sd": F.stddev_samp(resid).over(ev),
+        "sse": F.sum(F.pow(resid, 2)).over(ev),
+        "n_train": F.count(ty).over(ev),
+        "x_mean": F.avg(known).over(ev),
+        "sxx": F.regr_sxx(ty, F.col("x")).over(ev),
         "has_train": F.max((F.col("split") == "train").cast("int")).over(ev) == 1,
     })
 
 
+def _half_width(interval: str, z: float) -> Column:
+    if interval not in INTERVALS:
+        raise ValueError(f"interval must be one of {INTERVALS}, not {interval!r}")
+    if interval == "constant":
+        return F.lit(z) * F.col("sd")
+    spread = F.sqrt(F.col("sse") / F.when(F.col("n_train") > 2, F.col("n_train") - 2))
+    leverage = 1 / F.when(F.col("n_train") > 0, F.col("n_train")) + F.try_divide(F.pow(F.col("x") - F.col("x_mean"), 2), F.col("sxx"))
+    return F.lit(z) * spread * F.sqrt(1 + leverage)
+
+
 def fit_forecast(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10,
-                 z: float = Z95) -> DataFrame:
+                 z: float = Z95, interval: str = "constant") -> DataFrame:
     """(*keys, event_date, ds, yhat, yhat_lower, yhat_upper) for the training days and the
     ``horizon`` days after each event that has training rows (predictions are null when
     none of those rows has a value)."""
     g = [*keys, "event_date"]
     if horizon < 0:
         raise ValueError("horizon must be >= 0")
+    half = _half_width(interval, z)
     f = _fitted(windows, keys, horizon).where(F.col("split").isin("train", "future") & F.col("has_train"))
-    return f.select(*g, "ds", "yhat",
-                    (F.col("yhat") - F.lit(z) * F.col("sd")).alias("yhat_lower"),
-                    (F.col("yhat") + F.lit(z) * F.col("sd")).alias("yhat_upper"))
+    return f.select(*g, "ds", "yhat", (F.col("yhat") - half).alias("yhat_lower"), (F.col("yhat") + half).alias("yhat_upper"))
+
+
+def interval_coverage(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10, z: float = Z95,
+                      interval: str = "prediction") -> DataFrame:
+    """(*keys, event_date, split, n, covered, share, mean_width): how many of the rows with a value and a
+    band lie within it, straight from the fitted frame.  A 95 % band should hold 95 % of the test rows."""
+    half = _half_width(interval, z)
+    f = _fitted(windows, keys).where(F.col("has_train") & ((F.col("split") == "train") | (F.datediff("ds", "event_date") <= horizon)))
+    banded = F.col("y").isNotNull() & F.col("yhat").isNotNull() & half.isNotNull()
+    inside = banded & (F.abs(F.col("y") - F.col("yhat")) <= half)
+    return f.groupBy(*keys, "event_date", "split").agg(
+        F.count_if(banded).alias("n"), F.count_if(inside).alias("covered"),
+        F.try_divide(F.count_if(inside).cast("double"), F.count_if(banded)).alias("share"),
+        F.avg(F.when(banded, 2 * half)).alias("mean_width"))
 
 
 def forecast_scores(windows: DataFrame, keys: Sequence[str] = (), horizon: int = 10) -> DataFrame:

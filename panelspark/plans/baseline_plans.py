@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.dates import calendar_keys
-from panelspark.operators.baseline import calendar_baseline, share_of_baseline
+from panelspark.functions.dates import between_dates, calendar_keys, year_bounds
+from panelspark.operators.baseline import baseline_parts, calendar_baseline, share_from_parts, share_of_baseline
 from panelspark.operators.rollup import group_sum
 from panelspark.plans.common import (
     BASELINE_YEARS,
@@ -20,7 +20,9 @@ from panelspark.plans.common import (
     r6,
     table,
 )
-from panelspark.plans.registry import register
+from panelspark.plans.registry import register, sql_of
+from panelspark.session import scratch_path
+from panelspark.sources.io import write_parts
 
 
 def district_daily(spark, sf_dir):
@@ -145,3 +147,16 @@ def q_group_sum(spark, sf_dir):
     j = o.join(customer_geo(spark, sf_dir), "o_custkey", "inner")
     return group_sum(j, ["date", "district"], "price", "total_volume").withColumn(
         "total_volume", F.col("total_volume").cast("double"))
+
+
+@register("share_merged", sql=sql_of("share_by_district"))
+def q_share_merged(spark, sf_dir):
+    """The share by district from baseline sums stored year by year; the last step reads the compared
+    years of the fact only."""
+    path = scratch_path(spark, "baseline_parts")
+    daily = district_daily(spark, sf_dir)
+    for year in range(BASELINE_YEARS[0], BASELINE_YEARS[1] + 1):
+        lo, hi = year_bounds(year, year)
+        write_parts(baseline_parts(daily.where(between_dates("date", lo, hi)), by=["district"]), path, "year")
+    return _rounded(share_from_parts(daily, spark.read.parquet(path), by=["district"], baseline_years=BASELINE_YEARS,
+                                     compare_years=COMPARE_YEARS), ["district"])

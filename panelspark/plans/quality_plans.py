@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality as Q
+from panelspark.operators.sketches import merged_counts, part_sketches
 from panelspark.plans.common import table
 from panelspark.plans.registry import register
+from panelspark.session import scratch_path
+from panelspark.sources.io import write_parts
 
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
@@ -204,3 +207,23 @@ def q_dq_suite(spark, sf_dir):
                    non_negative=["o_totalprice"],
                    rules={"known_status": F.col("o_orderstatus").isin("F", "O", "P")},
                    distinct=["o_orderpriority"])
+
+
+_SKETCHED = ["o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+@register("distinct_sketches", sql="\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT({c}) AS n_known, CAST(COUNT(*) AS BIGINT) AS n_rows, COUNT(DISTINCT {c}) AS n_exact, "
+    "true AS close FROM orders" for c in _SKETCHED))
+def q_distinct_sketches(spark, sf_dir):
+    """Sketches stored year by year and merged, next to the exact distinct counts: close within 5 %."""
+    path = scratch_path(spark, "sketches")
+    o = _orders_with_year(spark, sf_dir)
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("date")
+    for part in (o.where(early), o.where(~early)):
+        write_parts(part_sketches(part, "year", _SKETCHED), path, "year")
+    merged = merged_counts(spark.read.parquet(path))
+    exact = Q.distinct_counts(o, "orders", _SKETCHED).select(
+        F.regexp_extract("check", r"\((.*)\)", 1).alias("column"), F.col("observed").cast("long").alias("n_exact"))
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.05 * F.col("n_exact")
+    return merged.join(exact, "column").select("column", "n_known", "n_rows", "n_exact", close.alias("close"))

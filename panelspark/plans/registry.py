@@ -19,6 +19,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def sql_of(name: str) -> str | None:
+    """The SQL of a key that is registered already, for one that gives the same rows another way."""
+    return REGISTRY[name][1]
+
+
 def _load_all() -> None:
     from panelspark.plans import (  # noqa: F401
         baseline_plans,

@@ -10,6 +10,7 @@ from panelspark.sources.io import (
     register_views,
     scan_family,
     union_all,
+    write_parts,
     write_table,
 )
 from panelspark.sources.versions import publish, read_published, restore, versions
@@ -29,5 +30,6 @@ __all__ = [
     "scan_intake",
     "union_all",
     "versions",
+    "write_parts",
     "write_table",
 ]

@@ -90,6 +90,12 @@ def write_table(df: DataFrame, name: str, partition_by: Sequence[str] | None = N
     w.saveAsTable(name)
 
 
+def write_parts(df: DataFrame, path: str, part_col: str) -> None:
+    """Replace the parts (years, say) that ``df`` holds in a partitioned Parquet folder; others stay."""
+    (df.hint("rebalance", F.col(part_col)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part_col).parquet(path))
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 

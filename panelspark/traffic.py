@@ -33,7 +33,7 @@ from panelspark.operators.charts import forecast_lines, markers, panels
 from panelspark.operators.dims import attach, merge_dimension
 from panelspark.operators.evaluate import rmse_summary
 from panelspark.operators.events import align, event_axis, event_windows, sample_events, select_events
-from panelspark.operators.forecast import fit_forecast, forecast_scores
+from panelspark.operators.forecast import fit_forecast, forecast_scores, interval_coverage
 from panelspark.operators.panel import daily_from_total, fill_last, fill_mean
 from panelspark.operators.relational import pivot_count
 from panelspark.operators.rollup import hours_to_daily
@@ -357,12 +357,13 @@ def model(spark: SparkSession, tables: Mapping[str, DataFrame], policy_dates: Se
     for name, series, events in (("covid", covid_series, covid_events), ("base", base_series, base_events)):
         ensure_checkpoint_dir(spark)
         w = event_windows(series, events, "date", "y", TRAIN_LENGTH, TEST_LENGTH).checkpoint(eager=True)
-        fc = fit_forecast(w, horizon=TEST_LENGTH)
+        fc = fit_forecast(w, horizon=TEST_LENGTH, interval="prediction")
         scores = forecast_scores(w, horizon=TEST_LENGTH)
         out[f"{name}_windows"] = w
         out[f"{name}_forecast"] = fc
         out[f"{name}_rmse"] = scores
         out[f"{name}_rmse_summary"] = rmse_summary(scores)
+        out[f"{name}_coverage"] = interval_coverage(w, horizon=TEST_LENGTH)
         out[f"chart_{name}_forecast"] = forecast_lines(w, fc)
     return out
 

@@ -10,7 +10,8 @@ sides have a token end there and the pieces align on their own.  Workers keep th
 pieces, so a repeated piece is encoded once as long as it is kept; the store is emptied when it
 is full.  It only saves time.
 
-Counts of id pairs need all documents.  Every task adds up its pairs and Spark sums them by pair.
+Counts of id pairs need all documents.  Every task writes its documents' links and adds up their
+pairs, and Spark sums those by pair; a pair is the number a_id * (size of B's vocabulary) + b_id.
 A document then needs the counts of its own links: pairs frequent enough to fit a table of
 ``table_size`` entries are broadcast, the others, rare by choice, are joined by a shuffle.
 
@@ -33,15 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelspark.llm.tables import released
-from panelspark.llm.textscan import add_struct, fresh, pieces
+from panelspark.llm.textscan import flat, fresh, pieces
 from panelspark.llm.token_counts import resolve
 
 TABLE_SIZE = 1 << 20      # pairs in the broadcast table: 17 MB
 STORE_PIECES = 500_000    # pieces whose alignment a worker keeps
 STORE_BYTES = 64 << 20    # and bytes of their group texts
-PAIR = 1 << 20            # a pair of ids is a_id * PAIR + b_id
 BUCKETS = 8               # of counts, for each doubling
 MARK = "▁"
 
@@ -68,7 +69,8 @@ def align(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     common = sorted(a_at.keys() & b_at.keys())
     to_a = np.fromiter(map(a_at.__getitem__, common), np.int64, len(common))
     to_b = np.fromiter(map(b_at.__getitem__, common), np.int64, len(common))
-    ends = np.unique(np.concatenate([a_end, b_end]))
+    ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")      # two sorted runs
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
     return to_a, to_b, np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
 
 
@@ -215,7 +217,7 @@ class PieceStore:
         shown = shown.tolist()
         texts = [b"".join(shown[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         totals = np.stack([a_to, b_to, np.searchsorted(to_a, a_to, "right"), np.searchsorted(link_a, a_to)])
-        self._keep(new, texts, np.diff(totals, prepend=0), a[link_a] * PAIR + b[link_b], False)
+        self._keep(new, texts, np.diff(totals, prepend=0), a[link_a] * len(self.b.spelled) + b[link_b], False)
 
     @staticmethod
     def _shown(side: Side, ids: np.ndarray, to: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -274,13 +276,33 @@ def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
 
-def link_counts(docs: DataFrame, a: str, b: str, text: str = "text", store_pieces: int = STORE_PIECES) -> DataFrame:
-    """(pair, n, best): how many links hold each id pair, and whether no pair of its b id has more."""
-    src = docs.select(F.col(text).alias("text"))
+_SIZES = ("n_a", "n_b", "n_groups", "n_links")
+_DOC = T.StructType([*[T.StructField(f, T.LongType()) for f in _SIZES], T.StructField("groups_sha256", T.StringType()),
+                     T.StructField("groups", T.StringType()), T.StructField("links", T.BinaryType()),
+                     T.StructField("row", T.StringType())])
+
+
+def aligned(docs: DataFrame, a: str, b: str, text: str = "text", carry: list[str] | None = None, with_groups: bool = False,
+            store_pieces: int = STORE_PIECES) -> tuple[DataFrame, int]:
+    """(one table with a row for each document and rows of pair counts, the base of pairs).
+
+    A document's row has ``held``, a struct of its ``carry`` columns, and ``doc``: sizes, the hash (and
+    text) of its groups, its links packed in order and a name of the row.  The others have ``pair``
+    and ``n``: how many links of a task's documents hold the pair.  One pass makes both, as a text
+    is encoded only here.
+    """
+    carry = docs.columns if carry is None else carry
+    held = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in carry])
+    schema = T.StructType([T.StructField("held", held), T.StructField("doc", _DOC), T.StructField("pair", T.LongType()),
+                           T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    base = len(sentence_piece(b).spelled)
+    packed = np.uint32 if len(byte_level(a).spelled) * base < 1 << 32 else np.int64
 
     def run(batches):
         store = _store(a, b, store_pieces)
         seen = np.zeros(0, np.int64)
+        task = TaskContext.get().partitionId()
 
         def totals():
             used = np.flatnonzero(seen)
@@ -289,23 +311,46 @@ def link_counts(docs: DataFrame, a: str, b: str, text: str = "text", store_piece
             pairs, inverse = np.unique(store.links.all[_gather(spans[used], counts)], return_inverse=True)
             n = np.zeros(len(pairs), np.int64)
             np.add.at(n, inverse, np.repeat(seen[used], counts))
-            return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n)], names=["pair", "n"])
+            nulls = [pa.nulls(len(pairs), arrow.field(f).type) for f in ("held", "doc")]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(pairs, pa.int64()), pa.array(n)], schema=arrow)
 
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, text):
             emptied = []
-            numbers, first, fits = _numbers(store, piece.column("text"), lambda out=emptied: out.append(totals()))
+            numbers, first, fits = _numbers(store, piece.column(text), lambda out=emptied: out.append(totals()))
             if emptied:
                 yield from emptied
                 seen = np.zeros(0, np.int64)
-            kept = numbers[np.repeat(fits, np.diff(first))]
-            grown = np.bincount(kept, minlength=len(store.texts))
+            grown = np.bincount(numbers[np.repeat(fits, np.diff(first))], minlength=len(store.texts))
             grown[:len(seen)] += seen
             seen = grown
+            rows, spans = piece.num_rows, store.spans()
+            per_piece = np.where(np.repeat(fits, np.diff(first)), np.diff(spans)[numbers], 0)
+            links = store.links.all[_gather(spans[numbers], per_piece)].astype(packed)
+            ends = np.append(0, np.cumsum(per_piece))[first] * links.itemsize
+            hashes, texts, shown = [], [], numbers.tolist()
+            for i in range(rows):
+                groups = b"".join(map(store.texts.__getitem__, shown[first[i]:first[i + 1]]))[:-1] if fits[i] else b""
+                hashes.append(hashlib.sha256(groups).hexdigest() if fits[i] else "")
+                texts.append(groups.decode() if with_groups else None)
+            made = [pa.array(np.where(fits, _sums(store.sizes[f].all[numbers], first), 0)) for f in _SIZES]
+            name = uuid.uuid4().hex[:12]
+            made += [pa.array(hashes, pa.string()), pa.array(texts, pa.string()),
+                     pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(links)]).cast(pa.binary()),
+                     pa.array([f"{task}-{name}-{i}" for i in range(rows)])]
+            kept = pa.StructArray.from_arrays([piece.column(c).cast(arrow.field("held").type.field(c).type) for c in carry],
+                                              fields=list(arrow.field("held").type))
+            doc = pa.StructArray.from_arrays(made, fields=list(arrow.field("doc").type))
+            yield pa.RecordBatch.from_arrays([kept, doc, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], schema=arrow)
         if seen.any():
             yield totals()
 
-    counts = released(src.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    side = (F.col("pair") % PAIR).alias("b")
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema), base
+
+
+def link_counts(table: DataFrame, base: int) -> DataFrame:
+    """(pair, n, best) of what ``aligned`` wrote: how many links hold each id pair, and whether no pair of its b id has more."""
+    counts = released(table.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("n").alias("n")))
+    side = (F.col("pair") % base).alias("b")
     top = counts.groupBy(side).agg(F.max("n").alias("top"))      # a row for each b id: the vocabulary bounds it
     return (counts.withColumn("b", side).join(F.broadcast(top), "b")
             .select("pair", "n", (F.col("n") == F.col("top")).alias("best")))
@@ -330,38 +375,35 @@ def frequent(counts: DataFrame, table_size: int = TABLE_SIZE) -> tuple[int, tupl
     return least, (pair[order], n[order], best[order])
 
 
-class _Looked:
-    """Sums over the links of every stored piece that the broadcast table answers, and the others."""
-
-    def __init__(self, table):
-        self.pair, self.n, self.best = table
-        self.generation = None
-
-    def extend(self, store: PieceStore) -> None:
-        if self.generation != store.generation:
-            self.generation, self.done = store.generation, 0
-            self.count_sum, self.n_best, self.missing, self.miss_first = Grown(), Grown(), Grown(), Grown()
-        spans = store.spans()[self.done:]
-        links = store.links.all[spans[0]:spans[-1]]
-        spans = spans - spans[0]
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, links), len(self.pair) - 1)
-            hit = self.pair[at] == links
-            self.count_sum.add(_sums(np.where(hit, self.n[at], 0), spans))
-            self.n_best.add(_sums(hit & self.best[at], spans))
-        else:
-            hit = np.zeros(len(links), bool)
-            self.count_sum.add(np.zeros(len(spans) - 1, np.int64))
-            self.n_best.add(np.zeros(len(spans) - 1, np.int64))
-        before = np.append(0, np.cumsum(~hit))[spans[:-1]]
-        self.miss_first.add(before + self.missing.n)
-        self.missing.add(links[~hit])
-        self.done = len(store.texts)
-
+def _looked_up(rows: DataFrame, shared, packed: type) -> DataFrame:
+    """``rows`` with count_sum and n_best over the links that the broadcast table answers, and the other
+    pairs with how often the document links them."""
+    added = T.StructType([T.StructField("count_sum", T.LongType()), T.StructField("n_best", T.LongType()),
+                          T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.LongType()))])
 
-_looked: dict[str, _Looked] = {}
-
-_FIELDS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    def run(batches):
+        pair, n, best = shared.value
+        for batch in batches:
+            col = batch.column("links")
+            data, off = flat(col)
+            links = np.frombuffer(data.tobytes(), packed).astype(np.int64)
+            first = off // np.dtype(packed).itemsize
+            hit = np.zeros(len(links), bool)
+            count_sum = n_best = np.zeros(len(col), np.int64)
+            if len(pair):
+                at = np.minimum(np.searchsorted(pair, links), len(pair) - 1)
+                hit = pair[at] == links
+                count_sum, n_best = _sums(np.where(hit, n[at], 0), first), _sums(hit & best[at], first)
+            ends = np.append(0, np.cumsum(~hit))[first]
+            missed, rare, rare_n = links[~hit], [], []
+            for i in range(len(col)):
+                pairs, k = np.unique(missed[ends[i]:ends[i + 1]], return_counts=True)
+                rare.append(pairs)
+                rare_n.append(k)
+            made = [pa.array(count_sum), pa.array(n_best), pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", *added.names])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", T.StringType()), *added.fields]))
 
 
 def score_links(docs: DataFrame, a: str, b: str, text: str = "text", name: str = "alignment", carry: list[str] | None = None,
@@ -371,58 +413,21 @@ def score_links(docs: DataFrame, a: str, b: str, text: str = "text", name: str =
     `a1,a2|b1;a3|b2,b3`; null unless asked for)."""
     name = fresh(name, docs.columns)
     carry = docs.columns if carry is None else carry
-    counts = released(link_counts(docs, a, b, text, store_pieces))
+    made, base = aligned(docs, a, b, text, carry, with_groups, store_pieces)
+    made = released(made)                 # so a row keeps its name, and no text is encoded again
+    counts = released(link_counts(made, base))
     least, table = frequent(counts, table_size)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    run = uuid.uuid4().hex
-    schema = T.StructType([*[T.StructField(f, T.LongType()) for f in _FIELDS], T.StructField("groups_sha256", T.StringType()),
-                           T.StructField("groups", T.StringType()), T.StructField("row", T.StringType()),
-                           T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.LongType()))])
-
-    def make(piece: pa.RecordBatch) -> list[pa.Array]:
-        store = _store(a, b, store_pieces)
-        if run not in _looked:
-            _looked.clear()
-            _looked[run] = _Looked(shared.value)
-        looked = _looked[run]
-        numbers, first, fits = _numbers(store, piece.column(text))
-        looked.extend(store)
-        of = {**{f: g.all for f, g in store.sizes.items()}, "count_sum": looked.count_sum.all, "n_best": looked.n_best.all}
-        out = [pa.array(np.where(fits, _sums(of[f][numbers], first), 0)) for f in _FIELDS]
-        miss_at = np.append(looked.miss_first.all, looked.missing.n)
-        per_piece = np.diff(miss_at)[numbers]
-        missed = looked.missing.all[_gather(miss_at[numbers], per_piece)]
-        ends = np.append(0, np.cumsum(per_piece))[first]
-        hashes, texts, rare, rare_n = [], [], [], []
-        task, base = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        for i in range(piece.num_rows):
-            if not fits[i]:
-                hashes.append("")
-                texts.append("" if with_groups else None)
-                rare.append([])
-                rare_n.append([])
-                continue
-            groups = b"".join(map(store.texts.__getitem__, numbers[first[i]:first[i + 1]].tolist()))[:-1]
-            hashes.append(hashlib.sha256(groups).hexdigest())
-            texts.append(groups.decode() if with_groups else None)
-            pairs, n = np.unique(missed[ends[i]:ends[i + 1]], return_counts=True)
-            rare.append(pairs)
-            rare_n.append(n)
-        rows = [f"{task}-{base}-{i}" for i in range(piece.num_rows)]
-        return [*out, pa.array(hashes, pa.string()), pa.array(texts, pa.string()), pa.array(rows),
-                pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))]
-
-    # Written, so that a row keeps its name; the rare pairs of a row meet their counts by a shuffle.
-    rows = released(add_struct(docs, text, schema, name, make, carry))
-    asked = (rows.where(F.size(F.col(name)["rare"]) > 0)
-             .select(F.col(name)["row"].alias("row"), F.explode(F.arrays_zip(F.col(name)["rare"].alias("pair"), F.col(name)["rare_n"].alias("k"))).alias("p"))
-             .select("row", "p.pair", "p.k"))
-    found = (asked.join(counts.where(F.col("n") < least), "pair").groupBy("row")
-             .agg(F.sum(F.col("n") * F.col("k")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("more_best")))
-    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("held"), F.col(name).alias("s"), F.col(name)["row"].alias("row"))
-    joined = held.join(found, "row", "left")
-    s = F.struct(*[F.col("s")[f].alias(f) for f in _FIELDS[:4]],
-                 (F.col("s")["n_best"] + F.coalesce("more_best", F.lit(0))).alias("n_best"),
-                 (F.col("s")["count_sum"] + F.coalesce("more_sum", F.lit(0))).alias("count_sum"),
-                 F.col("s")["groups_sha256"].alias("groups_sha256"), F.col("s")["groups"].alias("groups"))
-    return joined.select(*[F.col("held")[c].alias(c) for c in carry], s.alias(name)), name
+    rows = made.where(F.col("doc").isNotNull())
+    packed = np.uint32 if len(byte_level(a).spelled) * base < 1 << 32 else np.int64
+    found = released(_looked_up(rows.select(F.col("doc")["row"].alias("row"), F.col("doc")["links"].alias("links")), shared, packed))
+    asked = found.select("row", F.explode(F.arrays_zip(F.col("rare").alias("pair"), F.col("rare_n").alias("k"))).alias("p"))
+    rest = (asked.select("row", "p.pair", "p.k").join(counts.where(F.col("n") < least), "pair")
+            .select("row", (F.col("n") * F.col("k")).alias("count_sum"), F.when(F.col("best"), F.col("k")).otherwise(0).alias("n_best")))
+    sums = (found.select("row", "count_sum", "n_best").unionByName(rest)
+            .groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best")))
+    of = rows.select("held", F.struct(*[F.col("doc")[f].alias(f) for f in (*_SIZES, "groups_sha256", "groups")]).alias("s"),
+                     F.col("doc")["row"].alias("row")).join(sums, "row")
+    s = F.struct(*[F.col("s")[f].alias(f) for f in _SIZES], "n_best", "count_sum", F.col("s")["groups_sha256"].alias("groups_sha256"),
+                 F.col("s")["groups"].alias("groups"))
+    return of.select(*[F.col("held")[c].alias(c) for c in carry], s.alias(name)), name

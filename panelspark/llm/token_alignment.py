@@ -382,8 +382,9 @@ def _looked_up(rows: DataFrame, shared, packed: type) -> DataFrame:
                           T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("rare_n", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        _stores.clear()               # a store of the step before is of no use here
         pair, n, best = shared.value
-        for batch in batches:
+        for batch in pieces(batches, "links"):
             col = batch.column("links")
             data, off = flat(col)
             links = np.frombuffer(data.tobytes(), packed).astype(np.int64)

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-WRITES = {"scan_csv", "scan_family", "table_roundtrip"}
+WRITES = {"scan_csv", "scan_family", "table_roundtrip", "family_layouts", "scan_quarantine", "published_set"}
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"]
 
 

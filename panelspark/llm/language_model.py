@@ -1,49 +1,63 @@
-r"""Bigram language model as a weighted backoff automaton, trained and applied by blocks of text.
+r"""Language model of any order as a weighted backoff automaton, trained and applied by blocks of text.
 
-Tokens are the words ``[^\x20\x09-\x0D]+`` after lower-casing A-Z, then one end token.  The
-automaton has a state for every seen word (and one for the start of a text) plus a root.  From
-state h an arc for a seen bigram (h, w) has the weight of
+Tokens are the words ``[^\x20\x09-\x0D]+`` after lower-casing A-Z, then one end token; a start sign,
+never counted as a token, precedes every text.  N-grams of up to ``order`` tokens are counted over all
+training texts.  The automaton's states are the seen n-grams shorter than ``order`` that something
+follows, and a root.  From state h an arc for a seen n-gram (h, w) has the weight of
 
-    p(w | h) = (c(h, w) + K(h) p(w)) / (c(h) + K(h)),    K(h) = STRENGTH * c(h) ** POWER,
+    p(w | h) = (c(h, w) + K(h) p(w | h')) / (c(h) + K(h)),    K(h) = STRENGTH * c(h) ** POWER,
 
-a Dirichlet-smoothed estimate whose strength grows with the state as vocabularies do.  Every
-other word takes the failure arc, of weight K(h) / (c(h) + K(h)), to the root, where its arc weighs
+a Dirichlet-smoothed estimate whose strength grows with the state as vocabularies do; h' is h
+without its first token.  Every other word takes h's failure arc, of weight K(h) / (c(h) + K(h)),
+to the state h'.  The root has an arc for every word, of weight
 
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Both sum to one over all words (unknown ones share one place).  An unseen state fails at no cost.
-A text is read from left to right; the state is carried along and the weights' log10 are summed.
+All states sum to one over all words (unknown ones share one place).  After an arc the automaton is in
+the longest state that ends the tokens read.  A text is read from left to right; log10 weights are
+summed.  As that state is a function of the last ``order - 1`` tokens, the tokens of a block take
+their steps together: in each round those whose state lacks the arc follow its failure arc.
 
 No task holds the automaton.  Texts are packed into blocks (documents, word hashes, word numbers).
-A block sends its distinct unigram and bigram hashes, with its training counts, to shards by
-hash range; a shard adds the counts of all blocks and sends every block the totals of its own
-n-grams, in their order.  The block then has the part of the automaton that its texts can reach.
-Shards hold about SHARD_KEYS n-grams; a frequent n-gram is one key a block, so none is hot.
+A block asks for the totals of its distinct n-grams along a tree of exchanges: in each step up to about
+``FAN`` neighbours' sorted n-grams of one hash range are added up and cut into ``FAN`` smaller ranges, so
+after log_FAN(blocks) steps a range holds all counts of its n-grams, and totals go back the same way.
+A step sends at most FAN messages a row and a row is never larger than about a block's n-grams, so
+messages grow as blocks times the number of steps.  Frequent n-grams are added up on the way; none is
+hot.  N-grams of three tokens or more are asked for only if both of their shorter ends stand in
+training texts and in several blocks; otherwise the block's own count is the total.
 
 Defined cases: a null or empty text has the end token only; equal rows are separate texts; a row
 whose id is null is trained on as the text 'null' decides; with no training text every weight is
-that of an unseen word; an empty table gives no rows.  All hashes have 64 bits.
+that of an unseen word; an empty table gives no rows; an order of one leaves the root alone; an order
+below one is refused.  All hashes have 63 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.tables import released
-from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64, pieces, window_hashes
+from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64, pieces
 
+ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
-SHARD_KEYS = 1_500_000
-END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash; also the state at the start of a text
+FAN_BITS = 6
+END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash
+START = np.uint64(0x14057B7EF767814F)    # the sign before a text
 BLOCK_BYTES = 4 * CHUNK_BYTES
 
-_ids = "ids array<long>, held array<boolean>"
-_BLOCK = f"block long, {_ids}, counts binary, vocabulary binary, words binary, n_uni long, n_bi long, train_tokens long"
+_FACTOR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+_BLOCK = "block long, ids array<long>, held array<boolean>, counts binary, vocabulary binary, words binary, train_tokens long"
+_UP = "node long, range long, child long, sub int, keys binary, counts binary"
+_DOWN = "child long, sub int, totals binary"
+_NODE = "id long, node long, range long, keys binary, counts binary, children array<struct<child:long,sub:int,place:binary>>"
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -66,161 +80,292 @@ def stretch_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(stretch(raw, np.uint64), dtype=np.uint64)
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
-    """The texts of (id, held, text) as rows of about BLOCK_BYTES: word numbers into the block's
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in names.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)],
+                                      names=[n for n, _ in fields])
+
+
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The texts of (id, held, text) as rows of about ``block_bytes``: word numbers into the block's
     vocabulary of sorted word hashes.  The end token closes every text."""
     def run(batches):
-        for piece in pieces(batches, "text", BLOCK_BYTES):
+        for piece in pieces(batches, "text", block_bytes):
             hashes, counts = [], []
             for part in pieces(iter([piece]), "text"):
                 w = Words(*flat(part.column("text")), NON_SPACE)
-                at = w.first[1:]                                   # an end token after each text's words
-                hashes.append(np.insert(w.hashes(), at, END))
+                hashes.append(np.insert(w.hashes(), w.first[1:], END))     # an end token after each text's words
                 counts.append(w.counts + 1)
             token, count = np.concatenate(hashes), np.concatenate(counts)
             words, number = np.unique(token, return_inverse=True)
             held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            before = _before(number, count)
-            pairs = np.unique((before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
                 pa.array([0]), pa.array([piece.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()]),
                 pa.array([squeeze(count.astype(np.int32))]), pa.array([squeeze_sorted(words)]),
-                pa.array([squeeze(number.astype(np.uint32))]), pa.array([len(words)]), pa.array([len(pairs)]),
-                pa.array([int(count[~held].sum())])],
-                names=["block", "ids", "held", "counts", "vocabulary", "words", "n_uni", "n_bi", "train_tokens"])
+                pa.array([squeeze(number.astype(np.uint32))]), pa.array([int(count[~held].sum())])],
+                names=["block", "ids", "held", "counts", "vocabulary", "words", "train_tokens"])
 
     made = docs.mapInArrow(run, _BLOCK)
     # Numbers that stay with the block from here on, as the checkpoint fixes them.
     return made.withColumn("block", F.monotonically_increasing_id()).checkpoint()
 
 
-def _before(number: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The state before each token: the number of the word before it plus 1, 0 at a text's start."""
-    out = np.empty(len(number), np.int64)
-    out[1:] = number[:-1] + 1
-    out[np.cumsum(count) - count] = 0
-    return out
-
-
 class Block:
-    """An unpacked block: its tokens and its distinct n-grams in the order of their hashes."""
+    """An unpacked block.  By order k (index k - 1): ``keys`` the distinct n-grams' sorted hashes,
+    ``of`` each token's n-gram, ``context`` and ``suffix`` the n-grams without their last and first
+    token (context -1: the start sign), ``own`` the training counts here.
+
+    A unigram's hash is odd, a longer one's even.  The token at place p of its text ends n-grams of up
+    to p + 2 signs, the start sign among them.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.count = stretch(row["counts"], np.int32).astype(np.int64)
-        self.words = stretch_sorted(row["vocabulary"])
-        self.number = stretch(row["words"], np.uint32).astype(np.int64)
-        held = np.asarray(row["held"], bool)
-        self.train = np.repeat(~held, self.count)
-        state = np.concatenate([[END], self.words])
-        before = _before(self.number, self.count)
-        pair, self.pair_of = np.unique((before << 32) | self.number, return_inverse=True)
-        h, w = pair >> 32, pair & 0xFFFFFFFF
-        both = np.stack([state[h] + np.uint64(1), self.words[w]])
-        key = mix64(window_hashes(both.T.ravel(), 2)[::2])
-        order = np.argsort(key)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pairs, self.pair_of = key[order], place[self.pair_of]
-        self.h, self.w = h[order], w[order]
-
-    def training_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return (np.bincount(self.number[self.train], minlength=len(self.words)),
-                np.bincount(self.pair_of[self.train], minlength=len(self.pairs)))
-
-
-def _shards(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, kind, keys, counts): each block's distinct n-grams cut by hash range."""
-    edges = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+        words = stretch_sorted(row["vocabulary"])
+        number = stretch(row["words"], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.place = np.arange(len(number)) - np.repeat(self.first, self.count)
+        train = np.repeat(~np.asarray(row["held"], bool), self.count)
+        self.end = int(np.searchsorted(words, END))
+        self.keys, self.of, self.context, self.suffix = [words | _ONE], [number], [None], [None]
+        self.own = [np.bincount(number[train], minlength=len(words))]
+        word, last = words[number], (words | _ONE)[number]
+        for k in range(2, order + 1):
+            before = np.empty_like(last)
+            before[1:] = last[:-1]
+            before[self.first] = START
+            last = mix64((before + np.uint64(k)) * _FACTOR + word) & ~_ONE
+            at = np.flatnonzero(self.place >= k - 2)
+            keys, gram = np.unique(last[at], return_inverse=True)
+            some = np.empty(len(keys), np.int64)              # a token that ends the n-gram
+            some[gram] = at
+            of = np.full(len(last), -1)
+            of[at] = gram
+            self.keys.append(keys)
+            self.of.append(of)
+            self.context.append(np.where(self.place[some] > 0, self.of[k - 2][some - 1], -1))
+            self.suffix.append(self.of[k - 2][some])
+            self.own.append(np.bincount(gram[train[at]], minlength=len(keys)))
+
+    def asked(self, k: int, known: list[np.ndarray]) -> np.ndarray:
+        """The n-grams of order k whose total is not known here; ``known`` as answers of lower orders."""
+        if k <= 2:
+            return np.arange(len(self.keys[k - 1]))
+        below = known[k - 2]
+        open_ = (below > 1) & (below & 1 > 0)                  # seen in training, and in several blocks
+        return np.flatnonzero(open_[self.context[k - 1]] & open_[self.suffix[k - 1]])
+
+    def question(self, orders: list[int], known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, own counts, their places among the asked) of the orders' asked n-grams, by key."""
+        at = [self.asked(k, known) for k in orders]
+        keys = np.concatenate([self.keys[k - 1][a] for k, a in zip(orders, at, strict=True)])
+        own = np.concatenate([self.own[k - 1][a] for k, a in zip(orders, at, strict=True)])
+        by_key = np.argsort(keys)
+        return keys[by_key], own[by_key], by_key
+
+    def learn(self, orders: list[int], known: list[np.ndarray], answer: np.ndarray) -> None:
+        """Append the orders' answers to ``known``: twice the total, plus one if in several blocks."""
+        by_key = self.question(orders, known)[2]
+        told = np.empty(len(by_key), np.int64)
+        told[by_key] = answer
+        at = [self.asked(k, known) for k in orders]
+        for k, a, part in zip(orders, at, np.split(told, np.cumsum([len(a) for a in at])[:-1]), strict=True):
+            total = self.own[k - 1].astype(np.int64) * 2
+            total[a] = part
+            known.append(total)
+
+
+def _known(row: dict) -> list[np.ndarray]:
+    return [stretch(t, np.int64) for t in row["known"]]
+
+
+def _told(parts: list[dict] | None) -> np.ndarray:
+    """The answers' parts in the order of their hash ranges."""
+    parts = sorted(parts or (), key=lambda x: x["sub"])
+    return np.concatenate([stretch(x["totals"], np.int64) for x in parts]) if parts else np.empty(0, np.int64)
+
+
+def _send(child: int, node: int, span: int, keys: np.ndarray, counts: np.ndarray, level: int, bits: int) -> pa.RecordBatch:
+    """A row's keys cut into the smaller hash ranges of ``level``."""
+    fan = 1 << bits
+    sub = (keys >> np.uint64(64 - level * bits)) & np.uint64(fan - 1)
+    cuts = np.searchsorted(sub, np.arange(fan + 1, dtype=np.uint64))
+    return _batch([(node, span * fan + j, child, j, squeeze_sorted(keys[a:z]), squeeze(counts[a:z].astype(np.int64)))
+                   for j, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a], _UP)
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """One group: its distinct keys, their counts (twice the sum, plus one if in several blocks), and
+    each child's places among them."""
+    keys = [stretch_sorted(k) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([stretch(c, np.int64) for c in table.column("counts").to_pylist()])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=counts >> 1, minlength=len(distinct)).astype(np.int64)
+    several = np.bincount(place, weights=1 + (counts & 1), minlength=len(distinct)) > 1
+    places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return distinct, total * 2 + several, list(zip(
+        table.column("child").to_pylist(), table.column("sub").to_pylist(), places, strict=True))
+
+
+def _exchange(asked: DataFrame, levels: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The answers (child, sub, totals) to the questions of the lowest level, and the table with the
+    number of seen unigrams."""
+    fan, steps = 1 << bits, []
+
+    def add(level):
+        def run(table):
+            keys, counts, children = _added(table)
+            node, span = table.column("node")[0].as_py(), table.column("range")[0].as_py()
+            return pa.table({
+                "id": pa.array([node * fan ** level + span], pa.int64()), "node": pa.array([node // fan], pa.int64()),
+                "range": pa.array([span], pa.int64()), "keys": pa.array([squeeze_sorted(keys)], pa.binary()),
+                "counts": pa.array([squeeze(counts)], pa.binary()),
+                "children": pa.array([[{"child": c, "sub": s, "place": squeeze(p.astype(np.uint32))} for c, s, p in children]],
+                                     pa.list_(pa.struct([("child", pa.int64()), ("sub", pa.int32()), ("place", pa.binary())])))})
+        return run
+
+    def further(level):
+        def run(batches):
+            for r in _rows(batches):
+                yield _send(r["id"], r["node"], r["range"], stretch_sorted(r["keys"]), stretch(r["counts"], np.int64), level, bits)
+        return run
+
+    def last(table):
+        keys, counts, children = _added(table)
+        seen = int(((keys & _ONE > 0) & (counts > 1)).sum())
+        out = pa.Table.from_batches([_batch([(c, s, squeeze(counts[p])) for c, s, p in children], _DOWN)])
+        return out.append_column("seen", pa.array([seen] + [0] * (len(children) - 1), pa.int64()))
+
+    def back(batches):
+        for r in _rows(batches):
+            told = _told(r["parts"])
+            yield _batch([(c["child"], c["sub"], squeeze(told[stretch(c["place"], np.uint32)])) for c in r["children"]], _DOWN)
+
+    for level in range(1, levels):
+        steps.append(released(asked.groupBy("node", "range").applyInArrow(add(level), _NODE)))
+        asked = steps[-1].select("id", "node", "range", "keys", "counts").mapInArrow(further(level + 1), _UP)
+    top = released(asked.groupBy("node", "range").applyInArrow(last, f"{_DOWN}, seen long"))
+    answers = top.select("child", "sub", "totals")
+    for step in reversed(steps):
+        answers = step.select("id", "children").join(_parts(answers), F.col("id") == F.col("child")).mapInArrow(back, _DOWN)
+    return answers, top
+
+
+def _parts(answers: DataFrame) -> DataFrame:
+    """The answers of a row together: one a smaller range, so at most the fan-out."""
+    return answers.groupBy("child").agg(F.collect_list(F.struct("sub", "totals")).alias("parts"))
+
+
+def _ask(blocks: DataFrame, orders: list[int], levels: int, bits: int) -> DataFrame:
+    """The blocks' questions for n-grams of ``orders``, as rows of the first exchange."""
+    groups = (1 << bits) ** (levels - 1)
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                out = []
-                for kind, keys, n in zip((1, 2), (b.words, b.pairs), b.training_counts(), strict=True):
-                    cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                    for s in range(shards):
-                        a, z = cuts[s], cuts[s + 1]
-                        if z > a:
-                            out.append((s, row["block"], kind, squeeze_sorted(keys[a:z]), squeeze(n[a:z].astype(np.uint32))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    names=["shard", "block", "kind", "keys", "counts"])
-
-    return blocks.mapInArrow(run, "shard int, block long, kind int, keys binary, counts binary")
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """One shard: totals of each n-gram over all blocks, for each block in its order, and the
-    number of words with a count."""
-    out = {"shard": [], "block": [], "kind": [], "totals": [], "known": []}
-    shard = table.column("shard")[0].as_py()
-    for kind in (1, 2):
-        part = table.filter(pc.equal(table.column("kind"), kind))
-        if not part.num_rows:
-            continue
-        keys = [stretch_sorted(k) for k in part.column("keys").to_pylist()]
-        counts = [stretch(c, np.uint32) for c in part.column("counts").to_pylist()]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        known = int((total > 0).sum()) if kind == 1 else 0
-        ends = np.cumsum([len(k) for k in keys])
-        for block, e, k in zip(part.column("block").to_pylist(), ends.tolist(), keys, strict=True):
-            for name, v in (("shard", shard), ("block", block), ("kind", kind),
-                            ("totals", squeeze(total[place[e - len(k): e]])), ("known", known)):
-                out[name].append(v)
-            known = 0                                      # said once
-    return pa.table({"shard": pa.array(out["shard"], pa.int32()), "block": pa.array(out["block"], pa.int64()),
-                     "kind": pa.array(out["kind"], pa.int32()), "totals": pa.array(out["totals"], pa.binary()),
-                     "known": pa.array(out["known"], pa.int64())})
-
-
-def traverse(b: Block, c1: np.ndarray, c2: np.ndarray, n: int, v: int,
-             strength: float = STRENGTH, power: float = POWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of known tokens, log10 of the root's weights, log10 of the automaton's) by text.
-
-    The states are read off the tokens from left to right; every arc's weight is computed once a
-    distinct bigram, with its failure arc included where the bigram is unseen.
+        for row in _rows(batches):
+            keys, own, _ = Block(row, orders[-1]).question(orders, _known(row))
+            node = int(mix64(np.array([row["block"]], np.uint64))[0]) % groups
+            yield _send(row["block"], node, 0, keys, own * 2, 1, bits)
+
+    return blocks.mapInArrow(run, _UP)
+
+
+def _learned(blocks: DataFrame, orders: list[int]) -> DataFrame:
+    """The blocks with the totals of ``orders`` added to ``known``."""
+    def run(batches):
+        for row in _rows(batches):
+            known = _known(row)
+            Block(row, orders[-1]).learn(orders, known, _told(row.pop("parts")))
+            row["known"] = [squeeze(k) for k in known]
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                        ("counts", pa.binary()), ("vocabulary", pa.binary()), ("words", pa.binary()),
+                        ("train_tokens", pa.int64()), ("known", pa.list_(pa.binary()))])
+    return blocks.mapInArrow(run, f"{_BLOCK}, known array<binary>")
+
+
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
+
+    By order k (index k - 1), for each n-gram (h, w) of the block: ``seen`` whether state h has an arc
+    for w, ``arc`` the arc's log10 weight (at the root: every word's), and ``fail`` that of h's failure
+    arc; 0 where h is no state, as the automaton then stands in h' already.
     """
-    root = (c1 + 0.5) / (n + 0.5 * (v + 1))
-    end = int(np.searchsorted(b.words, END))
-    starts = c1[end] if end < len(b.words) and b.words[end] == END else 0     # training texts: ends = starts
-    of_state = np.concatenate([[starts], c1]).astype(float)[b.h]
-    k = strength * of_state ** power
-    with np.errstate(invalid="ignore", divide="ignore"):
-        weight = np.where(of_state > 0, (c2 + k * root[b.w]) / (of_state + k), root[b.w])
-    first = np.cumsum(b.count) - b.count
-    return (np.add.reduceat((c1 > 0).astype(np.int64)[b.number], first),
-            np.add.reduceat(np.log10(root)[b.number], first), np.add.reduceat(np.log10(weight)[b.pair_of], first))
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_keys: int = SHARD_KEYS,
-          strength: float = STRENGTH, power: float = POWER) -> DataFrame:
+
+    def __init__(self, b: Block, counts: list[np.ndarray], n: int, v: int, strength: float, power: float):
+        weight = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
+        starts = counts[0][b.end] if len(counts[0]) else 0     # training texts: one start and one end each
+        self.seen, self.arc, self.fail = [counts[0] > 0], [np.log10(weight)], [None]
+        for k in range(2, len(counts) + 1):
+            context = b.context[k - 1]
+            of_state = np.where(context >= 0, counts[k - 2][context], starts).astype(float)
+            back = strength * of_state ** power
+            total = np.where(of_state > 0, of_state + back, 1.0)
+            fail = np.where(of_state > 0, back / total, 1.0)
+            weight = counts[k - 1] / total + fail * weight[b.suffix[k - 1]]
+            self.seen.append(counts[k - 1] > 0)
+            self.arc.append(np.log10(weight))
+            self.fail.append(np.log10(fail))
+
+    def walk(self, b: Block) -> np.ndarray:
+        """The log10 weights of each token's path: failure arcs, then the arc that reads it."""
+        out = np.zeros(len(b.place))
+        waiting = np.arange(len(b.place))
+        for k in range(len(self.arc), 1, -1):
+            here = b.place[waiting] >= k - 2                    # later states of a text only
+            at = waiting[here]
+            gram = b.of[k - 1][at]
+            reads = self.seen[k - 1][gram]
+            out[at] += np.where(reads, self.arc[k - 1][gram], self.fail[k - 1][gram])
+            here[here] = reads
+            waiting = waiting[~here]
+        out[waiting] += self.arc[0][b.of[0][waiting]]
+        return out
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, strength: float = STRENGTH,
+          power: float = POWER, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by document."""
+    if order < 1:
+        raise ValueError(f"order {order}: a model needs n-grams of one token at least")
     named = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     src = docs.select(F.col(doc_id).cast("long").alias("id"), (F.crc32(named) % 5 == 1).alias("held"),
                       F.col(text).alias("text"))
-    blocks = text_blocks(src)
-    size = blocks.agg(F.sum(F.col("n_uni") + F.col("n_bi")), F.sum("train_tokens")).first()
-    shards, n = max(1, -(-(size[0] or 0) // shard_keys)), size[1] or 0
-    totals = released(_shards(blocks, shards).repartition(shards, "shard").groupBy("shard")
-                      .applyInArrow(_add, "shard int, block long, kind int, totals binary, known long"))
-    v = totals.agg(F.sum("known")).first()[0] or 0
-    back = totals.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "totals")).alias("back"))
+    blocks = text_blocks(src, block_bytes)
+    n_blocks, n = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    levels = 1
+    while (1 << fan_bits) ** levels < n_blocks:
+        levels += 1
+    blocks = blocks.withColumn("known", F.array().cast("array<binary>"))
+    rounds = [list(range(1, min(order, 2) + 1)), *([k] for k in range(3, order + 1))]
+    for i, orders in enumerate(rounds):
+        answers, top = _exchange(_ask(blocks, orders, levels, fan_bits), levels, fan_bits)
+        if i == 0:
+            v = top.agg(F.sum("seen")).first()[0] or 0
+        told = blocks.join(_parts(answers), F.col("block") == F.col("child"), "left").drop("child")
+        if i + 1 < len(rounds):
+            blocks = released(_learned(told, orders))
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                parts = sorted(row["back"], key=lambda x: (x["kind"], x["shard"]))
-                c1, c2 = (np.concatenate([stretch(x["totals"], np.int64) for x in parts if x["kind"] == kind])
-                          for kind in (1, 2))
-                known, base, model = traverse(b, c1, c2, n, v, strength, power)
-                m = len(b.count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(b.count), pa.array(known),
-                     pa.array(np.full(m, n)), pa.array(base), pa.array(model)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return blocks.join(back, "block").mapInArrow(
+        for row in _rows(batches):
+            b, known = Block(row, order), _known(row)
+            b.learn(rounds[-1], known, _told(row["parts"]))
+            counts = [k >> 1 for k in known]
+            model = Automaton(b, counts, n, v, strength, power)
+            by_text = lambda x: np.add.reduceat(x, b.first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.count),
+                 pa.array(by_text(model.seen[0][b.of[0]].astype(np.int64))), pa.array(np.full(len(b.count), n, np.int64)),
+                 pa.array(by_text(model.arc[0][b.of[0]])), pa.array(by_text(model.walk(b)))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return told.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -401,44 +401,84 @@ def test_fingerprints_retry_larger(spark):
 
 # 8 -----------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("shard_keys", [language_model.SHARD_KEYS, 2000])
-def test_language_model(spark, odd_rows, shard_keys):
-    rows = odd_rows[:10] if shard_keys > 10_000 else odd_rows
-    got = language_model.score(frame(spark, rows), shard_keys=shard_keys).collect()
+def backoff(rows, order):
+    """The model as dictionaries: (texts, held, n-gram counts, states' counts, back, weight)."""
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
-    uni, bi = Counter(), Counter()
-    for (_, t), h in zip(rows, held, strict=True):
-        w = [*words(t), None]
+    texts = [["<s>", *words(t), "</s>"] for _, t in rows]
+    count = Counter()
+    for w, h in zip(texts, held, strict=True):
         if not h:
-            uni.update(w)
-            bi.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    want = Counter()
-    for (i, t), h in zip(rows, held, strict=True):
-        w = [*words(t), None]
-        root = [(uni[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        score = 0.0
-        for a, x, p in zip([None, *w[:-1]], w, root, strict=True):
-            k = language_model.STRENGTH * uni[a] ** language_model.POWER
-            score += math.log10((bi[a, x] + k * p) / (uni[a] + k) if uni[a] else p)
-        want[(i, h, len(w), sum(uni[x] > 0 for x in w), n, round(sum(map(math.log10, root)), 4), round(score, 4))] += 1
+            count.update(tuple(w[i - k + 1: i + 1]) for i in range(1, len(w)) for k in range(1, min(order, i + 1) + 1))
+    n = sum(c for g, c in count.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in count)
+    starts = held.count(False)
+    states = {(): None}
+    for g in count:
+        if len(g) > 1:
+            states[g[:-1]] = starts if g[:-1] == ("<s>",) else count[g[:-1]]
+
+    def back(h):
+        return language_model.STRENGTH * states[h] ** language_model.POWER
+
+    def weight(h, w):
+        if not h:
+            return (count[w,] + 0.5) / (n + 0.5 * (v + 1))
+        if h not in states:
+            return weight(h[1:], w)
+        return (count[*h, w] + back(h) * weight(h[1:], w)) / (states[h] + back(h))
+
+    return texts, held, count, states, back, weight
+
+
+def read_by_states(rows, order):
+    """The automaton walked token by token: the sums of each text."""
+    texts, held, count, states, back, weight = backoff(rows, order)
+    n = sum(c for g, c in count.items() if len(g) == 1)
+
+    def longest(h):
+        while h not in states:
+            h = h[1:]
+        return h
+
+    out = []
+    for w, h in zip(texts, held, strict=True):
+        state, total = longest(("<s>",) if order > 1 else ()), 0.0
+        for x in w[1:]:
+            while state and not count[*state, x]:
+                total += math.log10(back(state) / (states[state] + back(state)))
+                state = longest(state[1:])
+            total += math.log10(weight(state, x))
+            state = longest((*state, x)[-(order - 1):] if order > 1 else ())
+        out.append((h, len(w) - 1, sum(count[x,] > 0 for x in w[1:]), n, sum(math.log10(weight((), x)) for x in w[1:]), total))
+    return out
+
+
+@pytest.mark.parametrize(("order", "block_bytes", "fan_bits"), [
+    (1, 500, 6), (2, language_model.BLOCK_BYTES, 6), (2, 300, 1), (3, language_model.BLOCK_BYTES, 6), (3, 300, 1), (4, 2000, 2)])
+def test_language_model(spark, odd_rows, order, block_bytes, fan_bits):
+    rng = np.random.default_rng(order)
+    rows = [*odd_rows, *((100 + i, " ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 40)) for i in range(60))]
+    docs = frame(spark, rows).repartition(3)
+    got = language_model.score(docs, order=order, block_bytes=block_bytes, fan_bits=fan_bits).collect()
+    want = Counter((i, *r[:4], round(r[4], 4), round(r[5], 4))
+                   for (i, _), r in zip(rows, read_by_states(rows, order), strict=True))
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4))
                    for r in got) == want
 
 
 def test_language_model_sums_to_one():
-    """Over the vocabulary and one unknown word, for a seen state, an unseen one and the start."""
-    words_ = np.sort(np.random.default_rng(2).integers(1, 2**63, 30, dtype=np.uint64))
-    c1 = np.arange(30)
-    n, v = int(c1.sum()), int((c1 > 0).sum())
-    root = (c1[c1 > 0] + 0.5) / (n + 0.5 * (v + 1))
-    assert root.sum() + 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1.0)
-    for h in (5, 29):
-        k = language_model.STRENGTH * c1[h] ** language_model.POWER
-        follow = np.bincount(np.arange(c1[h]) % 7 + 1, minlength=30)[c1 > 0]
-        seen = ((follow + k * root) / (c1[h] + k)).sum() + k * (0.5 / (n + 0.5 * (v + 1))) / (c1[h] + k)
-        assert seen == pytest.approx(1.0)
-    assert len(words_) == 30
+    """Over the vocabulary, the end and one unknown word, in every state of the model that the tests compare with."""
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d", "b c a b", "c c c", "", "a"] * 2, 2)]
+    _, held, count, states, _, weight = backoff(rows, 3)
+    assert any(held) and not all(held) and {len(h) for h in states} == {0, 1, 2}
+    words_ = [g[0] for g in count if len(g) == 1]
+    for h in [*states, ("never",), ("never", "a")]:
+        assert sum(weight(h, w) for w in [*words_, "unknown"]) == pytest.approx(1.0)
+
+
+def test_language_model_refuses_order_zero(spark, odd_rows):
+    with pytest.raises(ValueError, match="order"):
+        language_model.score(frame(spark, odd_rows), order=0)
 
 
 def test_language_model_of_nothing(spark, odd_rows):

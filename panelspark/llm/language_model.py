@@ -24,8 +24,9 @@ A block asks for the totals of its distinct n-grams along a tree of exchanges: i
 after log_FAN(blocks) steps a range holds all counts of its n-grams, and totals go back the same way.
 A step sends at most FAN messages a row and a row is never larger than about a block's n-grams, so
 messages grow as blocks times the number of steps.  Frequent n-grams are added up on the way; none is
-hot.  N-grams of three tokens or more are asked for only if both of their shorter ends stand in
-training texts and in several blocks; otherwise the block's own count is the total.
+hot.  Most long n-grams stand in one block alone, which has their total then.  So the tree is used
+twice: first with hashes cut to a few bits more than it takes to number all n-grams, which tells
+those that may stand in several blocks, then with whole hashes and counts for these and all words.
 
 Defined cases: a null or empty text has the end token only; equal rows are separate texts; a row
 whose id is null is trained on as the text 'null' decides; with no training text every weight is
@@ -49,12 +50,13 @@ from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64,
 ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
 FAN_BITS = 6
+SPARE_BITS = 6                           # of a cut hash: one in 2**SPARE_BITS meets another n-gram
 END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash
 START = np.uint64(0x14057B7EF767814F)    # the sign before a text
 BLOCK_BYTES = 4 * CHUNK_BYTES
 
 _FACTOR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
-_BLOCK = "block long, ids array<long>, held array<boolean>, counts binary, vocabulary binary, words binary, train_tokens long"
+_BLOCK = "block long, ids array<long>, held array<boolean>, counts binary, vocabulary binary, words binary, tokens long, train_tokens long"
 _UP = "node long, range long, child long, sub int, keys binary, counts binary"
 _DOWN = "child long, sub int, totals binary"
 _NODE = "id long, node long, range long, keys binary, counts binary, children array<struct<child:long,sub:int,place:binary>>"
@@ -110,8 +112,8 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([0]), pa.array([piece.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()]),
                 pa.array([squeeze(count.astype(np.int32))]), pa.array([squeeze_sorted(words)]),
-                pa.array([squeeze(number.astype(np.uint32))]), pa.array([int(count[~held].sum())])],
-                names=["block", "ids", "held", "counts", "vocabulary", "words", "train_tokens"])
+                pa.array([squeeze(number.astype(np.uint32))]), pa.array([int(count.sum())]), pa.array([int(count[~held].sum())])],
+                names=["block", "ids", "held", "counts", "vocabulary", "words", "tokens", "train_tokens"])
 
     made = docs.mapInArrow(run, _BLOCK)
     # Numbers that stay with the block from here on, as the checkpoint fixes them.
@@ -121,7 +123,8 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 class Block:
     """An unpacked block.  By order k (index k - 1): ``keys`` the distinct n-grams' sorted hashes,
     ``of`` each token's n-gram, ``context`` and ``suffix`` the n-grams without their last and first
-    token (context -1: the start sign), ``own`` the training counts here.
+    token (context -1: the start sign).  ``by_key`` orders all orders' n-grams by hash, as ``all_keys``
+    and ``own``, their training counts here, stand.
 
     A unigram's hash is odd, a longer one's even.  The token at place p of its text ends n-grams of up
     to p + 2 signs, the start sign among them.
@@ -136,7 +139,7 @@ class Block:
         train = np.repeat(~np.asarray(row["held"], bool), self.count)
         self.end = int(np.searchsorted(words, END))
         self.keys, self.of, self.context, self.suffix = [words | _ONE], [number], [None], [None]
-        self.own = [np.bincount(number[train], minlength=len(words))]
+        own = [np.bincount(number[train], minlength=len(words))]
         word, last = words[number], (words | _ONE)[number]
         for k in range(2, order + 1):
             before = np.empty_like(last)
@@ -153,38 +156,26 @@ class Block:
             self.of.append(of)
             self.context.append(np.where(self.place[some] > 0, self.of[k - 2][some - 1], -1))
             self.suffix.append(self.of[k - 2][some])
-            self.own.append(np.bincount(gram[train[at]], minlength=len(keys)))
-
-    def asked(self, k: int, known: list[np.ndarray]) -> np.ndarray:
-        """The n-grams of order k whose total is not known here; ``known`` as answers of lower orders."""
-        if k <= 2:
-            return np.arange(len(self.keys[k - 1]))
-        below = known[k - 2]
-        open_ = (below > 1) & (below & 1 > 0)                  # seen in training, and in several blocks
-        return np.flatnonzero(open_[self.context[k - 1]] & open_[self.suffix[k - 1]])
-
-    def question(self, orders: list[int], known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, own counts, their places among the asked) of the orders' asked n-grams, by key."""
-        at = [self.asked(k, known) for k in orders]
-        keys = np.concatenate([self.keys[k - 1][a] for k, a in zip(orders, at, strict=True)])
-        own = np.concatenate([self.own[k - 1][a] for k, a in zip(orders, at, strict=True)])
-        by_key = np.argsort(keys)
-        return keys[by_key], own[by_key], by_key
-
-    def learn(self, orders: list[int], known: list[np.ndarray], answer: np.ndarray) -> None:
-        """Append the orders' answers to ``known``: twice the total, plus one if in several blocks."""
-        by_key = self.question(orders, known)[2]
-        told = np.empty(len(by_key), np.int64)
-        told[by_key] = answer
-        at = [self.asked(k, known) for k in orders]
-        for k, a, part in zip(orders, at, np.split(told, np.cumsum([len(a) for a in at])[:-1]), strict=True):
-            total = self.own[k - 1].astype(np.int64) * 2
-            total[a] = part
-            known.append(total)
-
-
-def _known(row: dict) -> list[np.ndarray]:
-    return [stretch(t, np.int64) for t in row["known"]]
+            own.append(np.bincount(gram[train[at]], minlength=len(keys)))
+        self.all_keys, own = np.concatenate(self.keys), np.concatenate(own)
+        self.by_key = np.argsort(self.all_keys)
+        self.all_keys, self.own = self.all_keys[self.by_key], own[self.by_key]
+
+    def asked(self, shared: np.ndarray) -> np.ndarray:
+        """The n-grams, by hash, whose totals other blocks may add to, and all unigrams."""
+        return np.flatnonzero(shared | (self.all_keys & _ONE > 0))
+
+    def totals(self, shared: np.ndarray, told: np.ndarray) -> list[np.ndarray]:
+        """The training totals by order."""
+        total = self.own.copy()
+        total[self.asked(shared)] = told
+        out = np.empty_like(total)
+        out[self.by_key] = total
+        return np.split(out, np.cumsum([len(k) for k in self.keys])[:-1])
+
+
+def _shared(row: dict, b: Block) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(row["shared"]), np.uint8), count=len(b.all_keys)).astype(bool)
 
 
 def _told(parts: list[dict] | None) -> np.ndarray:
@@ -264,32 +255,46 @@ def _parts(answers: DataFrame) -> DataFrame:
     return answers.groupBy("child").agg(F.collect_list(F.struct("sub", "totals")).alias("parts"))
 
 
-def _ask(blocks: DataFrame, orders: list[int], levels: int, bits: int) -> DataFrame:
-    """The blocks' questions for n-grams of ``orders``, as rows of the first exchange."""
-    groups = (1 << bits) ** (levels - 1)
+def _first_node(block: int, levels: int, bits: int) -> int:
+    return int(mix64(np.array([block], np.uint64))[0]) % (1 << bits * (levels - 1))
+
+
+def _ask_shared(blocks: DataFrame, order: int, width: int, levels: int, bits: int) -> DataFrame:
+    """All n-grams' hashes cut to ``width`` bits, as rows of the first exchange."""
+    kept = np.uint64((1 << 64) - (1 << (64 - width)))
 
     def run(batches):
         for row in _rows(batches):
-            keys, own, _ = Block(row, orders[-1]).question(orders, _known(row))
-            node = int(mix64(np.array([row["block"]], np.uint64))[0]) % groups
-            yield _send(row["block"], node, 0, keys, own * 2, 1, bits)
+            keys = Block(row, order).all_keys & kept
+            yield _send(row["block"], _first_node(row["block"], levels, bits), 0, keys, np.zeros(len(keys), np.int64), 1, bits)
 
     return blocks.mapInArrow(run, _UP)
 
 
-def _learned(blocks: DataFrame, orders: list[int]) -> DataFrame:
-    """The blocks with the totals of ``orders`` added to ``known``."""
+def _marked(told: DataFrame) -> DataFrame:
+    """The blocks with ``shared``: a bit for each n-gram, by hash, that may stand in several blocks."""
+    names = [*(f.split(" ")[0] for f in _BLOCK.split(", ")), "shared"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                bits = np.packbits(_told(row.column("parts").to_pylist()[0]).astype(np.uint8) & 1)
+                made = pa.array([zstandard.compress(bits.tobytes(), 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names[:-1]), made], names=names)
+
+    return told.mapInArrow(run, f"{_BLOCK}, shared binary")
+
+
+def _ask_totals(blocks: DataFrame, order: int, levels: int, bits: int) -> DataFrame:
+    """The asked n-grams with their counts here, as rows of the first exchange."""
     def run(batches):
         for row in _rows(batches):
-            known = _known(row)
-            Block(row, orders[-1]).learn(orders, known, _told(row.pop("parts")))
-            row["known"] = [squeeze(k) for k in known]
-            yield pa.RecordBatch.from_pylist([row], schema=schema)
+            b = Block(row, order)
+            at = b.asked(_shared(row, b))
+            yield _send(row["block"], _first_node(row["block"], levels, bits), 0, b.all_keys[at], b.own[at] * 2, 1, bits)
 
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                        ("counts", pa.binary()), ("vocabulary", pa.binary()), ("words", pa.binary()),
-                        ("train_tokens", pa.int64()), ("known", pa.list_(pa.binary()))])
-    return blocks.mapInArrow(run, f"{_BLOCK}, known array<binary>")
+    return blocks.mapInArrow(run, _UP)
 
 
 class Automaton:
@@ -340,25 +345,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     src = docs.select(F.col(doc_id).cast("long").alias("id"), (F.crc32(named) % 5 == 1).alias("held"),
                       F.col(text).alias("text"))
     blocks = text_blocks(src, block_bytes)
-    n_blocks, n = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    n_blocks, tokens, n = blocks.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "train_tokens"))).first()
     levels = 1
     while (1 << fan_bits) ** levels < n_blocks:
         levels += 1
-    blocks = blocks.withColumn("known", F.array().cast("array<binary>"))
-    rounds = [list(range(1, min(order, 2) + 1)), *([k] for k in range(3, order + 1))]
-    for i, orders in enumerate(rounds):
-        answers, top = _exchange(_ask(blocks, orders, levels, fan_bits), levels, fan_bits)
-        if i == 0:
-            v = top.agg(F.sum("seen")).first()[0] or 0
-        told = blocks.join(_parts(answers), F.col("block") == F.col("child"), "left").drop("child")
-        if i + 1 < len(rounds):
-            blocks = released(_learned(told, orders))
+    width = min(64, int(tokens * order).bit_length() + SPARE_BITS)
+    answers, _ = _exchange(_ask_shared(blocks, order, width, levels, fan_bits), levels, fan_bits)
+    blocks = released(_marked(blocks.join(_parts(answers), F.col("block") == F.col("child")).drop("child")))
+    answers, top = _exchange(_ask_totals(blocks, order, levels, fan_bits), levels, fan_bits)
+    v = top.agg(F.sum("seen")).first()[0] or 0
+    told = blocks.join(_parts(answers), F.col("block") == F.col("child")).drop("child")
 
     def run(batches):
         for row in _rows(batches):
-            b, known = Block(row, order), _known(row)
-            b.learn(rounds[-1], known, _told(row["parts"]))
-            counts = [k >> 1 for k in known]
+            b = Block(row, order)
+            counts = b.totals(_shared(row, b), _told(row["parts"]) >> 1)
             model = Automaton(b, counts, n, v, strength, power)
             by_text = lambda x: np.add.reduceat(x, b.first)
             yield pa.RecordBatch.from_arrays(

@@ -27,6 +27,7 @@ messages grow as blocks times the number of steps.  Frequent n-grams are added u
 hot.  Most long n-grams stand in one block alone, which has their total then.  So the tree is used
 twice: first with hashes cut to a few bits more than it takes to number all n-grams, which tells
 those that may stand in several blocks, then with whole hashes and counts for these and all words.
+The blocks themselves lie in a bucketed table and are never shuffled; answers come to them.
 
 Defined cases: a null or empty text has the end token only; equal rows are separate texts; a row
 whose id is null is trained on as the text 'null' decides; with no training text every weight is
@@ -44,12 +45,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.tables import released
+from panelspark.llm.tables import bucketed, released
 from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64, pieces
 
 ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
 FAN_BITS = 6
+BLOCKS_PER_BUCKET, MAX_BUCKETS = 2, 50_000
 SPARE_BITS = 6                           # of a cut hash: one in 2**SPARE_BITS meets another n-gram
 END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash
 START = np.uint64(0x14057B7EF767814F)    # the sign before a text
@@ -121,8 +123,7 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 class Block:
-    """An unpacked block.  By order k (index k - 1): ``keys`` the distinct n-grams' sorted hashes,
-    ``of`` each token's n-gram, ``context`` and ``suffix`` the n-grams without their last and first
+    """An unpacked block.  By order k (index k - 1): ``sizes`` the numbers of distinct n-grams, ``of`` each token's n-gram, ``context`` and ``suffix`` the n-grams without their last and first
     token (context -1: the start sign).  ``by_key`` orders all orders' n-grams by hash, as ``all_keys``
     and ``own``, their training counts here, stand.
 
@@ -133,9 +134,9 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.count = stretch(row["counts"], np.int32).astype(np.int64)
         words = stretch_sorted(row["vocabulary"])
-        number = stretch(row["words"], np.uint32).astype(np.int64)
+        number = stretch(row["words"], np.uint32).astype(np.int32)
         self.first = np.cumsum(self.count) - self.count
-        self.place = np.arange(len(number)) - np.repeat(self.first, self.count)
+        self.place = np.arange(len(number), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.count)
         train = np.repeat(~np.asarray(row["held"], bool), self.count)
         self.end = int(np.searchsorted(words, END))
         self.keys, self.of, self.context, self.suffix = [words | _ONE], [number], [None], [None]
@@ -148,17 +149,20 @@ class Block:
             last = mix64((before + np.uint64(k)) * _FACTOR + word) & ~_ONE
             at = np.flatnonzero(self.place >= k - 2)
             keys, gram = np.unique(last[at], return_inverse=True)
-            some = np.empty(len(keys), np.int64)              # a token that ends the n-gram
+            gram = gram.astype(np.int32)
+            some = np.empty(len(keys), np.int32)              # a token that ends the n-gram
             some[gram] = at
-            of = np.full(len(last), -1)
+            of = np.full(len(last), -1, np.int32)
             of[at] = gram
             self.keys.append(keys)
             self.of.append(of)
-            self.context.append(np.where(self.place[some] > 0, self.of[k - 2][some - 1], -1))
+            self.context.append(np.where(self.place[some] > 0, self.of[k - 2][some - 1], np.int32(-1)))
             self.suffix.append(self.of[k - 2][some])
             own.append(np.bincount(gram[train[at]], minlength=len(keys)))
+        self.sizes = [len(k) for k in self.keys]
         self.all_keys, own = np.concatenate(self.keys), np.concatenate(own)
-        self.by_key = np.argsort(self.all_keys)
+        del self.keys, word, last, train
+        self.by_key = np.argsort(self.all_keys).astype(np.int32)
         self.all_keys, self.own = self.all_keys[self.by_key], own[self.by_key]
 
     def asked(self, shared: np.ndarray) -> np.ndarray:
@@ -171,7 +175,7 @@ class Block:
         total[self.asked(shared)] = told
         out = np.empty_like(total)
         out[self.by_key] = total
-        return np.split(out, np.cumsum([len(k) for k in self.keys])[:-1])
+        return np.split(out, np.cumsum(self.sizes)[:-1])
 
 
 def _shared(row: dict, b: Block) -> np.ndarray:
@@ -250,8 +254,10 @@ def _exchange(asked: DataFrame, levels: int, bits: int) -> tuple[DataFrame, Data
     return answers, top
 
 
-def _parts(answers: DataFrame) -> DataFrame:
+def _parts(answers: DataFrame, buckets: int | None = None) -> DataFrame:
     """The answers of a row together: one a smaller range, so at most the fan-out."""
+    if buckets:
+        answers = answers.repartition(buckets, "child")
     return answers.groupBy("child").agg(F.collect_list(F.struct("sub", "totals")).alias("parts"))
 
 
@@ -350,11 +356,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     while (1 << fan_bits) ** levels < n_blocks:
         levels += 1
     width = min(64, int(tokens * order).bit_length() + SPARE_BITS)
+    buckets = min(max(1, -(-n_blocks // BLOCKS_PER_BUCKET)), MAX_BUCKETS)
+    blocks = bucketed(blocks, "block", buckets)
     answers, _ = _exchange(_ask_shared(blocks, order, width, levels, fan_bits), levels, fan_bits)
-    blocks = released(_marked(blocks.join(_parts(answers), F.col("block") == F.col("child")).drop("child")))
+    told = blocks.join(_parts(answers, buckets), F.col("block") == F.col("child")).drop("child")
+    blocks = bucketed(_marked(told), "block", buckets)
     answers, top = _exchange(_ask_totals(blocks, order, levels, fan_bits), levels, fan_bits)
     v = top.agg(F.sum("seen")).first()[0] or 0
-    told = blocks.join(_parts(answers), F.col("block") == F.col("child")).drop("child")
+    told = blocks.join(_parts(answers, buckets), F.col("block") == F.col("child")).drop("child")
 
     def run(batches):
         for row in _rows(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.session import ensure_checkpoint_dir, scratch_path
@@ -30,3 +32,13 @@ def released(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` as a written table dealt into ``buckets`` by ``column``: a join on it with rows dealt alike
+    does not move this table.  The catalog keeps no name of it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    (df.write.format("parquet").bucketBy(buckets, column).option("path", scratch_path(spark, "buckets")).saveAsTable(name))
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")      # the files of a table with its own path stay
+    return out

@@ -20,9 +20,9 @@ their steps together: in each round those whose state lacks the arc follow its f
 
 No task holds the automaton.  Texts are packed into blocks (documents, word hashes, word numbers).
 A block asks for the totals of its distinct n-grams along a tree of exchanges: in each step up to about
-``FAN`` neighbours' sorted n-grams of one hash range are added up and cut into ``FAN`` smaller ranges, so
-after log_FAN(blocks) steps a range holds all counts of its n-grams, and totals go back the same way.
-A step sends at most FAN messages a row and a row is never larger than about a block's n-grams, so
+256 neighbours' sorted n-grams of one hash range are added up and cut into 256 smaller ranges, so
+after log_256(blocks) steps a range holds all counts of its n-grams, and totals go back the same way.
+A step sends at most 256 messages a row and a row is never larger than about a block's n-grams, so
 messages grow as blocks times the number of steps.  Frequent n-grams are added up on the way; none is
 hot.  Most long n-grams stand in one block alone, which has their total then.  So the tree is used
 twice: first with hashes cut to a few bits more than it takes to number all n-grams, which tells
@@ -50,7 +50,7 @@ from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64,
 
 ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
-FAN_BITS = 6
+FAN_BITS = 8
 BLOCKS_PER_BUCKET, MAX_BUCKETS = 2, 50_000
 SPARE_BITS = 6                           # of a cut hash: one in 2**SPARE_BITS meets another n-gram
 END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash

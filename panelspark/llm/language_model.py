@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.tables import bucketed, released
-from panelspark.llm.textscan import CHUNK_BYTES, NON_SPACE, Words, flat, mix64, pieces
+from panelspark.llm.textscan import NON_SPACE, Words, flat, mix64, pieces
 
 ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
@@ -55,7 +55,7 @@ BLOCKS_PER_BUCKET, MAX_BUCKETS = 2, 50_000
 SPARE_BITS = 6                           # of a cut hash: one in 2**SPARE_BITS meets another n-gram
 END = np.uint64(0x5851F42D4C957F2D)      # the end token's hash
 START = np.uint64(0x14057B7EF767814F)    # the sign before a text
-BLOCK_BYTES = 4 * CHUNK_BYTES
+BLOCK_BYTES = 5 << 20
 
 _FACTOR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _BLOCK = "block long, ids array<long>, held array<boolean>, counts binary, vocabulary binary, words binary, tokens long, train_tokens long"
@@ -368,7 +368,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     def run(batches):
         for row in _rows(batches):
             b = Block(row, order)
-            counts = b.totals(_shared(row, b), _told(row["parts"]) >> 1)
+            counts = b.totals(_shared(row, b), _told(row.pop("parts")) >> 1)
+            del b.all_keys, b.own, b.by_key
             model = Automaton(b, counts, n, v, strength, power)
             by_text = lambda x: np.add.reduceat(x, b.first)
             yield pa.RecordBatch.from_arrays(

@@ -45,8 +45,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.tables import bucketed, released
+from panelspark.llm.tables import bucketed, discard, released
 from panelspark.llm.textscan import NON_SPACE, Words, flat, mix64, pieces
+from panelspark.session import scratch_path
 
 ORDER = 3
 STRENGTH, POWER = 2.0, 0.75
@@ -117,9 +118,8 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 pa.array([squeeze(number.astype(np.uint32))]), pa.array([int(count.sum())]), pa.array([int(count[~held].sum())])],
                 names=["block", "ids", "held", "counts", "vocabulary", "words", "tokens", "train_tokens"])
 
-    made = docs.mapInArrow(run, _BLOCK)
-    # Numbers that stay with the block from here on, as the checkpoint fixes them.
-    return made.withColumn("block", F.monotonically_increasing_id()).checkpoint()
+    # A block's number comes from its task's input, so a task that runs again gives the same ones.
+    return docs.mapInArrow(run, _BLOCK).withColumn("block", F.monotonically_increasing_id())
 
 
 class Block:
@@ -350,17 +350,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     named = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     src = docs.select(F.col(doc_id).cast("long").alias("id"), (F.crc32(named) % 5 == 1).alias("held"),
                       F.col(text).alias("text"))
-    blocks = text_blocks(src, block_bytes)
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(max(1, -(-size // (block_bytes * BLOCKS_PER_BUCKET))), MAX_BUCKETS)
+    plain, marked = scratch_path(docs.sparkSession, "blocks"), scratch_path(docs.sparkSession, "marked")
+    blocks = bucketed(text_blocks(src, block_bytes), "block", buckets, plain)
     n_blocks, tokens, n = blocks.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "train_tokens"))).first()
     levels = 1
     while (1 << fan_bits) ** levels < n_blocks:
         levels += 1
     width = min(64, int(tokens * order).bit_length() + SPARE_BITS)
-    buckets = min(max(1, -(-n_blocks // BLOCKS_PER_BUCKET)), MAX_BUCKETS)
-    blocks = bucketed(blocks, "block", buckets)
     answers, _ = _exchange(_ask_shared(blocks, order, width, levels, fan_bits), levels, fan_bits)
     told = blocks.join(_parts(answers, buckets), F.col("block") == F.col("child")).drop("child")
-    blocks = bucketed(_marked(told), "block", buckets)
+    blocks = bucketed(_marked(told), "block", buckets, marked)
+    discard(docs.sparkSession, plain)
     answers, top = _exchange(_ask_totals(blocks, order, levels, fan_bits), levels, fan_bits)
     v = top.agg(F.sum("seen")).first()[0] or 0
     told = blocks.join(_parts(answers, buckets), F.col("block") == F.col("child")).drop("child")

@@ -3,7 +3,8 @@
 ``event_windows`` takes, for every event, the last ``before`` series rows up to (and by
 default including) the event day and the first ``after`` rows past it -- rows, not days,
 as the source counts them.  It is built from equi-joins only, no range or nested-loop
-join: the series is numbered per series key; each event gets the number of the last
+join: the series is numbered per series key (one without keys by blocks of the calendar, with no
+single-partition step); each event gets the number of the last
 row at or before it (an as-of lookup done by one window over series rows + event
 rows); the event then fans out to the row numbers of its window, which are joined
 back.  Events are de-duplicated first (partial aggregation), so a date that occurs a
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import day_number
+from panelspark.operators.prefix import running
 from panelspark.operators.relational import sample_n
 
 
@@ -62,6 +64,35 @@ def sample_events(series: DataFrame, date_col: str, n: int, seed: str, after: st
     return sample_n(d, n, out, seed)
 
 
+def _number_by_key(s: DataFrame, ev: DataFrame, keys: list[str], include_event_day: bool) -> tuple[DataFrame, DataFrame]:
+    """Series rows numbered within their keys, and each event with the number of the last row at its date."""
+    numbered = s.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("ds")))
+
+    # As-of lookup: series rows and events on one axis; an event sees the last row
+    # number at its date.  kind orders same-day rows before (or after) the event.
+    row_kind, event_kind = (0, 1) if include_event_day else (1, 0)
+    axis = numbered.select(*keys, F.col("ds").alias("d"), "rn", F.lit(row_kind).alias("kind")).unionByName(
+        ev.select(*keys, F.col("event_date").alias("d"), F.lit(None).cast("int").alias("rn"),
+                  F.lit(event_kind).alias("kind")))
+    w = Window.partitionBy(*keys).orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    anchored = (axis.withColumn("anchor", F.coalesce(F.max("rn").over(w), F.lit(0)))
+                .where(F.col("rn").isNull())
+                .select(*keys, F.col("d").alias("event_date"), "anchor"))
+    return numbered, anchored
+
+
+def _number_by_block(s: DataFrame, ev: DataFrame, include_event_day: bool) -> tuple[DataFrame, DataFrame]:
+    """The same for one series without keys: one running count of series rows over the joint axis, by
+    blocks of the calendar, numbers the rows and anchors the events."""
+    row_kind, event_kind = (0, 1) if include_event_day else (1, 0)
+    axis = s.select("ds", "y", F.lit(1).alias("row"), F.lit(row_kind).alias("kind")).unionByName(
+        ev.select(F.col("event_date").alias("ds"), F.lit(0).alias("row"), F.lit(event_kind).alias("kind")),
+        allowMissingColumns=True)
+    axis = running(axis, "ds", ["ds", "kind"], {"rn": (F.sum, "row")}).withColumn("rn", F.col("rn").cast("int"))
+    return (axis.where(F.col("row") == 1).select("ds", "y", "rn"),
+            axis.where(F.col("row") == 0).select(F.col("ds").alias("event_date"), F.col("rn").alias("anchor")))
+
+
 def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date", value_col: str = "y",
                   before: int = 30, after: int = 10, keys: Sequence[str] = (),
                   event_col: str = "event_date", include_event_day: bool = True) -> DataFrame:
@@ -75,20 +106,8 @@ def event_windows(series: DataFrame, events: DataFrame, date_col: str = "date",
     ev = events.select(*keys, F.col(event_col).alias("event_date")).where(
         F.col("event_date").isNotNull()).distinct()
 
-    order = Window.partitionBy(*keys).orderBy("ds") if keys else Window.orderBy("ds")
-    numbered = s.withColumn("rn", F.row_number().over(order))
-
-    # As-of lookup: series rows and events on one axis; an event sees the last row
-    # number at its date.  kind orders same-day rows before (or after) the event.
-    row_kind, event_kind = (0, 1) if include_event_day else (1, 0)
-    axis = numbered.select(*keys, F.col("ds").alias("d"), "rn", F.lit(row_kind).alias("kind")).unionByName(
-        ev.select(*keys, F.col("event_date").alias("d"), F.lit(None).cast("int").alias("rn"),
-                  F.lit(event_kind).alias("kind")))
-    w = (Window.partitionBy(*keys) if keys else Window).orderBy("d", "kind") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    anchored = (axis.withColumn("anchor", F.coalesce(F.max("rn").over(w), F.lit(0)))
-                .where(F.col("rn").isNull())
-                .select(*keys, F.col("d").alias("event_date"), "anchor"))
+    numbered, anchored = (_number_by_key(s, ev, keys, include_event_day) if keys
+                          else _number_by_block(s, ev, include_event_day))
 
     fan = anchored.select(*keys, "event_date", "anchor", F.explode(
         F.sequence(F.col("anchor") - F.lit(before - 1), F.col("anchor") + F.lit(after))).alias("rn")

@@ -3,8 +3,8 @@
 Windows here are always partitioned by the entity, and are meant for *daily-grain*
 panels (one row per entity and day, as produced by the roll-ups): a partition then
 holds at most one row per calendar day, whatever the size of the raw data.  With no
-entity columns the window is one partition, so the rows are first reduced to one per
-day and the calendar bounds it.  The spine of each entity runs from its own first
+entity columns gaps and running totals reduce the rows to one per day and run by blocks of the
+calendar (``operators.prefix``), so no task holds the whole series.  The spine of each entity runs from its own first
 to its own last day (``sequence`` + ``explode``), never a global cross join.
 """
 
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.prefix import running
+
 
 def _w(entity_cols: Sequence[str], date_col: str):
     return Window.partitionBy(*entity_cols).orderBy(date_col) if entity_cols else Window.orderBy(date_col)
@@ -24,11 +26,11 @@ def gaps(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
          out: str = "gap", prev_col: str = "prev_date") -> DataFrame:
     """Days since the entity's previous row (null for its first row).  Without entity columns the
     result is about the distinct days of the table: (date, prev_date, gap)."""
-    if not entity_cols:
-        df = df.select(date_col).distinct()
-    w = _w(entity_cols, date_col)
-    return (df.withColumn(prev_col, F.lag(date_col).over(w))
-              .withColumn(out, F.datediff(F.col(date_col), F.col(prev_col))))
+    if entity_cols:
+        df = df.withColumn(prev_col, F.lag(date_col).over(_w(entity_cols, date_col)))
+    else:
+        df = running(df.select(date_col).distinct(), date_col, [date_col], {prev_col: (F.max, date_col)}, end=-1)
+    return df.withColumn(out, F.datediff(F.col(date_col), F.col(prev_col)))
 
 
 def gap_list(df: DataFrame, entity_cols: Sequence[str], date_col: str = "date",
@@ -94,7 +96,10 @@ def running_total(df: DataFrame, entity_cols: Sequence[str], value_cols: Sequenc
     """Running sums of each entity.  Without entity columns the days are summed first: the result
     has the date and the sums only."""
     if not entity_cols:
-        df = df.groupBy(date_col).agg(*[F.sum(v).alias(v) for v in value_cols])
+        days = df.groupBy(date_col).agg(*[F.sum(v).alias(v) for v in value_cols])
+        made = running(days, date_col, [date_col], {f"_running_{v}": (F.sum, v) for v in value_cols})
+        names = {f"_running_{v}": f"{v}{suffix}" for v in value_cols}
+        return (made if suffix else made.drop(*value_cols)).withColumnsRenamed(names)
     w = _w(entity_cols, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({f"{v}{suffix}": F.sum(v).over(w) for v in value_cols})
 

@@ -36,7 +36,7 @@ SELECT date, lag(date) OVER (ORDER BY date) AS prev_date,
 FROM d
 """)
 def q_gap_global(spark, sf_dir):
-    # One series: the window runs in one partition over distinct days (calendar-bounded).
+    # One series: windows by blocks of the calendar.
     d = daily_orders(spark, sf_dir).select("date")
     return gaps(d, [], "date")
 

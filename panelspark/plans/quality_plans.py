@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import quality as Q
 from panelspark.operators.sketches import merged_counts, part_sketches
+from panelspark.operators.spelling import propose_spellings
 from panelspark.plans.common import table
 from panelspark.plans.registry import register
 from panelspark.session import scratch_path
@@ -186,6 +187,30 @@ def q_coverage_check(spark, sf_dir):
     return Q.coverage(n, c, "n_name")
 
 
+# Part names as a second list with typing errors would have them: small parts lose a character, large
+# ones get another one, and some names are in capitals.
+_DAMAGED_SQL = """CASE WHEN p_size < 10 THEN substr(p_name, 1, 2) || substr(p_name, 4)
+                      WHEN p_size > 40 THEN substr(p_name, 1, 4) || 'e' || substr(p_name, 5)
+                      WHEN p_size = 25 THEN upper(p_name) ELSE p_name END"""
+
+
+@register("spelling_proposals", sql=f"""
+WITH l AS (SELECT {_DAMAGED_SQL} AS name, COUNT(*) AS n FROM part GROUP BY 1),
+r AS (SELECT p_name AS name, COUNT(*) AS n FROM part GROUP BY 1),
+alone AS (SELECT name, true AS in_left, n FROM l WHERE name NOT IN (SELECT name FROM r)
+          UNION ALL SELECT name, false, n FROM r WHERE name NOT IN (SELECT name FROM l)),
+other AS (SELECT name, true AS in_left, n FROM l UNION ALL SELECT name, false, n FROM r),
+near AS (SELECT a.name, a.in_left, a.n AS n_rows, o.name AS proposal, o.n AS proposal_rows,
+                CAST(levenshtein(lower(a.name), lower(o.name)) AS INTEGER) AS distance
+         FROM alone a JOIN other o ON a.in_left <> o.in_left
+         WHERE levenshtein(lower(a.name), lower(o.name)) <= least(2, length(a.name) // 3, length(o.name) // 3))
+SELECT *, distance = min(distance) OVER (PARTITION BY name, in_left) AS best FROM near
+""")
+def q_spelling_proposals(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where(F.col("p_name").isNotNull())
+    return propose_spellings(p.select(F.expr(_DAMAGED_SQL).alias("name")), p.select(F.col("p_name").alias("name")), "name")
+
+
 _SUITE_SQL = _long_sql(
     "a AS (SELECT year(o_orderdate) AS year, COUNT(*) AS n, "
     + ", ".join(f"COUNT({c}) AS nn_{c}" for c in ORDERS_COLS)

@@ -37,6 +37,7 @@ from panelspark.operators.forecast import fit_forecast, forecast_scores, interva
 from panelspark.operators.panel import daily_from_total, fill_last, fill_mean
 from panelspark.operators.relational import pivot_count
 from panelspark.operators.rollup import hours_to_daily
+from panelspark.operators.spelling import propose_spellings
 from panelspark.session import ensure_checkpoint_dir
 from panelspark.sources import schemas as S
 from panelspark.sources.intake import Intake, scan_intake
@@ -158,22 +159,32 @@ def coverage_report(src: Mapping[str, DataFrame]) -> DataFrame:
 
     Each comparison is made twice: on the names as they come (``raw``), which shows every spelling
     that differs, and conformed as the preparation stage does, which shows what the rules miss."""
+    return _compared(src, Q.coverage)
+
+
+def spelling_report(src: Mapping[str, DataFrame]) -> DataFrame:
+    """For the same comparisons, the other side's names that an unmatched name may be a misspelling of
+    (``operators.spelling``): proposals for new entries of the correction table, or for review."""
+    return _compared(src, propose_spellings)
+
+
+def _compared(src: Mapping[str, DataFrame], compare) -> DataFrame:
     def conformed(c):
         return apply_corrections(regex_conform(c, SAINT_LOUIS_PATTERN, "Saint Louis"),
                                  COUNTY_CORRECTIONS, COUNTY_PREFIX_RULES)
 
     raw_districts = src["county_districts"].select("county")
-    return (_county_coverage(src, F.col, raw_districts, " raw")
-            .unionByName(_county_coverage(src, conformed, county_district_table(src["county_districts"]), "")))
+    return (_county_pairs(src, F.col, raw_districts, " raw", compare)
+            .unionByName(_county_pairs(src, conformed, county_district_table(src["county_districts"]), "", compare)))
 
 
-def _county_coverage(src: Mapping[str, DataFrame], conform, districts: DataFrame, suffix: str) -> DataFrame:
+def _county_pairs(src: Mapping[str, DataFrame], conform, districts: DataFrame, suffix: str, compare) -> DataFrame:
     stations = src["current_stations"].select(conform("county_name").alias("county")).unionByName(
         src["retired_stations"].select(conform("county").alias("county")))
     cases = (src["county_cases"].where((F.col("state") == STATE) & (F.col("county") != UNKNOWN_COUNTY))
              .select(conform("county").alias("county")))
-    return (Q.coverage(stations, cases, "county").select(F.lit(f"stations~cases{suffix}").alias("comparison"), "*")
-            .unionByName(Q.coverage(cases, districts.select("county"), "county")
+    return (compare(stations, cases, "county").select(F.lit(f"stations~cases{suffix}").alias("comparison"), "*")
+            .unionByName(compare(cases, districts.select("county"), "county")
                          .select(F.lit(f"cases~districts{suffix}").alias("comparison"), "*")))
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.charts import label
@@ -45,23 +45,32 @@ def _report(agg: DataFrame, table: str, group_by: Sequence[str],
 
 
 def _counters(not_null: Sequence[str], non_negative: Sequence[str], rules: Mapping[str, Column],
-              sketched: Sequence[str], rsd: float = 0.01):
-    """Aggregates that combine map-side to one row per task and group, and their report rows."""
-    aggs, rows = [F.count(F.lit(1)).alias("__n")], []
+              sketched: Sequence[str], rsd: float = 0.01, within: Column | None = None, tag: str = ""):
+    """Aggregates that combine map-side to one row per task and group, and their report rows.  With
+    ``within`` only its rows count; ``tag`` precedes the aggregates' names."""
+    def of(c: Column) -> Column:
+        return c if within is None else within & c
+
+    aggs, rows = [F.count(F.lit(1)) if within is None else F.count_if(within)], []
+    names = ["__n"]
     for i, c in enumerate(not_null):
-        aggs.append(F.count_if(F.col(c).isNotNull()).alias(f"__nn{i}"))
+        aggs.append(F.count_if(of(F.col(c).isNotNull())))
+        names.append(f"__nn{i}")
         rows.append((f"not_null({c})", F.col(f"__nn{i}"), F.col("__n"), None))
     for i, c in enumerate(non_negative):
         # Against all rows: a null is not a valid value.
-        aggs.append(F.count_if(F.col(c) >= 0).alias(f"__ok{i}"))
+        aggs.append(F.count_if(of(F.col(c) >= 0)))
+        names.append(f"__ok{i}")
         rows.append((f"non_negative({c})", F.col(f"__ok{i}"), F.col("__n"), None))
     for i, (name, pred) in enumerate(rules.items()):
-        aggs.append(F.avg(pred.cast("int")).alias(f"__s{i}"))
+        aggs.append(F.avg(pred.cast("int") if within is None else F.when(within, pred.cast("int"))))
+        names.append(f"__s{i}")
         rows.append((f"share_valid({name})", F.col(f"__s{i}"), F.lit(1.0), None))
     for i, c in enumerate(sketched):
-        aggs += [F.approx_count_distinct(c, rsd).alias(f"__d{i}"), F.count(F.col(c)).alias(f"__dn{i}")]
+        aggs += [F.approx_count_distinct(c, rsd), F.count(F.col(c))]
+        names += [f"__d{i}", f"__dn{i}"]
         rows.append((f"distinct({c})", F.col(f"__d{i}"), F.col(f"__dn{i}"), F.lit(None)))
-    return aggs, rows
+    return [a.alias(f"{tag}{n}") for a, n in zip(aggs, names, strict=True)], rows
 
 
 def _by_key(df: DataFrame, group_by: Sequence[str], keys: Sequence[Column]) -> DataFrame:
@@ -97,6 +106,46 @@ def suite(df: DataFrame, table: str, group_by: Sequence[str] = (), not_null: Seq
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+class WriteChecks:
+    """The counters of ``suite`` taken while a table is written, so that nothing is read again.
+
+    ``watch`` goes directly over the write (``sources.io.write_table(watch=...)`` sees to it): there each row passes
+    once, whatever tasks run again, while a step whose shuffle is made anew would count twice.  After the
+    write ``report`` gives the rows that ``suite`` would.  ``group_col`` with the listed ``groups`` reports by group; a
+    further row compares the rows in listed groups with all rows, so none goes unseen.  Groups without
+    rows have no report rows, as in ``suite``.  One object serves one write.
+    """
+
+    def __init__(self, table: str, not_null: Sequence[str] = (), non_negative: Sequence[str] = (),
+                 rules: Mapping[str, Column] | None = None, group_col: str | None = None, groups: Sequence = ()):
+        if bool(group_col) != bool(groups):
+            raise ValueError("group_col and groups go together")
+        self.table, self.group_col, self.groups = table, group_col, list(groups)
+        self._columns = (not_null, non_negative, rules or {}, ())
+        self._seen = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        aggs, _ = _counters(*self._columns, tag="all")
+        for i, g in enumerate(self.groups):
+            aggs += _counters(*self._columns, within=F.col(self.group_col).eqNullSafe(F.lit(g)), tag=f"g{i}")[0]
+        return df.observe(self._seen, *aggs)
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The long report; call it after the write."""
+        seen = self._seen.get
+        _, rows = _counters(*self._columns)
+        tags = {g: f"g{i}" for i, g in enumerate(self.groups)} or {"all": "all"}
+        names = [c.split("__", 1)[1] for c in seen if c.startswith("all__")]
+        kinds = ", ".join(["label string", *(f"__{n} {'double' if n.startswith('s') else 'long'}" for n in names)])
+        found = [(None if g is None else str(g), *(seen[f"{t}__{n}"] for n in names)) for g, t in tags.items()
+                 if not self.groups or seen[f"{t}__n"]]
+        out = _report(spark.createDataFrame(found, kinds), self.table, ["label"], rows)
+        if not self.groups:
+            return out
+        listed = spark.createDataFrame([(sum(seen[f"{t}__n"] for t in tags.values()), seen["all__n"])], "__l long, __n long")
+        return out.unionByName(_report(listed, self.table, [], [("listed_groups", F.col("__l"), F.col("__n"), None)]))
+
+
 def profile(df: DataFrame, table: str, columns: Sequence[str] | None = None,
             group_by: Sequence[str] = ()) -> DataFrame:
     """Completeness: not-null count of each column against the row count."""

@@ -234,6 +234,28 @@ def q_dq_suite(spark, sf_dir):
                    distinct=["o_orderpriority"])
 
 
+_STATUSES = ["F", "O", "P"]
+
+
+@register("dq_on_write", sql=_long_sql(
+    "a AS (SELECT o_orderstatus AS s, COUNT(*) AS n, "
+    + ", ".join(f"COUNT({c}) AS nn_{c}" for c in ORDERS_COLS)
+    + ", COUNT(*) FILTER (WHERE o_totalprice >= 0) AS ok_price, avg(CAST(o_totalprice < 200000 AS INTEGER)) AS s_low"
+    + " FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1)",
+    "orders", "s", [(f"not_null({c})", f"nn_{c}", "n", None) for c in ORDERS_COLS]
+    + [("non_negative(o_totalprice)", "ok_price", "n", None), ("share_valid(low_price)", "s_low", "1.0", None)])
+    + """
+UNION ALL SELECT 'orders', 'all', 'listed_groups', CAST(COUNT(*) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) AS DOUBLE),
+                 CAST(COUNT(*) AS DOUBLE), COUNT(*) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) = COUNT(*) FROM orders""")
+def q_dq_on_write(spark, sf_dir):
+    """The checks of the orders table, by status, counted while it is written as Parquet."""
+    orders = table(spark, sf_dir, "orders").select(*ORDERS_COLS)
+    checks = Q.WriteChecks("orders", ORDERS_COLS, ["o_totalprice"], {"low_price": F.col("o_totalprice") < 200000},
+                           "o_orderstatus", _STATUSES)
+    checks.watch(orders).write.parquet(scratch_path(spark, "observed"))
+    return checks.report(spark)
+
+
 _SKETCHED = ["o_custkey", "o_orderstatus", "o_totalprice"]
 
 

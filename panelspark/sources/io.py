@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,15 +74,17 @@ def scan_family(spark: SparkSession, paths: str | Sequence[str], schema: StructT
 
 
 def write_table(df: DataFrame, name: str, partition_by: Sequence[str] | None = None,
-                path: str | None = None, fmt: str = "parquet") -> None:
-    """Overwrite one managed (or, with ``path``, external) table.  Never deletes folders.
+                path: str | None = None, fmt: str = "parquet",
+                watch: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Overwrite one managed (or, with ``path``, external) table.  Never deletes folders.  ``watch``
+    (``quality.WriteChecks.watch``) sees the rows as they are written.
 
     Rows are rebalanced by the partition columns first, so that a partition gets few files (a large
     one several) and not one from every task.
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    w = df.write.mode("overwrite").format(fmt)
+    w = (watch(df) if watch else df).write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if path:

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from panelspark.functions.dates import parse_mixed_dates
 from panelspark.functions.text import (
@@ -264,13 +265,14 @@ def prepare(src: Mapping[str, DataFrame], null_as_zero: bool = False, fill_volum
 
 
 def write_outputs(tables: Mapping[str, DataFrame], names: Mapping[str, str] = TABLE_NAMES,
-                  paths: Mapping[str, str] | None = None) -> None:
-    """Overwrite each output table; dated facts are partitioned by year for pruning.
+                  paths: Mapping[str, str] | None = None) -> DataFrame:
+    """Overwrite each output table; dated facts are partitioned by year for pruning.  Returns the
+    completeness and sign checks of every table, counted during the writes.
 
     The county volume table is written first and the state table is then aggregated from
     the *written* table, so the hourly roll-up (the largest input) is computed once.
     """
-    order = sorted(tables, key=lambda k: (k != "county_volume", k))
+    order, reports = sorted(tables, key=lambda k: (k != "county_volume", k)), []
     for key in order:
         df = tables[key]
         if key == "state_volume" and "county_volume" in tables:
@@ -280,7 +282,11 @@ def write_outputs(tables: Mapping[str, DataFrame], names: Mapping[str, str] = TA
         if "date" in df.columns and key in ("county_volume", "county_cases"):
             df = df.withColumn("year", F.year("date"))
             part = ["year"]
-        write_table(df, names[key], partition_by=part, path=(paths or {}).get(key))
+        numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name != "year"]
+        checks = Q.WriteChecks(key, not_null=[c for c in df.columns if c != "year"], non_negative=numbers)
+        write_table(df, names[key], partition_by=part, path=(paths or {}).get(key), watch=checks.watch)
+        reports.append(checks.report(df.sparkSession))
+    return reduce(lambda a, b: a.unionByName(b), reports)
 
 
 YEARLY = ("county_volume", "county_cases")

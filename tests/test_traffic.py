@@ -79,7 +79,9 @@ def test_prepare_write_read_model(spark):
     assert avg[dt.date(2020, 3, 2)] == 5.0                          # (5 + 3 + 7) / 3, PR and Unknown dropped
 
     names = {k: f"ps_t_{k}_{uuid.uuid4().hex[:6]}" for k in T.TABLE_NAMES}
-    T.write_outputs(tables, names, {k: scratch_path(spark, k) for k in names})
+    seen = {(r.table, r.check): r.observed for r in T.write_outputs(tables, names, {k: scratch_path(spark, k) for k in names}).collect()}
+    assert {t for t, _ in seen} == set(names) and all(
+        seen[k, "not_null(date)"] == T.read_table(spark, names[k]).count() for k in ("county_volume", "county_cases"))
     back = T.read_outputs(spark, names)
     assert back["county_volume"].where(F.col("year") == 2020).count() == 90
 
